@@ -25,7 +25,9 @@ def _power(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         size = max(SLICE + 1, n)
         with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate(([1], np.full(size - 1, base, np.uint64))).astype(np.uint64), dtype=np.uint64)
+            have = np.full(size, base, np.uint64)
+            have[0] = 1
+            have = np.cumprod(have, dtype=np.uint64)
         if size > SLICE + 1:
             return have
         _powers[base] = have

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, ngram_join, quality
+from . import chat, line_dedup, mixing, ngram_join, quality, sentencepiece_codec
 from .common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "round_trip", "token_ids")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_chat_formatting, op5_line_dedup, op9_ngram_join, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_chat_formatting, op5_line_dedup, op9_ngram_join, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, toxicity
+from . import ann, chat, licenses, line_dedup, mixing, ngram_join, pii, quality, sentencepiece_codec, toxicity
 from .common import table
 
 
@@ -26,10 +26,18 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(chat.conversation_records(rows)))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -47,8 +55,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_chat_formatting, op5_line_dedup, op7_nearest_neighbours, op8_toxicity, op9_ngram_join, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_chat_formatting, op4_personal_data, op5_line_dedup, op6_license_scan, op7_nearest_neighbours, op8_toxicity, op9_ngram_join, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": chat.SQL, "op7_nearest_neighbours": ann.SQL, "op10_source_mixing": mixing.SQL}
+    return {"op3_chat_formatting": chat.SQL, "op6_license_scan": licenses.SQL, "op7_nearest_neighbours": ann.SQL, "op10_source_mixing": mixing.SQL}

@@ -17,6 +17,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 #: Where the driver's machines keep the model file; the same path on every executor.
@@ -227,7 +228,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, column: str = "text", decoded
                 columns.append(pa.array([None if z else b for z, b in zip(null, back, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["row", *new])
 
-    schema = row.select("row").schema.add("token_ids", "array<int>").add("n_tokens", "long").add("round_trip", "boolean")
+    schema = row.select("row").schema.add("token_ids", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
     out = row.mapInArrow(run, schema.add("decoded", "string") if decoded else schema)
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *new)
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that a lexical query built from messages leaves out.
 STOP_WORDS = (
@@ -24,7 +25,7 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold_nfkc(text: pd.Series) -> pd.Series:
     """NFKC, white space collapsed, full case folding: identity of free text of any script."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
@@ -61,7 +62,7 @@ def query_terms(tokens: Column) -> Column:
 
 def normalize_answer(text: Column) -> Column:
     """Commas vanish, then lower case, articles to spaces, punctuation away, white space collapsed."""
-    out = F.regexp_replace(F.lower(F.replace(text, F.lit(","), F.lit(""))), r"\b(a|an|the|and)\b", " ")
+    out = F.regexp_replace(F.lower(F.replace(text, F.lit(","), F.lit(""))), r"(?U)\b(a|an|the|and)\b", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, PUNCTUATION, ""), r"(?U)\s+", " "))
 
 

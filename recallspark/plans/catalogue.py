@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import providers
 from ..functions import identity, text
 from ..operators import context, evaluation, fusion, lexical, lifecycle, structured, vector
 from ..sources import tables
@@ -546,13 +547,22 @@ def bm25_effect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("qid", evaluation.lexical_effect(F.col("fts_rank"), F.col("bm25_rank"), none, F.col("fts_rank"), F.col("bm25_rank")).alias("effect"))
 
 
-@query(f"WITH {_EVAL} SELECT b.qid, b.first_rank AS bm25_rank, f.first_rank AS vector_rank, CASE WHEN b.first_rank IS NULL THEN 'vector_only' ELSE 'bm25_only' END AS kind FROM mb b JOIN mf f USING (qid) WHERE (b.first_rank IS NULL) <> (f.first_rank IS NULL)")
+@query(f"""WITH {_EVAL}, c AS (SELECT CASE WHEN b.first_rank IS NULL AND f.first_rank IS NOT NULL THEN 'vector_only' WHEN b.first_rank IS NOT NULL AND f.first_rank IS NULL THEN 'bm25_only' END AS kind FROM mb b JOIN mf f USING (qid))
+SELECT k.kind, count(c.kind) AS n FROM (VALUES ('bm25_only'), ('vector_only')) k(kind) LEFT JOIN c USING (kind) GROUP BY k.kind""")
 def single_branch_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full-text branch stands where the vector branch would."""
-    return evaluation.single_branch_gold(_first_gold(spark, sf_dir).withColumnRenamed("fts_rank", "vector_rank")).select("qid", "bm25_rank", "vector_rank", "kind")
+    cases = evaluation.single_branch_gold(_first_gold(spark, sf_dir).withColumnRenamed("fts_rank", "vector_rank"))
+    kinds = spark.createDataFrame([("bm25_only",), ("vector_only",)], "kind string")
+    return kinds.join(cases.groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-_NA = r"""regexp_replace(regexp_replace(regexp_replace(lower(replace({x}, ',', '')), '\b(a|an|the|and)\b', ' ', 'g'), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\s+', ' ', 'g')"""
+_ARTICLE = r"(^|[^\p{{L}}\p{{N}}_])(a|an|the|and)([^\p{{L}}\p{{N}}_]|$)"
+# twice, since an article right after another shares its boundary
+_NA = (
+    rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(replace({{x}}, ',', '')), '{_ARTICLE}', '\1 \3', 'g'), '{_ARTICLE}', '\1 \3', 'g'), """
+    r"""'[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\s+', ' ', 'g')"""
+)
+
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,13 +573,13 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(d, "doc_id").join(b, "qid").select("qid", "predicted", "gold")
 
 
-_TOKENS = "list_filter(string_split({x}, ' '), t -> t <> '')"
+_TOKENS = "list_filter(string_split({x}, ' '), lambda t: t <> '')"
 _F1 = f"""ans AS (SELECT bm.qid, d.text AS predicted, b.text AS gold FROM bm JOIN documents d ON d.doc_id = bm.id JOIN benchmark b ON b.item_id = bm.qid WHERE bm.rank = 1)"""
 
 
 def _f1_sql(source: str, keys: str, name: str) -> str:
     return f"""{name}_t AS (SELECT {keys}, {_TOKENS.format(x=_NA.format(x="predicted"))} AS p, {_TOKENS.format(x=_NA.format(x="gold"))} AS g FROM {source}),
-{name}_s AS (SELECT {keys}, len(p) AS np, len(g) AS ng, coalesce(list_sum(list_transform(list_distinct(list_intersect(p, g)), t -> least(len(list_filter(p, x -> x = t)), len(list_filter(g, x -> x = t))))), 0) AS same FROM {name}_t),
+{name}_s AS (SELECT {keys}, len(p) AS np, len(g) AS ng, coalesce(list_sum(list_transform(list_distinct(list_intersect(p, g)), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))), 0) AS same FROM {name}_t),
 {name} AS (SELECT {keys}, CASE WHEN same > 0 THEN 2.0 * (same / np) * (same / ng) / (same / np + same / ng) ELSE 0 END::DOUBLE AS f1 FROM {name}_s)"""
 
 
@@ -579,7 +589,7 @@ def qa_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts(x: str) -> str:
-    parts = f"list_filter(list_transform(string_split({x}, ','), y -> trim(y)), y -> y <> '')"
+    parts = f"list_filter(list_transform(string_split({x}, ','), lambda y: trim(y)), lambda y: y <> '')"
     return f"CASE WHEN len({parts}) > 0 THEN {parts} ELSE [trim({x})] END"
 
 
@@ -612,3 +622,25 @@ def stream_append_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = scratch(spark, "index")
     e.writeStream.foreachBatch(lambda b, n: ingest.append_index(b.sparkSession, b, index, n)).option("checkpointLocation", scratch(spark, "index-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(index).groupBy("scope").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+# providers --------------------------------------------------------------------------------------------------------
+
+@query()
+def extract_candidates_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every interaction through the offline extractor."""
+    rows = context.interactions(_messages(spark, sf_dir)).groupBy("conv_id", "interaction").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "content"))).alias("m"))
+    rows = rows.select("conv_id", "interaction", F.array_join(F.transform("m", lambda x: x["content"]), "\n").alias("text"), F.transform("m", lambda x: x["id"]).alias("sources"))
+    found = providers.extract(rows)
+    return found.select("conv_id", "interaction", "memory_no", "memory_type", "memory_text", F.array_join("sources", ",").alias("sources"))
+
+
+@query()
+def answer_grounded_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offline reader over each query's hits of the hybrid search."""
+    m = tables.memories(spark, sf_dir).select("id", "text", "is_active")
+    hits = hybrid_search(spark, sf_dir).join(m, "id")
+    by = hits.groupBy("scope", "qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text", F.when(F.col("is_active"), "current").otherwise("historical").alias("status")))).alias("m"))
+    refs = F.transform("m", lambda x, i: F.struct(F.concat(F.lit("M"), (i + 1).cast("string")).alias("ref"), x["text"].alias("text"), x["status"].alias("status")))
+    asked = tables.search_queries(spark, sf_dir).select("scope", "qid", F.col("text").alias("query"))
+    return providers.answer(asked.join(by.withColumn("memories", refs), ["scope", "qid"]).select("scope", "qid", "query", "memories"))

@@ -25,7 +25,7 @@ GRID = 1024
 COVERED = 0.75
 STEPS = 5
 LEAST_ROWS = 100
-CUTOFF_P = 1 - 1e-6
+CUTOFF_P = 1 - 1e-11
 #: Least standard deviation of each feature: log words, log mean word length, log symbols, shares of repeated lines and words.
 LEAST_SD = (0.3, 0.08, 0.25, 0.06, 0.06)
 DIST_GRID = 256

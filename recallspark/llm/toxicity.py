@@ -6,7 +6,7 @@
 2. Votes of all documents are counted by vote vector, at most 2^voters rows. A generative model
    is fitted to the counts by expectation maximisation: accuracies are each voter's firing rates given the label,
    correlations a tree of pairwise dependencies given the label (the maximum spanning tree of conditional mutual
-   information). Labelled rows hold their label in the first expectation only.
+   information). Labelled rows take part with their label, up to its accuracy, others with their expectation.
 3. The posterior labels of a bounded sample of documents train a logistic regression on words and word
    beginnings, which scores every document.
 
@@ -121,7 +121,8 @@ class LabelModel:
         # expectations start from the labelled rows of each vector, smoothed by the voters that fire
         q = (known[:, 1] + 1.0 * (x.sum(axis=1) > 0) * 0.5) / (seen + 1.0)
         for _ in range(rounds):
-            w = np.stack([counts * (1 - q), counts * q], axis=1)
+            toxic = known[:, 1] * LABEL_ACCURACY + known[:, 0] * (1 - LABEL_ACCURACY) + (counts - seen) * q
+            w = np.stack([counts - toxic, toxic], axis=1)
             self._maximise(x, w)
             q = self.posterior(votes)
         return self
@@ -170,24 +171,25 @@ class LabelModel:
         return p[:, 1] / p.sum(axis=1)
 
 
-def train_linear(rows: list[np.ndarray], y: np.ndarray, width: int, rounds: int = 15, rate: float = 0.3, l1: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on sets of features with soft labels, by AdaGrad with L1 shrinkage."""
-    w, g2 = np.zeros(width), np.full(width, 1e-2)
-    p = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.1
-    bias = np.log(p / (1 - p))
-    order = np.random.default_rng(5)
-    for _ in range(rounds):
-        for i in order.permutation(len(rows)):
-            f = rows[i]
-            z = bias + w[f].sum()
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]
-            bias -= 0.02 * g
-            if len(f):
-                g2[f] += g * g
-                step = rate / np.sqrt(g2[f])
-                v = w[f] - step * g
-                w[f] = np.sign(v) * np.maximum(np.abs(v) - step * l1, 0)
-    return w, float(bias)
+def train_linear(rows: list[np.ndarray], y: np.ndarray, width: int, rounds: int = 500, rate: float = 0.1, l2: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on sets of features with soft labels: all rows at once, Adam steps, L2 penalty."""
+    w = np.zeros(width + 1)  # the last is the bias, which every row has
+    if not len(y):
+        return w[:-1], -2.0
+    row = np.repeat(np.arange(len(rows)), [len(f) + 1 for f in rows])
+    col = np.concatenate([np.append(f, width) for f in rows])
+    p = float(np.clip(y.mean(), 0.01, 0.99))
+    w[-1] = np.log(p / (1 - p))
+    penalty = np.full(width + 1, l2)
+    penalty[-1] = 0
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
+    for t in range(1, rounds + 1):
+        z = np.bincount(row, w[col], len(rows))
+        off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        g = np.bincount(col, off[row], width + 1) + penalty * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= rate * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    return w[:-1], float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, mine_rows: int = MINE_ROWS, train_rows: int = TRAIN_ROWS) -> dict:

@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, mine_rows: int = MINE_ROWS, train
     # the classifier's sample: labelled rows, whose label is one more vote, and rows on which voters fire
     pool = votes.join(gold, "doc_id", "left").filter(~held_out(F.col("doc_id")))
     some = pool.filter("toxic is not null").orderBy(order("c"), "doc_id").limit(train_rows * 3 // 4).unionByName(pool.filter("toxic is null and votes <> 0").orderBy(order("d"), "doc_id").limit(train_rows // 4))
-    by_vector = F.create_map(*[F.lit(x) for v, p in posterior.items() for x in (v, p)])[F.col("votes")]
+    by_vector = F.create_map(*[F.lit(x) for v, p in [(-1, 0.5), *posterior.items()] for x in (v, p)])[F.col("votes")]
     sure = LABEL_ACCURACY / (1 - LABEL_ACCURACY)
     odds = by_vector / (1.0 - by_vector + 1e-9) * F.when(F.col("toxic") == 1, sure).when(F.col("toxic") == 0, 1 / sure).otherwise(1.0)
     sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", (odds / (1.0 + odds)).alias("w"), "text")

@@ -12,8 +12,8 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +109,7 @@ def _merges(m: Model) -> list[tuple[str, str]]:
 
 
 _WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+_WORDS = re.compile(_WORD)
 
 
 def splits_at_marks(m: Model) -> bool:
@@ -143,7 +144,8 @@ class Codec:
         with open(path, "rb") as f:
             m = parse_model(f.read())
         self.tokenizer = build(m)
-        self.most_words, self.known = most_words, {}
+        self.most_words = most_words
+        self.known: dict[str, bytes] = {}
         self.by_word = None
         if splits_at_marks(m):
             self.by_word = build(m)
@@ -153,20 +155,23 @@ class Codec:
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
         self.prefix = b" " if m.dummy_prefix else b""
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers; a slice of texts at a time should be given, as all its words are held."""
         if self.by_word is None:
-            return [e.ids for part in _slices(texts) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        out: list[list[int]] = []
-        words = re.compile(_WORD).findall
-        for part in _slices(texts):
-            split = [words(self.normalize(x)) for x in part]
-            if len(self.known) > self.most_words:
-                self.known.clear()
-            known = self.known
-            new = list(set().union(*split).difference(known))
-            known.update(zip(new, (e.ids for e in self.by_word.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            out += [list(chain.from_iterable(map(known.__getitem__, w))) for w in split]
-        return out
+            return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = _WORDS.findall
+        split = [words(self.normalize(x)) for x in texts]
+        if len(self.known) > self.most_words:
+            self.known.clear()
+        known = self.known
+        new = list(set().union(*split).difference(known))
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            known.update(zip(part, (np.array(e.ids, np.int32).tobytes() for e in self.by_word.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        return [b"".join(map(known.__getitem__, w)) for w in split]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for part in _slices(texts) for x in self.encode_bytes(part)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -211,18 +216,22 @@ def encode(docs: DataFrame, *, model: str = MODEL, column: str = "text", decoded
         codec = load(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            plain = [x or "" for x in texts]
-            got = codec.encode(plain)
-            ids = [pa.array(x, pa.int32()) for x in got]
-            same = [codec.gives_back(a, b) for a, b in zip(got, plain, strict=True)]
-            back = codec.decode(got) if decoded else []
             null = [x is None for x in texts]
-            n = [0 if z else len(x) for z, x in zip(null, ids, strict=True)]
-            offsets, at = [], 0
-            for z, k in zip(null, n, strict=True):
-                offsets.append(None if z else at)
-                at += k
-            flat = pa.concat_arrays([x for x, z in zip(ids, null, strict=True) if not z]) if not all(null) else pa.array([], pa.int32())
+            ids: list[bytes] = []
+            same, back = [], []
+            for part in _slices([x or "" for x in texts]):
+                got = codec.encode_bytes(part)
+                for b, text in zip(got, part, strict=True):
+                    one = np.frombuffer(b, np.int32).tolist()
+                    same.append(codec.gives_back(one, text))
+                    if decoded:
+                        back += codec.decode([one])
+                ids += got
+            n = [len(x) // 4 for x in ids]  # none for null and empty texts
+            ends = np.cumsum([0, *n]).tolist()
+            offsets = [None if z else at for z, at in zip(null, ends, strict=False)]
+            at = ends[-1]
+            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
             columns = [batch.column(0), pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), flat), pa.array(n, pa.int64()), pa.array([None if z else s for z, s in zip(null, same, strict=True)], pa.bool_())]
             if decoded:
                 columns.append(pa.array([None if z else b for z, b in zip(null, back, strict=True)], pa.string()))

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CODEBOOKS, WORDS, BEAM = 8, 256, 8
+CODEBOOKS, WORDS, BEAM = 16, 256, 4
 #: Bounds: vectors that train the codebooks, vectors in a block, queries broadcast at once.
-SAMPLE, BLOCK, QUERIES = 16_384, 4096, 4096
+SAMPLE, BLOCK, QUERIES = 8192, 4096, 2048
 #: Standard deviations of an estimate's error, which is taken as spread evenly over the dimensions.
-MARGIN = 5.0
+MARGIN = 4.5
 TOP = 20
 
 
@@ -37,7 +37,7 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c * c).sum(axis=1)[None, :] - 2 * x @ c.T, axis=1)
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         near = _nearest(x, c)
@@ -51,6 +51,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
 def beam_encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """Codes of the rows of x: after each codebook the beam partial sums nearest to the row go on."""
     n, (m, k, d) = len(x), books.shape
+    x, books = x.astype(np.float32), books.astype(np.float32)
     codes, left = np.zeros((n, 1, 0), np.uint8), x[:, None, :]
     rows = np.arange(n)[:, None]
     for j in range(m):
@@ -70,7 +71,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[j][codes[:, j]] for j in range(len(books)))
 
 
-def train(x: np.ndarray, m: int = CODEBOOKS, k: int = WORDS, rounds: int = 2) -> np.ndarray:
+def train(x: np.ndarray, m: int = CODEBOOKS, k: int = WORDS, rounds: int = 1) -> np.ndarray:
     """Codebooks [m, k, d] from a sample."""
     rng, k = np.random.default_rng(11), min(k, len(x))
     left, books = x.copy(), []
@@ -80,7 +81,7 @@ def train(x: np.ndarray, m: int = CODEBOOKS, k: int = WORDS, rounds: int = 2) ->
         left = left - c[_nearest(left, c)]
     out = np.stack(books)
     for _ in range(rounds):
-        codes = np.concatenate([beam_encode(x[i : i + 1024], out, 4) for i in range(0, len(x), 1024)])
+        codes = np.concatenate([beam_encode(x[i : i + 512], out) for i in range(0, len(x), 512)])
         at = codes.astype(np.int64) + np.arange(m) * k
         gram, right = np.zeros((m * k, m * k)), np.zeros((m * k, x.shape[1]))
         for a in range(m):
@@ -93,15 +94,16 @@ def train(x: np.ndarray, m: int = CODEBOOKS, k: int = WORDS, rounds: int = 2) ->
     return out
 
 
-def build_index(vectors: DataFrame, *, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray, int]:
-    """(blocks, codebooks, dimensions). vectors: (vec_id, v) as usable() gives; those of another dimension than most take no part."""
+def build_index(vectors: DataFrame, *, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
+    """(blocks, codebooks, sampled vectors, dimensions). vectors: (vec_id, v) as usable() gives; those of another dimension than most take no part."""
     sizes = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
     if sizes is None:
-        return vectors.limit(0), np.zeros((0, 0, 0)), 0
+        return vectors.limit(0), np.zeros((0, 0, 0)), np.zeros((0, 0)), 0
     d = sizes["d"]
     vectors = vectors.filter(F.size("v") == d)
     local = vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    books = train(np.stack(local["v"].to_numpy()).astype(np.float64))
+    some = np.stack(local["v"].to_numpy()).astype(np.float64)
+    books = train(some)
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +122,7 @@ def build_index(vectors: DataFrame, *, sample: int = SAMPLE) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["ids", "vectors", "codes", "norms", "left"])
 
     blocks = vectors.mapInArrow(encode, "ids binary, vectors binary, codes binary, norms binary, left binary")
-    return materialize(blocks, "blocks"), books, d
+    return materialize(blocks, "blocks"), books, some, d
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,42 +133,52 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(qid: np.ndarray, q: np.ndarray, books: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, floor: np.ndarray, top: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of a block's candidates that reach floor, the scores each query has in hand."""
+def _prepare(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, top: int) -> tuple[np.ndarray, ...]:
+    """(x, codes, left, ids, first, count) of a block with equal vectors once: ids[first[k]:first[k] + count[k]] are vector k's.
+
+    Of equal vectors the smallest ids are kept, one more than top as the query itself may be among them; later ones cannot be among a query's nearest.
+    """
     order = np.argsort(ids, kind="stable")
     ids, x, codes, left = ids[order], x[order], codes[order], left[order]
-    # equal vectors: the smallest ids, one more than top as the query itself may be among them
-    _, first, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
-    by = np.argsort(same, kind="stable")
-    place = np.arange(len(by)) - np.repeat(np.flatnonzero(np.concatenate(([True], same[by][1:] != same[by][:-1]))), np.bincount(same))
-    group = [ids[g] for g in np.split(by[place <= top], np.flatnonzero(np.diff(same[by[place <= top]])) + 1)]
-    x, codes, left = x[first], codes[first], left[first]
-    tables = np.einsum("qd,mkd->qmk", q, books, optimize=True).astype(np.float32)
-    rough = np.zeros((len(q), len(x)), np.float32)
-    for j in range(codes.shape[1]):
-        rough += tables[:, j, :][:, codes[:, j]]
-    size = np.sqrt((q * q).sum(axis=1))
-    slack = (margin / np.sqrt(q.shape[1])) * size[:, None] * left[None, :]
+    _, at, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+    by = np.argsort(same.ravel(), kind="stable")
+    count = np.bincount(same.ravel())
+    place = np.arange(len(by)) - np.repeat(np.cumsum(count) - count, count)
+    ids, count = ids[by[place <= top]], np.minimum(count, top + 1)
+    return x[at], np.ascontiguousarray(codes[at].T).astype(np.intp), left[at], ids, np.cumsum(count) - count, count
+
+
+def _scan(qid: np.ndarray, q: np.ndarray, tables: np.ndarray, block: tuple[np.ndarray, ...], floor: np.ndarray, top: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score) of a block's candidates that reach floor, the scores each query has in hand. tables: [codebook, query, word]."""
+    x, codes, left, ids, first, count = block
+    rough = np.take(tables[0], codes[0], axis=1)
+    for j in range(1, len(codes)):
+        rough += np.take(tables[j], codes[j], axis=1)
     # scores surely in hand: the best by estimate, ranked exactly
     few = min(top + 1, len(x))
-    best = np.argpartition(-rough, few - 1, axis=1)[:, :few]
+    best = np.argpartition(rough, len(x) - few, axis=1)[:, len(x) - few :]
     exact = _dots(np.repeat(q, few, axis=0), x[best.ravel()]).reshape(len(q), few)
     if few > top:
-        floor = np.maximum(floor, np.sort(exact, axis=1)[:, 0])
-    hit = rough + slack >= floor[:, None] - 1e-5
+        floor = np.maximum(floor, exact.min(axis=1))
+    size = np.sqrt((q * q).sum(axis=1))
+    rough += ((margin / np.sqrt(q.shape[1])) * size[:, None] * left[None, :]).astype(np.float32)
+    hit = rough >= (floor[:, None] - 1e-5).astype(np.float32)
     np.put_along_axis(hit, best, True, axis=1)
     qi, xi = np.nonzero(hit)
-    scores = np.concatenate([_dots(q[qi[i : i + 65536]], x[xi[i : i + 65536]]) for i in range(0, len(qi), 65536)]) if len(qi) else np.zeros(0)
+    near = np.concatenate([np.einsum("ij,ij->i", q[qi[i : i + 16384]], x[xi[i : i + 16384]]) for i in range(0, len(qi), 16384)]) if len(qi) else np.zeros(0)
+    good = near >= floor[qi] - 1e-9 * size[qi]
+    qi, xi = qi[good], xi[good]
+    scores = _dots(q[qi], x[xi])
     good = scores >= floor[qi]
     qi, xi, scores = qi[good], xi[good], scores[good]
-    n = np.array([len(group[k]) for k in range(len(x))])[xi]
-    found = np.concatenate([group[k] for k in xi]) if len(xi) else np.zeros(0, np.int64)
+    n = count[xi]
+    found = ids[np.repeat(first[xi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
     qi, scores = np.repeat(qi, n), np.repeat(scores, n)
     own = found == qid[qi]
     return qi[~own], found[~own], scores[~own]
 
 
-def search(blocks: DataFrame, books: np.ndarray, d: int, queries: DataFrame, *, top: int = TOP, margin: float = MARGIN, chunk: int = QUERIES) -> DataFrame:
+def search(blocks: DataFrame, books: np.ndarray, some: np.ndarray, d: int, queries: DataFrame, *, top: int = TOP, margin: float = MARGIN, chunk: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) for each query(vec_id, v): its top nearest by inner product, ties to smaller vec_id, itself left out."""
     spark = blocks.sparkSession
     queries = queries.filter(F.size("v") == d)
@@ -179,19 +191,27 @@ def search(blocks: DataFrame, books: np.ndarray, d: int, queries: DataFrame, *,
         if not len(local):
             continue
         local = local.sort_values("vec_id")
-        shared = spark.sparkContext.broadcast((local["vec_id"].to_numpy(np.int64), np.stack(local["v"].to_numpy()).astype(np.float64), books))
+        asked = np.stack(local["v"].to_numpy()).astype(np.float64)
+        # no query's last place can fall under what it reaches on the sample, itself aside
+        reach = np.full(len(asked), -np.inf)
+        if len(some) > top:
+            for i in range(0, len(asked), 256):
+                reach[i : i + 256] = np.partition(asked[i : i + 256] @ some.T, len(some) - top - 1, axis=1)[:, len(some) - top - 1] - 1e-9
+        shared = spark.sparkContext.broadcast((local["vec_id"].to_numpy(np.int64), asked, books, reach))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            qid, q, c = shared.value
-            floor = np.full(len(q), -np.inf)
+            qid, q, c, reach = shared.value
+            tables = np.einsum("qd,mkd->mqk", q, c, optimize=True).astype(np.float32)
+            floor = reach.copy()
             have = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for batch in batches:
                 for r in batch.to_pylist():
                     ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, d)
                     codes, left = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["left"])
-                    for i in range(0, len(q), 1024):
-                        part = slice(i, i + 1024)
-                        qi, v, s = _scan(qid[part], q[part], c, ids, x, codes, left, floor[part], top, margin)
+                    block = _prepare(ids, x, codes, left, top)
+                    for i in range(0, len(q), 256):
+                        part = slice(i, i + 256)
+                        qi, v, s = _scan(qid[part], q[part], tables[:, part], block, floor[part], top, margin)
                         have = tuple(np.concatenate(z) for z in zip(have, (qi + i, v, s), strict=True))
                     order = np.lexsort((have[1], -have[2], have[0]))
                     have = tuple(z[order] for z in have)
@@ -200,7 +220,7 @@ def search(blocks: DataFrame, books: np.ndarray, d: int, queries: DataFrame, *,
                     have = tuple(z[keep] for z in have)
                     start = np.searchsorted(have[0], np.arange(len(q) + 1))
                     full = np.flatnonzero(np.diff(start) == top)
-                    floor[full] = have[2][start[full + 1] - 1]
+                    floor[full] = np.maximum(floor[full], have[2][start[full + 1] - 1])
             start = np.searchsorted(have[0], np.arange(len(q) + 1)).astype(np.int32)
             some = np.flatnonzero(np.diff(start))
             if len(some):
@@ -226,10 +246,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, *, top: int =
     """
     ready = usable(vectors)
     asked = ready.filter(F.pmod(F.col("vec_id"), F.lit(20)) == 0).dropDuplicates(["vec_id"]) if queries is None else usable(queries).dropDuplicates(["vec_id"])
-    blocks, books, d = build_index(ready, sample=sample)
+    blocks, books, some, d = build_index(ready, sample=sample)
     if d == 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(blocks, books, d, asked, top=top, margin=margin)
+    return search(blocks, books, some, d, asked, top=top, margin=margin)
 
 
 SQL = """

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Queries broadcast at once; more are searched in further passes.
 CHUNK = 4096
 
@@ -37,6 +39,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, *, digits: int = 6, chu
     Ties of the rounded score go to the smaller id. Queries are broadcast in chunks of bounded size; each task multiplies
     its batch with those of its scopes and keeps k for each query.
     """
+    ship(vectors)
     spark = vectors.sparkSession
     n = queries.count()
     parts = max(1, -(-n // chunk))

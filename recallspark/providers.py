@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .errors import ExtractionError
+from .shipping import ship
 
 MEMORY_FIELDS = frozenset({"memory_type", "memory_text", "subject_type", "subject_name", "predicate", "value", "confidence", "importance"})
 INTENT_FIELDS = frozenset({"predicate", "value", "temporal_scope"})
@@ -107,6 +108,7 @@ _EXTRACTED = "conv_id long, interaction long, memory_no int, memory_type string,
 
 def extract(interactions: DataFrame, extractor: Callable[[str, str], str] = offline_extractor, attempts: int = 3) -> DataFrame:
     """Candidates of interactions(conv_id, interaction, text, sources). A failed interaction gives one row with its error and no memory."""
+    ship(interactions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -125,6 +127,7 @@ def extract(interactions: DataFrame, extractor: Callable[[str, str], str] = offl
 
 def embed(rows: DataFrame, column: str = "text", embedding: Callable[[str], list[float]] = offline_embedding) -> DataFrame:
     """rows with v, one call for each distinct text of a batch."""
+    ship(rows)
 
     @F.pandas_udf("array<double>")
     def vectors(texts: pd.Series) -> pd.Series:
@@ -136,6 +139,7 @@ def embed(rows: DataFrame, column: str = "text", embedding: Callable[[str], list
 
 def answer(found: DataFrame, reader: Callable[[str], str] = offline_reader) -> DataFrame:
     """(scope, qid, answer, abstained) for found(scope, qid, query, memories); memories is an array<struct<ref, text, status>> in the order of rank. Without memories the reader is not asked."""
+    ship(found)
     request = F.to_json(F.struct("query", "memories"))
 
     @F.pandas_udf("string")

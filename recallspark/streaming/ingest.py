@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shipping import ship
+
 _OUT = "user_id string, fact_key string, event_id long, action string"
 
 
@@ -30,6 +32,7 @@ def lifecycle_stream(writes: DataFrame) -> DataFrame:
 
     State is one value for each fact key. Order within a key is that of arrival in micro-batches, then of (ts, event_id).
     """
+    ship(writes)
     return writes.groupBy("user_id", "fact_key").applyInPandasWithState(_fold, _OUT, "value string", "append", GroupStateTimeout.NoTimeout)
 
 

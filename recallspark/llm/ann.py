@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import materialize
 
 CODEBOOKS, WORDS, BEAM = 16, 256, 4
@@ -96,6 +97,7 @@ def train(x: np.ndarray, m: int = CODEBOOKS, k: int = WORDS, rounds: int = 1) ->
 
 def build_index(vectors: DataFrame, *, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
     """(blocks, codebooks, sampled vectors, dimensions). vectors: (vec_id, v) as usable() gives; those of another dimension than most take no part."""
+    ship(vectors)
     sizes = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
     if sizes is None:
         return vectors.limit(0), np.zeros((0, 0, 0)), np.zeros((0, 0)), 0
@@ -180,6 +182,7 @@ def _scan(qid: np.ndarray, q: np.ndarray, tables: np.ndarray, block: tuple[np.nd
 
 def search(blocks: DataFrame, books: np.ndarray, some: np.ndarray, d: int, queries: DataFrame, *, top: int = TOP, margin: float = MARGIN, chunk: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) for each query(vec_id, v): its top nearest by inner product, ties to smaller vec_id, itself left out."""
+    ship(blocks)
     spark = blocks.sparkSession
     queries = queries.filter(F.size("v") == d)
     n = queries.count()

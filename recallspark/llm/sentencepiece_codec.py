@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+from ..shipping import ship
+
 #: Where the driver's machines keep the model file; the same path on every executor.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -208,6 +210,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, column: str = "text", decoded
 
     Texts are encoded whole, SLICE characters at a time; every row by itself, so repeated rows and ties get equal results.
     """
+    ship(docs)
     new = ["token_ids", "n_tokens", "round_trip", *(["decoded"] if decoded else [])]
     keep = [c for c in docs.columns if c not in new]
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(column).alias("text"))

@@ -98,7 +98,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     so_far = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     part = part.withColumn("so_far", so_far).withColumn("extra", (F.col("so_far") + F.col("size") / 2 <= F.col("rest")).cast("long"))
     out = whole.unionByName(part.drop("so_far"))
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * (F.col("epochs") + F.col("extra"))).cast("long").alias("taken"))
+    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.round("target", 6).alias("target"), (F.col("size") * (F.col("epochs") + F.col("extra"))).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
@@ -132,6 +132,6 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE
 r AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
   coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far
   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id::BIGINT AS doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target::DOUBLE AS target,
+SELECT doc_id::BIGINT AS doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 6)::DOUBLE AS target,
   (size * (epochs + CASE WHEN so_far + size / 2.0 <= rest AND rest > 0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """

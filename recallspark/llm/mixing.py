@@ -24,8 +24,8 @@ SEED = "mix-1"
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number above 0 and below 1 from a hash of the id."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), doc_id.cast("string"))), 1, 12)
+    """A number above 0 and below 1 from a hash of the id; null ids share one."""
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
@@ -118,7 +118,7 @@ SQL = """
 WITH s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
     length(coalesce(text, '')) AS n, coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0) AS sym, text IS NULL AS no_text,
-    (('0x' || substr(md5('mix-1:' || doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+    (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / (CASE WHEN no_text THEN 0.1 ELSE greatest(0.1, 1.0 - 10.0 * sym / greatest(n, 1)) END) AS key FROM s),
 z AS (SELECT source, sum(size)::DOUBLE AS source_size FROM k GROUP BY source),

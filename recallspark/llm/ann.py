@@ -89,9 +89,11 @@ def train(x: np.ndarray, m: int = CODEBOOKS, k: int = WORDS, rounds: int = 1) ->
             np.add.at(right, at[:, a], x)
             for b in range(m):
                 np.add.at(gram, (at[:, a], at[:, b]), 1.0)
-        ridge = np.eye(m * k) * 1.0
-        old = out.reshape(m * k, -1)
-        out = np.linalg.solve(gram + ridge, right + ridge @ old).reshape(out.shape)
+        # a ridge of one towards the old codewords, added in place
+        gram.flat[:: m * k + 1] += 1.0
+        right += out.reshape(m * k, -1)
+        out = np.linalg.solve(gram, right).reshape(out.shape)
+        del gram
     return out
 
 

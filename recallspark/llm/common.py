@@ -38,6 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of one row for each group is sent to every task.
+SMALL_ROWS = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has at most SMALL_ROWS rows, counted now; larger ones are joined by key."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chi2_cdf, chi2_quantile, let, materialize, words
+from .common import chi2_cdf, chi2_quantile, let, materialize, small, words
 
 FEATURES = 5
 GRID = 1024
@@ -132,15 +132,16 @@ def fit_mcd(rows: DataFrame, *, covered: float = COVERED, steps: int = STEPS) ->
     """(key, n, m0.., c00..): location and Cholesky factor of the scatter of each key of rows(key, q0..)."""
     p = range(FEATURES)
     med = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile(f"q{i}", F.lit(0.5)).alias(f"m{i}") for i in p])
-    med = materialize(med, "medians")
+    # rows meet the few group estimates by broadcast where these are few, so that a hot group is not dealt to one task
+    med = small(materialize(med, "medians"))
     mad = rows.join(med, "key").groupBy("key", "n", *[f"m{i}" for i in p]).agg(*[F.percentile(F.abs(F.col(f"q{i}") - F.col(f"m{i}")).cast("int"), F.lit(0.5)).alias(f"a{i}") for i in p])
     start = mad.select("key", "n", *[f"m{i}" for i in p], *[(F.pow(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(LEAST_SD[i] * GRID)), 2) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i in p for j in range(i + 1)])
-    params = materialize(_params(start), "start")
+    params = small(materialize(_params(start), "start"))
     factor = covered / chi2_cdf(chi2_quantile(covered, FEATURES), FEATURES + 2)
     whole = lambda c: c.cast("decimal(20,0)")
     for step in range(steps):
         at = _with_d2(rows.join(params, "key")).select("key", "n", *[f"q{i}" for i in p], F.floor(F.log1p(F.least(F.col("d2"), F.lit(1e9))) * DIST_GRID).cast("int").alias("bin"))
-        cut = materialize(at.groupBy("key").agg(F.percentile("bin", F.lit(covered)).alias("most")), f"cut{step}")
+        cut = small(materialize(at.groupBy("key").agg(F.percentile("bin", F.lit(covered)).alias("most")), f"cut{step}"))
         near = at.join(cut, "key").filter("bin <= most")
         sums = near.groupBy("key", "n").agg(F.count("*").alias("h"), *[F.sum(F.col(f"q{i}").cast("long")).alias(f"s{i}") for i in p], *[F.sum(whole(F.col(f"q{i}").cast("long") * F.col(f"q{j}"))).alias(f"s{i}{j}") for i in p for j in range(i + 1)])
         mean = [(F.col(f"s{i}") / F.col("h")).alias(f"m{i}") for i in p]
@@ -148,7 +149,7 @@ def fit_mcd(rows: DataFrame, *, covered: float = COVERED, steps: int = STEPS) ->
         cov = [(factor * ((F.col("h").cast("decimal(18,0)") * F.col(f"s{i}{j}").cast("decimal(30,0)")).cast("double") - F.col(f"s{i}").cast("double") * F.col(f"s{j}").cast("double")) / (F.col("h").cast("double") * F.col("h"))) for i in p for j in range(i + 1)]
         pairs = [(i, j) for i in p for j in range(i + 1)]
         cov = [(c + F.lit((LEAST_SD[i] * GRID) ** 2) if i == j else c).alias(f"v{i}{j}") for (i, j), c in zip(pairs, cov, strict=True)]
-        params = materialize(_params(sums.select("key", "n", *mean, *cov)), f"params{step}")
+        params = small(materialize(_params(sums.select("key", "n", *mean, *cov)), f"params{step}"))
     return params
 
 
@@ -169,7 +170,7 @@ def quality_verdicts(docs: DataFrame, *, covered: float = COVERED, steps: int =
     own = keys.select("lang", "source", F.posexplode("keys").alias("level", "key")).join(params, "key")
     fit = [c for c in params.columns if c not in ("key", "n")]
     best = own.groupBy("lang", "source").agg(F.min_by(F.struct(*fit), "level").alias("fit"))
-    best = materialize(best.select(F.concat_ws(":", F.coalesce(F.hex("lang"), F.lit("~")), F.coalesce(F.hex("source"), F.lit("~"))).alias("key"), *[f"fit.{c}" for c in fit]), "fits")
+    best = small(materialize(best.select(F.concat_ws(":", F.coalesce(F.hex("lang"), F.lit("~")), F.coalesce(F.hex("source"), F.lit("~"))).alias("key"), *[f"fit.{c}" for c in fit]), "fits"))
     rows = stats.withColumn("key", F.concat_ws(":", F.coalesce(F.hex("lang"), F.lit("~")), F.coalesce(F.hex("source"), F.lit("~"))))
     known = _with_d2(rows.join(best, "key", "left"))
     far = F.coalesce(F.col("d2") > chi2_quantile(cutoff_p, FEATURES), F.lit(False))

@@ -30,7 +30,7 @@ from .common import materialize
 #: Insults that vote from the start.
 LEXICON = ("idiot", "stupid", "moron", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown")
 #: Patterns that vote from the start.
-PATTERNS = (r"\byou\s+(?:are|re)\s+(?:a|an|such)\b", r"\b(?:shut up|go away|get lost|hate you)\b", r"\b[A-Z]{4,}\b[^\n]*!!!")
+PATTERNS = (r"\byou\s+(?:are|re)\s+(?:a|an|such)\b", r"\b(?:shut up|go away|get lost|hate you)\b", r"\b[A-Z]{4,}!!!")
 
 WORD_VOTERS = 4
 PREFIX_VOTERS = 4

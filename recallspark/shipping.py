@@ -17,7 +17,7 @@ def ship(of: SparkSession | DataFrame) -> None:
     here = os.path.dirname(os.path.abspath(__file__))
     if context.applicationId in _done or not os.path.isdir(here):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="recallspark-"), "recallspark-package.zip")
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="recallspark-")), "recallspark-package.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in sorted(os.walk(here)):
             for f in sorted(files):

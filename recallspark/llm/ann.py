@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize
+from .common import batch_rows, materialize
 
 CODEBOOKS, WORDS, BEAM = 16, 256, 4
 #: Bounds: vectors that train the codebooks, vectors in a block, queries broadcast at once.
@@ -100,6 +100,7 @@ def train(x: np.ndarray, m: int = CODEBOOKS, k: int = WORDS, rounds: int = 1) ->
 def build_index(vectors: DataFrame, *, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
     """(blocks, codebooks, sampled vectors, dimensions). vectors: (vec_id, v) as usable() gives; those of another dimension than most take no part."""
     ship(vectors)
+    batch_rows(vectors, 10_000)  # narrow rows; blocks are cut from batches
     sizes = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
     if sizes is None:
         return vectors.limit(0), np.zeros((0, 0, 0)), np.zeros((0, 0)), 0

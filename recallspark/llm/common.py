@@ -38,6 +38,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batch_rows(of: DataFrame, rows: int = 1000) -> None:
+    """Sets how many rows the session sends to Python at once: few where rows are whole texts, so that workers hold little."""
+    of.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 #: Rows up to which a table of one row for each group is sent to every task.
 SMALL_ROWS = 50_000
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize
+from .common import batch_rows, materialize
 
 LEAST_WORDS = 50
 
@@ -40,6 +40,7 @@ def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     Lines are equal if they are after trimming white space. text_key tells texts of one doc_id apart.
     """
     ship(docs)
+    batch_rows(docs)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,6 +131,7 @@ def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS, drop_emptied
     doc_id at the same place are no copies of each other. drop_emptied leaves out texts that lost all their words.
     """
     ship(docs)
+    batch_rows(docs)
     gone = materialize(repeated_lines(docs, least_words=least_words), "deleted").select(F.col("doc_id").alias("gone_id"), "text_key", "lines")
     at = {c: k for k, c in enumerate(docs.columns)}
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

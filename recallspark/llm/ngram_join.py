@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize
+from .common import batch_rows, materialize
 from .components import components
 from .shingles import N_WORDS, mix64, shingle_sets
 
@@ -53,6 +53,7 @@ def _signature(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def text_keys(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = N_WORDS) -> DataFrame:
     """(doc_id, n, k1, k2, bands): n-grams, 128-bit hash of the n-gram set, band hashes. No words: n = 0 and nulls."""
     ship(docs)
+    batch_rows(docs)
     n_bands, rows = bands_for(threshold, recall)
     rng = np.random.default_rng(7)
     a = rng.integers(0, 2**63, n_bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,6 +129,7 @@ def ngram_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float =
     of their own, no links. Repeated rows are copies of each other; different texts of one doc_id share a class.
     """
     ship(docs)
+    batch_rows(docs)
     num, den = round(threshold * 1000), 1000
     keys = materialize(text_keys(docs, threshold, recall, width), "keys")
     classes = keys.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize
+from .common import batch_rows, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -161,6 +161,7 @@ _ROWS = "doc_id long, text_key long, base array<struct<start: bigint, end: bigin
 def mentions(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, base, mentions) of each row; mentions are the seeds and candidates with their patterns."""
     ship(docs)
+    batch_rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

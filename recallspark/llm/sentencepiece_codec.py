@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from ..shipping import ship
+from .common import batch_rows
 
 #: Where the driver's machines keep the model file; the same path on every executor.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -142,7 +143,7 @@ def build(m: Model) -> Tokenizer:
 class Codec:
     """Encodes and decodes batches. Where words can be encoded apart, each distinct word is encoded once and kept."""
 
-    def __init__(self, path: str = MODEL, most_words: int = 400_000) -> None:
+    def __init__(self, path: str = MODEL, most_words: int = 150_000) -> None:
         with open(path, "rb") as f:
             m = parse_model(f.read())
         self.tokenizer = build(m)
@@ -211,6 +212,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, column: str = "text", decoded
     Texts are encoded whole, SLICE characters at a time; every row by itself, so repeated rows and ties get equal results.
     """
     ship(docs)
+    batch_rows(docs)
     new = ["token_ids", "n_tokens", "round_trip", *(["decoded"] if decoded else [])]
     keep = [c for c in docs.columns if c not in new]
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(column).alias("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize
+from .common import batch_rows, materialize
 
 #: Insults that vote from the start.
 LEXICON = ("idiot", "stupid", "moron", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown")
@@ -44,7 +44,7 @@ LEAST_PRECISION = 0.95
 LABEL_ACCURACY = 0.98
 #: Features of the classifier: those of its sample that tell the posterior labels apart best.
 MOST_FEATURES = 20_000
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -199,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, mine_rows: int = MINE_ROWS, train
     mine_rows and train_rows bound what leaves the cluster; both samples are taken by a hash of the id.
     """
     ship(docs)
+    batch_rows(docs)
     order = lambda salt: F.xxhash64(F.lit(salt), "doc_id")
     gold = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # a bounded sample of labelled rows; ids first, so that texts of no other row move
@@ -244,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, mine_rows: int = MINE_ROWS, train
 def _unit_counts(rows: DataFrame) -> DataFrame:
     """(u, n, p): for every unit of rows(text, w) the texts that hold it and the sum of their w; copies, by sketch, count once."""
     ship(rows)
+    batch_rows(rows)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,6 +294,7 @@ def _shortest(good: set[str]) -> list[str]:
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs; null and empty texts get the score of no words."""
     ship(docs)
+    batch_rows(docs)
     names = sorted(model["weights"])
     w = np.array([model["weights"][u] for u in names])
     index, bias = {u: i for i, u in enumerate(names)}, model["bias"]

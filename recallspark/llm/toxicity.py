@@ -61,12 +61,9 @@ def units(found: set[str]) -> set[str]:
     return found | {w[:n] + "*" for w in found for n in PREFIXES if len(w) > n}
 
 
-def sketch(found: set[str]) -> int:
-    """Equal for copies and mostly equal for near copies: the least hashes of the words under two seeds."""
-    if not found:
-        return 0
-    a = min(xxhash.xxh3_64_intdigest(w, 1) for w in found)
-    return (a ^ (min(xxhash.xxh3_64_intdigest(w, 2) for w in found) << 1)) % 2**63
+def copy_key(found: set[str]) -> bytes:
+    """Equal for texts of the same words, and 128 bits wide, so that different word sets do not meet."""
+    return xxhash.xxh3_128_digest(" ".join(sorted(found)))
 
 
 class Lookup:
@@ -243,14 +240,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, mine_rows: int = MINE_ROWS, train
 
 
 def _unit_counts(rows: DataFrame) -> DataFrame:
-    """(u, n, p): for every unit of rows(text, w) the texts that hold it and the sum of their w; copies, by sketch, count once."""
+    """(u, n, p): for every unit of rows(text, w) the different word sets that hold it and the sum of their w, each the average over its texts."""
     ship(rows)
     batch_rows(rows)
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = [sketch(tokens(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64())], ["text", "w", "key"])
+            key = [copy_key(tokens(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.binary())], ["text", "w", "key"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,8 +259,11 @@ def _unit_counts(rows: DataFrame) -> DataFrame:
                     c[1] += y
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([c[0] for c in count.values()], pa.int64()), pa.array([c[1] for c in count.values()], pa.float64())], ["u", "n", "p"])
 
-    keyed = rows.select("text", F.col("w").cast("double").alias("w")).mapInArrow(sketches, "text string, w double, key long")
-    return keyed.dropDuplicates(["key"]).mapInArrow(emit, "u string, n long, p double").groupBy("u").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    keyed = rows.select("text", F.col("w").cast("double").alias("w")).mapInArrow(keys, "text string, w double, key binary")
+    # texts of one key have the same units, so any of them stands for all
+    once = keyed.groupBy("key").agg(F.first("text").alias("text"), F.avg("w").alias("w")).select("text", "w")
+    # rounding keeps sums from depending on their order
+    return once.mapInArrow(emit, "u string, n long, p double").groupBy("u").agg(F.sum("n").alias("n"), F.round(F.sum("p"), 6).alias("p"))
 
 
 def _mine(mined: DataFrame) -> list[str]:

@@ -113,6 +113,13 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d.limit(0), lab).collect() == []
 
 
+def test_unit_counts_merge_only_copies(spark):
+    rows = [(f"aaaa bbbb cccc word{chr(97 + i % 26)}{chr(97 + i // 26)}", float(i % 2)) for i in range(200)] + [("eeee ffff", 1.0), ("ffff eeee", 0.0), ("", 1.0), (None, 1.0)]
+    got = {r.u: (r.n, r.p) for r in toxicity._unit_counts(spark.createDataFrame(rows, "text string, w double")).collect()}
+    assert got["aaaa"] == (200, 100.0) and got["eeee"] == (1, 0.5)
+    assert all(got[t.split()[-1]] == (1, w) for t, w in rows[:200])
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(6)
     y = rng.random(20_000) < 0.2

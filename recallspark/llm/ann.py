@@ -97,13 +97,13 @@ def train(x: np.ndarray, m: int = CODEBOOKS, k: int = WORDS, rounds: int = 1) ->
     return out
 
 
-def build_index(vectors: DataFrame, *, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
-    """(blocks, codebooks, sampled vectors, dimensions). vectors: (vec_id, v) as usable() gives; those of another dimension than most take no part."""
+def build_index(vectors: DataFrame, *, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray, tuple[np.ndarray, np.ndarray], int]:
+    """(blocks, codebooks, ids and vectors of the sample, dimensions). vectors: (vec_id, v) as usable() gives; those of another dimension than most take no part."""
     ship(vectors)
     batch_rows(vectors, 10_000)  # narrow rows; blocks are cut from batches
     sizes = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
     if sizes is None:
-        return vectors.limit(0), np.zeros((0, 0, 0)), np.zeros((0, 0)), 0
+        return vectors.limit(0), np.zeros((0, 0, 0)), (np.zeros(0, np.int64), np.zeros((0, 0))), 0
     d = sizes["d"]
     vectors = vectors.filter(F.size("v") == d)
     local = vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
@@ -127,7 +127,7 @@ def build_index(vectors: DataFrame, *, sample: int = SAMPLE) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["ids", "vectors", "codes", "norms", "left"])
 
     blocks = vectors.mapInArrow(encode, "ids binary, vectors binary, codes binary, norms binary, left binary")
-    return materialize(blocks, "blocks"), books, some, d
+    return materialize(blocks, "blocks"), books, (local["vec_id"].to_numpy(np.int64), some), d
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -141,15 +141,24 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _prepare(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, top: int) -> tuple[np.ndarray, ...]:
     """(x, codes, left, ids, first, count) of a block with equal vectors once: ids[first[k]:first[k] + count[k]] are vector k's.
 
-    Of equal vectors the smallest ids are kept, one more than top as the query itself may be among them; later ones cannot be among a query's nearest.
+    Of equal vectors top rows of each id are kept, and of these the 2 * top with the smallest ids: even if top of them are the query's own,
+    later ones cannot be among its nearest.
     """
     order = np.argsort(ids, kind="stable")
     ids, x, codes, left = ids[order], x[order], codes[order], left[order]
     _, at, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
     by = np.argsort(same.ravel(), kind="stable")
     count = np.bincount(same.ravel())
-    place = np.arange(len(by)) - np.repeat(np.cumsum(count) - count, count)
-    ids, count = ids[by[place <= top]], np.minimum(count, top + 1)
+    # rows are in the order of vectors, then ids; run is the start of each row's own vector and id
+    of, ids = same.ravel()[by], ids[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (of[1:] != of[:-1]) | (ids[1:] != ids[:-1])
+    run = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    few = np.arange(len(by)) - run < top
+    of, ids = of[few], ids[few]
+    count = np.bincount(of, minlength=len(at))
+    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    ids, count = ids[place < 2 * top], np.minimum(count, 2 * top)
     return x[at], np.ascontiguousarray(codes[at].T).astype(np.intp), left[at], ids, np.cumsum(count) - count, count
 
 
@@ -164,7 +173,9 @@ def _scan(qid: np.ndarray, q: np.ndarray, tables: np.ndarray, block: tuple[np.nd
     best = np.argpartition(rough, len(x) - few, axis=1)[:, len(x) - few :]
     exact = _dots(np.repeat(q, few, axis=0), x[best.ravel()]).reshape(len(q), few)
     if few > top:
-        floor = np.maximum(floor, exact.min(axis=1))
+        # vectors that only the query's own rows have are not in hand; ids of a vector are in order
+        own = (ids[first[best]] == qid[:, None]) & (ids[first[best] + count[best] - 1] == qid[:, None])
+        floor = np.maximum(floor, np.partition(np.where(own, -np.inf, exact), few - top, axis=1)[:, few - top])
     size = np.sqrt((q * q).sum(axis=1))
     rough += ((margin / np.sqrt(q.shape[1])) * size[:, None] * left[None, :]).astype(np.float32)
     hit = rough >= (floor[:, None] - 1e-5).astype(np.float32)
@@ -183,10 +194,11 @@ def _scan(qid: np.ndarray, q: np.ndarray, tables: np.ndarray, block: tuple[np.nd
     return qi[~own], found[~own], scores[~own]
 
 
-def search(blocks: DataFrame, books: np.ndarray, some: np.ndarray, d: int, queries: DataFrame, *, top: int = TOP, margin: float = MARGIN, chunk: int = QUERIES) -> DataFrame:
+def search(blocks: DataFrame, books: np.ndarray, sampled: tuple[np.ndarray, np.ndarray], d: int, queries: DataFrame, *, top: int = TOP, margin: float = MARGIN, chunk: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) for each query(vec_id, v): its top nearest by inner product, ties to smaller vec_id, itself left out."""
     ship(blocks)
     spark = blocks.sparkSession
+    some_ids, some = sampled
     queries = queries.filter(F.size("v") == d)
     n = queries.count()
     parts = max(1, -(-n // chunk))
@@ -198,12 +210,15 @@ def search(blocks: DataFrame, books: np.ndarray, some: np.ndarray, d: int, queri
             continue
         local = local.sort_values("vec_id")
         asked = np.stack(local["v"].to_numpy()).astype(np.float64)
-        # no query's last place can fall under what it reaches on the sample, itself aside
+        # no query's last place can fall under what it reaches on the sample, rows of its own id aside
         reach = np.full(len(asked), -np.inf)
-        if len(some) > top:
+        own_ids = local["vec_id"].to_numpy(np.int64)
+        if len(some) >= top:
             for i in range(0, len(asked), 256):
-                reach[i : i + 256] = np.partition(asked[i : i + 256] @ some.T, len(some) - top - 1, axis=1)[:, len(some) - top - 1] - 1e-9
-        shared = spark.sparkContext.broadcast((local["vec_id"].to_numpy(np.int64), asked, books, reach))
+                scores = asked[i : i + 256] @ some.T
+                scores[own_ids[i : i + 256, None] == some_ids] = -np.inf
+                reach[i : i + 256] = np.partition(scores, len(some) - top, axis=1)[:, len(some) - top] - 1e-9
+        shared = spark.sparkContext.broadcast((own_ids, asked, books, reach))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             qid, q, c, reach = shared.value
@@ -252,10 +267,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, *, top: int =
     """
     ready = usable(vectors)
     asked = ready.filter(F.pmod(F.col("vec_id"), F.lit(20)) == 0).dropDuplicates(["vec_id"]) if queries is None else usable(queries).dropDuplicates(["vec_id"])
-    blocks, books, some, d = build_index(ready, sample=sample)
+    blocks, books, sampled, d = build_index(ready, sample=sample)
     if d == 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(blocks, books, some, d, asked, top=top, margin=margin)
+    return search(blocks, books, sampled, d, asked, top=top, margin=margin)
 
 
 SQL = """

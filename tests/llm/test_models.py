@@ -45,6 +45,21 @@ def test_nearest_few(spark):
     assert ann.nearest(df.limit(0)).collect() == []
 
 
+def test_nearest_repeated_query(spark):
+    x = np.float32(np.random.default_rng(2).normal(size=(60, 8)))
+    for repeats in (2, 25):
+        rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(0, [float(v) for v in x[0]])] * (repeats - 1)
+        rows += [(20, [float(v) for v in x[20] * (2 + 0.1 * k)]) for k in range(repeats - 1)] + [(100 + k, [float(v) for v in x[0]]) for k in range(3)]
+        q = spark.createDataFrame([rows[0], rows[20]], "vec_id long, embedding array<float>")
+        got = {}
+        for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), q).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        for a in (0, 20):
+            v = x[a].astype(float)
+            want = sorted(((-round(float(np.dot(np.float64(np.float32(e)), v)), 9), i) for i, e in rows if i != a))[:20]
+            assert got[a] == [i for _, i in want]
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

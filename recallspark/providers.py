@@ -81,7 +81,7 @@ def offline_extractor(request: str, note: str = "") -> str:
     text = json.loads(request)["text"]
     found = [{"memory_type": "semantic", "memory_text": m[0], "subject_type": "user", "predicate": p, "value": m[1], "confidence": 0.9, "importance": 0.6} for r, p in _FACTS for m in r.finditer(text)]
     if not found and text.strip():
-        found = [{"memory_type": "episodic", "memory_text": text.strip()[:200], "confidence": 0.5, "importance": 0.3}]
+        found = [{"memory_type": "episodic", "memory_text": text.strip(), "confidence": 0.5, "importance": 0.3}]
     return json.dumps({"memories": found})
 
 

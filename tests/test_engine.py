@@ -166,6 +166,12 @@ def test_providers():
         providers.parse_intent('{"predicate": "x", "temporal_scope": "never"}')
 
 
+def test_offline_extractor_keeps_the_whole_text():
+    text = " " + "long story " * 100 + "the end "
+    found = providers.parse_extraction(providers.offline_extractor(json.dumps({"text": text})))
+    assert [m["memory_text"] for m in found] == [text.strip()]
+
+
 def test_facade(spark, tmp_path):
     layer = MemoryLayer(spark, str(tmp_path))
     schema = "user_id string, conv_id long, role string, content string, n long"

@@ -50,8 +50,8 @@ def lexical_queries(targets: DataFrame) -> DataFrame:
 
 def older(messages: DataFrame, targets: DataFrame, n: int = RECENT) -> DataFrame:
     """Messages before the target that are not among its n recent ones."""
-    near = recent(messages, targets, n).select("id")
-    return before(messages, targets).join(near, "id", "left_anti")
+    near = recent(messages, targets, n).select("conv_id", "id")
+    return before(messages, targets).join(near, ["conv_id", "id"], "left_anti")
 
 
 def lexical_older(messages: DataFrame, targets: DataFrame, n_recent: int = RECENT, k: int = LEXICAL) -> DataFrame:
@@ -63,13 +63,13 @@ def lexical_older(messages: DataFrame, targets: DataFrame, n_recent: int = RECEN
 
 def semantic_older(messages: DataFrame, targets: DataFrame, vectors: DataFrame, n_recent: int = RECENT, k: int = SEMANTIC, multiplier: int = 3) -> DataFrame:
     """(conv_id, rank, id, score): of the whole conversation the k * multiplier nearest to the target's vector, then without the target, recent and later
-    ones, then the first k. vectors(id, v) are unit vectors. A conversation is scored against its own target only."""
-    mine = messages.join(vectors, "id").select("conv_id", "id", "created_at", "v")
-    goal = targets.join(vectors.select(F.col("id").alias("target_id"), F.col("v").alias("q")), "target_id").select("conv_id", "q")
+    ones, then the first k. vectors(conv_id, id, v) are unit vectors; ids need only be unique within a conversation. A conversation is scored against its own target only."""
+    mine = messages.join(vectors, ["conv_id", "id"]).select("conv_id", "id", "created_at", "v")
+    goal = targets.join(vectors.select("conv_id", F.col("id").alias("target_id"), F.col("v").alias("q")), ["conv_id", "target_id"]).select("conv_id", "q")
     score = F.round(F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x), 6)
     w = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "created_at", "id")
     near = mine.join(goal, "conv_id").withColumn("score", score).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k * multiplier)
-    kept = near.select("conv_id", "id", "score", "pos").join(older(messages, targets, n_recent).select("id"), "id", "left_semi")
+    kept = near.select("conv_id", "id", "score", "pos").join(older(messages, targets, n_recent).select("conv_id", "id"), ["conv_id", "id"], "left_semi")
     w2 = Window.partitionBy("conv_id").orderBy("pos")
     return kept.withColumn("rank", F.row_number().over(w2).cast("long")).filter(F.col("rank") <= k).select("conv_id", "rank", "id", "score")
 

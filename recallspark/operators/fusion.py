@@ -45,7 +45,8 @@ def rank_memories(fused: DataFrame, memories: DataFrame, limit: int, by: tuple[s
 
 def rank_messages(fused: DataFrame, messages: DataFrame, limit: int, by: tuple[str, ...]) -> DataFrame:
     """The first limit of each target: score, best branch rank, earliest, smallest id."""
-    rows = fused.join(messages.select("id", "created_at"), "id")
+    keys = [*(c for c in by if c in messages.columns), "id"]
+    rows = fused.join(messages.select(*keys, "created_at"), keys)
     w = Window.partitionBy(*by).orderBy(F.col("score").desc(), "best_rank", "created_at", "id")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
 

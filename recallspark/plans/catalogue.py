@@ -403,7 +403,7 @@ def _message_vectors(spark: SparkSession, sf_dir: str, m: DataFrame) -> DataFram
     """Each message takes the vector whose id is its own id modulo their number."""
     e = tables.table(spark, sf_dir, "embeddings").filter(vector.valid(F.col("embedding"))).select("vec_id", F.col("embedding").alias("v"))
     n = tables.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
-    return m.join(F.broadcast(n)).withColumn("vec_id", F.pmod(F.col("id"), F.col("n"))).join(e, "vec_id").select("id", "v")
+    return m.join(F.broadcast(n)).withColumn("vec_id", F.pmod(F.col("id"), F.col("n"))).join(e, "vec_id").select("conv_id", "id", "v")
 
 
 _SEMANTIC = f"""mv AS (SELECT m.*, e.embedding::DOUBLE[] AS v FROM msg m JOIN embeddings e ON e.vec_id = m.id % (SELECT count(*) FROM embeddings)),

@@ -33,7 +33,7 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as messages: (conv_id, created_at, id, role, content); the id is unique over all conversations."""
+    """Conversation turns as messages: (conv_id, created_at, id, role, content); the id is unique within a conversation, and over all of them only below 1,000 turns each."""
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", F.col("turn").alias("created_at"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.col("text").alias("content"))
 

@@ -133,6 +133,18 @@ def test_context(spark):
     assert (later.first_id, later.marker_id) == (7, 12)
 
 
+def test_context_ids_of_other_conversations(spark):
+    rows = [(1, i, i, "user", f"message {i}") for i in range(8)] + [(2, i, i + 2, "user", f"message {i}") for i in range(4)]
+    m = spark.createDataFrame(rows, "conv_id long, created_at long, id long, role string, content string")
+    v = m.select("conv_id", "id", F.array(F.lit(1.0), F.col("conv_id") * 0.1).alias("v"))
+    t = context.last_targets(m)
+    assert sorted((r.conv_id, r.id) for r in context.older(m, t, 2).collect()) == [*((1, i) for i in range(5)), (2, 2)]
+    near = [(r.conv_id, r.id) for r in context.semantic_older(m, t, v, 2, k=5).orderBy("conv_id", "rank").collect()]
+    assert near == [*((1, i) for i in range(5)), (2, 2)]
+    fused = context.older_context(m, t, v, 2).orderBy("conv_id", "place").collect()
+    assert [(r.conv_id, r.id, r.place) for r in fused] == [*((1, i, i + 1) for i in range(3)), (2, 2, 1)]
+
+
 def test_evaluation(spark):
     hits = spark.createDataFrame([(0, 1, "a"), (0, 3, "b"), (1, 7, "x")], "qid long, rank long, evidence string")
     gold = spark.createDataFrame([(0, "a"), (0, "b"), (0, "c"), (1, "x"), (2, None)], "qid long, evidence string")

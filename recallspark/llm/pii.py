@@ -33,6 +33,8 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AT = re.compile(r"\s?(?:\[at\]|\(at\)|\{at\}|\bat\b)\s?", re.IGNORECASE)
+#: Set off by brackets or white space, so that no two matches look at the same word before or after.
+_AT_APART = re.compile(r"\s?(?:\[at\]|\(at\)|\{at\})\s?|\sat\s", re.IGNORECASE)
 _SPELT_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\s?(?:\[dot\]|\(dot\)|\{dot\})\s?|\sdot\s)[A-Za-z0-9-]+)+", re.IGNORECASE)
 _DIGITS = re.compile(r"\(?[0-9](?:[ ()./_-]{0,2}[0-9])+")
 _V6 = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])")
@@ -96,7 +98,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[Span]:
-    """Strings shaped like a kind that overlap no base span and no earlier candidate."""
+    """Strings shaped like a kind that overlap no base span and no earlier candidate; a number is one of every kind its digits allow."""
     found: list[Span] = []
     if "dot" in text or "DOT" in text or "Dot" in text:
         for m in _AT.finditer(text):
@@ -106,6 +108,13 @@ def candidates(text: str, taken: list[Span]) -> list[Span]:
                 start -= 1
             if host and start < m.start():
                 found.append((start, host.end(), 0))
+    for m in _AT_APART.finditer(text):
+        host = _HOST.match(text, m.end())
+        start = m.start()
+        while start > 0 and text[start - 1] in _LOCAL:
+            start -= 1
+        if host and start < m.start():
+            found.append((start, host.end(), 0))
     if ":" in text:
         found += [(m.start(), m.end(), 1) for m in _V6.finditer(text)]
     for m in _DIGITS.finditer(text):
@@ -114,7 +123,7 @@ def candidates(text: str, taken: list[Span]) -> list[Span]:
         n = sum(c.isdigit() for c in m[0])
         if 12 <= n <= 19 and m[0][0] != "(":
             found.append((m.start(), m.end(), 2))
-        elif 7 <= n <= 15 and (m[0][0] == "(" or any(c in " -./" for c in m[0])):
+        if 7 <= n <= 15:
             found.append((m.start(), m.end(), 3))
     if not found:
         return []
@@ -124,7 +133,7 @@ def candidates(text: str, taken: list[Span]) -> list[Span]:
     for a, b, kind in sorted(found):
         while k < len(busy) and busy[k][1] <= a:
             k += 1
-        if a >= last and not (k < len(busy) and busy[k][0] < b):
+        if (a >= last or (out and out[-1][:2] == (a, b) and out[-1][2] != kind)) and not (k < len(busy) and busy[k][0] < b):
             out.append((a, b, kind))
             last = b
     return out

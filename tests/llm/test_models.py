@@ -100,6 +100,21 @@ def test_personal_data(spark):
     assert pii.find_personal_data(df.limit(0)).collect() == []
 
 
+def test_personal_data_shapes(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = [(i, f"{word()} kontakt via mail an {word()}@{word()}.org {word()}") for i in range(30)]
+    rows += [(100 + i, f"{word()} bitte ruf an unter +49 170 {2000000 + i} danke {word()}") for i in range(30)]
+    shapes = ["jo (at) example.com", "jo at example.com", "0049 170 1234567", "01701234567"]
+    rows += [(200 + i, f"{word()} {'kontakt via mail an' if i < 2 else 'bitte ruf an unter'} {s} danke") for i, s in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in pii.find_personal_data(df).collect()}
+    text = dict(rows)
+    for i, s in enumerate(shapes):
+        at = text[200 + i].index(s)
+        assert f"{'email' if i < 2 else 'phone'}:{at}:{at + len(s)}" in got[200 + i].split(",")
+
+
 def toxic_rows(n=900):
     r = random.Random(5)
     docs, labels = [], []

@@ -38,9 +38,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch sent to Python; a larger row goes alone.
+BATCH_BYTES = 4 << 20
+
+
 def batch_rows(of: DataFrame, rows: int = 1000) -> None:
-    """Sets how many rows the session sends to Python at once: few where rows are whole texts, so that workers hold little."""
+    """Sets how much the session sends to Python at once, in rows and bytes: little, so that workers hold little."""
     of.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    of.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 #: Rows up to which a table of one row for each group is sent to every task.

@@ -8,6 +8,8 @@ verified by parity() and by the tests.
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -29,7 +31,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters encoded at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Threads of a worker's backend, unless RAYON_NUM_THREADS says otherwise: an executor has a worker for each core, and each thread holds memory.
+THREADS = 2
 
 
 @dataclass
@@ -112,7 +116,7 @@ def _merges(m: Model) -> list[tuple[str, str]]:
 
 
 _WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
-_WORDS = re.compile(_WORD)
+_WORD_START = re.compile(f"(?<=[^{MARK}]){MARK}")
 
 
 def splits_at_marks(m: Model) -> bool:
@@ -141,48 +145,51 @@ def build(m: Model) -> Tokenizer:
 
 
 class Codec:
-    """Encodes and decodes batches. Where words can be encoded apart, each distinct word is encoded once and kept."""
+    """Encodes and decodes batches on THREADS threads. Nothing is kept from text to text but the backend's own small cache.
 
-    def __init__(self, path: str = MODEL, most_words: int = 150_000) -> None:
+    Where no piece goes on after a word's end, a long text is cut between words to chunks of SLICE characters or so, which are encoded and decoded apart.
+    """
+
+    def __init__(self, path: str = MODEL) -> None:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         with open(path, "rb") as f:
             m = parse_model(f.read())
         self.tokenizer = build(m)
-        self.most_words = most_words
-        self.known: dict[str, bytes] = {}
-        self.by_word = None
-        if splits_at_marks(m):
-            self.by_word = build(m)
-            self.by_word.normalizer = self.by_word.pre_tokenizer = None
+        self.apart = splits_at_marks(m)
+        # texts are normalised before they are cut, so the backend's own normaliser must not run again
+        normalizer, self.tokenizer.normalizer = self.tokenizer.normalizer, None
         plain = not m.charsmap and not m.remove_extra and m.escape and m.dummy_prefix
-        self.normalize = (lambda x: MARK + x.replace(" ", MARK) if x else x) if plain else self.tokenizer.normalizer.normalize_str
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
-        self.prefix = b" " if m.dummy_prefix else b""
-
-    def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers; a slice of texts at a time should be given, as all its words are held."""
-        if self.by_word is None:
-            return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        words = _WORDS.findall
-        split = [words(self.normalize(x)) for x in texts]
-        if len(self.known) > self.most_words:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, (np.array(e.ids, np.int32).tobytes() for e in self.by_word.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [b"".join(map(known.__getitem__, w)) for w in split]
+        self.normalize = (lambda x: MARK + x.replace(" ", MARK) if x else x) if plain else normalizer.normalize_str
+        self.glue = " " if m.dummy_prefix else ""
+
+    def _chunks(self, text: str) -> list[str]:
+        x = self.normalize(text)
+        if not self.apart or len(x) <= SLICE:
+            return [x] if x else []
+        out, at = [], 0
+        while at < len(x):
+            end = _WORD_START.search(x, at + SLICE) if at + SLICE < len(x) else None
+            out.append(x[at : end.start() if end else len(x)])
+            at += len(out[-1])
+        return out
+
+    def encode_chunks(self, texts: list[str]) -> list[list[list[int]]]:
+        """The ids of each text's chunks; all texts are held at once, so a slice of them should be given."""
+        chunks = [self._chunks(t) for t in texts]
+        got = iter(self.tokenizer.encode_batch_fast([c for own in chunks for c in own], add_special_tokens=False))
+        return [[next(got).ids for _ in own] for own in chunks]
+
+    def decode_chunks(self, ids: list[list[list[int]]]) -> list[str]:
+        """Each text from the ids of its chunks. The decoder takes the dummy prefix off each chunk, which begins with a space all but the first time."""
+        got = iter(self.tokenizer.decode_batch([c for own in ids for c in own], skip_special_tokens=False))
+        return [self.glue.join([next(got) for _ in own]) for own in ids]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(x, np.int32).tolist() for part in _slices(texts) for x in self.encode_bytes(part)]
+        return [[i for c in own for i in c] for part in _slices(texts) for own in self.encode_chunks(part)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def gives_back(self, ids: list[int], text: str) -> bool:
-        """Whether the pieces' bytes, without the dummy prefix, are the text's."""
-        return b"".join(map(self.bytes.__getitem__, ids)).removeprefix(self.prefix) == text.encode()
-
 
 _loaded: dict[str, Codec] = {}
 
@@ -206,10 +213,11 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, *, model: str = MODEL, column: str = "text", decoded: bool = False) -> DataFrame:
-    """docs with token_ids (null for a null text, empty for an empty one), n_tokens (0 for null), round_trip (whether decoding gives the
-    text back; null for null) and, if asked for, decoded. Columns of docs with these names are replaced.
+    """docs with token_ids (null for a null text, empty for an empty one), n_tokens (0 for null), round_trip (whether the decoder gives the
+    text back from the ids; null for null) and, if asked for, the decoded text. Columns of docs with these names are replaced; others, of any name, stay.
 
-    Texts are encoded whole, SLICE characters at a time; every row by itself, so repeated rows and ties get equal results.
+    Texts are encoded and decoded whole, about SLICE characters at a time; every row by itself, so repeated rows and ties get equal results.
+    An empty table gives an empty result.
     """
     ship(docs)
     batch_rows(docs)
@@ -222,21 +230,20 @@ def encode(docs: DataFrame, *, model: str = MODEL, column: str = "text", decoded
         for batch in batches:
             texts = batch.column(1).to_pylist()
             null = [x is None for x in texts]
-            ids: list[bytes] = []
+            ids: list[np.ndarray] = []
             same, back = [], []
             for part in _slices([x or "" for x in texts]):
-                got = codec.encode_bytes(part)
-                for b, text in zip(got, part, strict=True):
-                    one = np.frombuffer(b, np.int32).tolist()
-                    same.append(codec.gives_back(one, text))
-                    if decoded:
-                        back += codec.decode([one])
-                ids += got
-            n = [len(x) // 4 for x in ids]  # none for null and empty texts
+                got = codec.encode_chunks(part)
+                again = codec.decode_chunks(got)
+                same += [a == b for a, b in zip(again, part, strict=True)]
+                if decoded:
+                    back += again
+                ids += [np.fromiter(itertools.chain.from_iterable(own), np.int32) for own in got]
+            n = [len(x) for x in ids]  # none for null and empty texts
             ends = np.cumsum([0, *n]).tolist()
             offsets = [None if z else at for z, at in zip(null, ends, strict=False)]
             at = ends[-1]
-            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+            flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))
             columns = [batch.column(0), pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), flat), pa.array(n, pa.int64()), pa.array([None if z else s for z, s in zip(null, same, strict=True)], pa.bool_())]
             if decoded:
                 columns.append(pa.array([None if z else b for z, b in zip(null, back, strict=True)], pa.string()))

@@ -1,12 +1,12 @@
 """N-gram Jaccard join by MinHash banding.
 
-1. Every text becomes its set of hashed word 5-grams, a hash of that set, and its band hashes.
-2. Texts with equal sets are one class of copies; the least doc_id stands for it.
-3. Representatives meet in a shuffle on band hashes. Each is tied to the least of its bucket, and
+1. Every text becomes its set of hashed word 5-grams, a 128-bit hash of that set, and its band hashes.
+2. Texts with equal sets are one class of copies, which has a number of its own; one row's text stands for it.
+3. Classes meet in a shuffle on band hashes. Each is tied to the least of its bucket, so
    the ties' components hold every pair that shares a band.
-4. Within a component all pairs are verified on the full n-gram sets, by blocks of bounded size:
+4. Within a component the pairs that share a band are verified on the full n-gram sets, by blocks of bounded size:
    a component beyond one block is split, and every two blocks of it meet in one task.
-   Pairs are counted there, never emitted.
+   Pairs are counted there, each once, never emitted.
 """
 
 from __future__ import annotations
@@ -17,18 +17,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..shipping import ship
-from .common import batch_rows, materialize
+from .common import batch_rows, materialize, small
 from .components import components
 from .shingles import N_WORDS, mix64, shingle_sets
 
 THRESHOLD = 0.8
 RECALL = 0.9999
-#: Bounds of a block: n-grams and texts.
-BLOCK_GRAMS, BLOCK_TEXTS = 1 << 20, 2048
+#: Bounds of a block: n-grams and texts. A text beyond the bound is a block of its own.
+BLOCK_GRAMS, BLOCK_TEXTS = 1 << 20, 256
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, loose: float = 0.4, most_loose: float = 0.5) -> tuple[int, int]:
@@ -51,7 +52,7 @@ def _signature(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def text_keys(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = N_WORDS) -> DataFrame:
-    """(doc_id, n, k1, k2, bands): n-grams, 128-bit hash of the n-gram set, band hashes. No words: n = 0 and nulls."""
+    """(doc_id, r, n, k1, k2, bands): hash of id and text, n-grams, 128-bit hash of the n-gram set, band hashes. No words: n = 0 and nulls."""
     ship(docs)
     batch_rows(docs)
     n_bands, rows = bands_for(threshold, recall)
@@ -64,7 +65,7 @@ def text_keys(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
         for batch in batches:
             n, k1, k2, bands = [], [], [], []
             with np.errstate(over="ignore"):
-                for grams in shingle_sets(batch.column(1), width):
+                for grams in shingle_sets(batch.column(2), width):
                     n.append(len(grams))
                     if not len(grams):
                         k1.append(None), k2.append(None), bands.append(None)
@@ -76,14 +77,26 @@ def text_keys(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
                     for r in range(rows):
                         h = mix64(h ^ sig[:, r])
                     bands.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "r", "n", "k1", "k2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(keys, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    schema = docs.select("doc_id").schema.add("r", "long").add("n", "long").add("k1", "long").add("k2", "long").add("bands", ArrayType(LongType()))
+    return docs.select("doc_id", _row_hash().alias("r"), "text").mapInArrow(keys, schema)
 
 
-def _verify(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray, across: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(root, documents linked, texts linked) for each representative of a cell; across: only pairs of different sides."""
+def _row_hash() -> Column:
+    """Tells the rows of a table apart by id and text, in 64 bits; equal rows are equal in it."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _verify(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, across: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(root, documents linked) for each class of a cell, from the pairs that share a band; across: only pairs of different sides."""
     n = len(reps)
+    met = np.zeros((n, n), bool)
+    for j in range(bands.shape[1]):
+        met |= bands[:, j, None] == bands[None, :, j]
+    if across:
+        met &= side[:, None] != side[None, :]
+    np.fill_diagonal(met, False)
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(n), size)
@@ -103,11 +116,8 @@ def _verify(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side:
         x[owner[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - k * step] = 1
         common += x @ x.T
     # common / (a + b - common) >= num / den, in whole numbers
-    linked = common.astype(np.int64) * (num + den) >= num * (size[:, None] + size[None, :])
-    np.fill_diagonal(linked, False)
-    if across:
-        linked &= side[:, None] != side[None, :]
-    links, texts = linked @ copies, linked.sum(axis=1)
+    linked = met & (common.astype(np.int64) * (num + den) >= num * (size[:, None] + size[None, :]))
+    links = linked @ copies
     root, seen = reps.copy(), np.zeros(n, bool)
     for i in np.argsort(reps, kind="stable"):
         if seen[i]:
@@ -117,86 +127,105 @@ def _verify(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side:
             new = np.flatnonzero(linked[todo.pop()] & ~seen)
             seen[new], root[new] = True, reps[i]
             todo += new.tolist()
-    return root, links, texts
+    return root, links
 
 
-def ngram_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, width: int = N_WORDS) -> DataFrame:
-    """(doc_id, class_id, n_links) for each row of docs(doc_id, text).
-
-    class_id is the least doc_id of the component of documents linked by Jaccard similarity of threshold
-    or more; n_links counts the other rows linked to the row, copies included. Texts of fewer
-    words than width have one n-gram of all their words. Null and empty texts take no part: class
-    of their own, no links. Repeated rows are copies of each other; different texts of one doc_id share a class.
-    """
+def ngram_classes(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, width: int = N_WORDS) -> DataFrame:
+    """(doc_id, r, root, class_id, n_links) for each row of docs(doc_id, text): root numbers the class within this run; null without words."""
     ship(docs)
     batch_rows(docs)
     num, den = round(threshold * 1000), 1000
     keys = materialize(text_keys(docs, threshold, recall, width), "keys")
-    classes = keys.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
-    met = classes.select("rep", F.explode("bands").alias("band"))
-    bucket = met.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("band", "least")
-    ties = met.join(bucket, "band").filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    classes = keys.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least_id"), F.min("r").alias("r"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # numbered where they are written, so that the numbers stay
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    met = classes.select("node", F.explode("bands").alias("band"))
+    bucket = met.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band", "least")
+    ties = met.join(materialize(bucket, "buckets"), "band").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     near = components(ties, "candidates")
-    near = materialize(near.select(F.col("u").alias("rep"), F.col("m").alias("comp")).unionByName(near.select(F.col("m").alias("rep"), F.col("m").alias("comp")).distinct()), "near")
-    cells = classes.select("rep", "k1", "copies", "n").join(near, "rep")
-    cells = materialize(cells, "members")
-    weight = cells.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("nb"))
+    near = materialize(near.select(F.col("u").alias("node"), F.col("m").alias("comp")).unionByName(near.select(F.col("m").alias("node"), F.col("m").alias("comp")).distinct()), "near")
+    cells = materialize(classes.select("node", "r", "k1", "k2", "copies", "n", "bands").join(near, "node"), "members")
+    weight = cells.groupBy("comp").agg(F.greatest(F.least(F.ceil(F.sum("n") / BLOCK_GRAMS), F.count("*")), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("nb"))
+    weight = materialize(weight, "weights")
     split = weight.filter("nb > 1").limit(1).count() > 0
-    placed = cells.join(weight, "comp").withColumn("b", F.pmod(F.xxhash64("rep", "k1"), F.col("nb")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    placed = placed.select("rep", "k1", "copies", "comp", "b", F.least("b", "other").alias("bi"), F.greatest("b", "other").alias("bj"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed.hint("shuffle_hash"), "rep")
-    parts = texts.select("comp", "bi", "bj", "b", "rep", "k1", "copies", "text").repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
+    # small components, all but few, are one cell; what is left is dealt to pairs of blocks
+    placed = cells.join(small(weight), "comp").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    texts = docs.select(_row_hash().alias("r"), "text").join(placed, "r")
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    texts = texts.withColumn("bi", F.least("b", "other")).withColumn("bj", F.greatest("b", "other"))
+    parts = texts.select("comp", "bi", "bj", "b", "node", "k1", "k2", "copies", "bands", "text").repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, reps, copies, side, sets, got = None, [], [], [], [], set()
+        cell, nodes, copies, bands, side, sets, got = None, [], [], [], [], [], set()
         out: list[tuple] = []
 
         def close() -> None:
-            if len(reps) > 1:
-                r = np.array(reps, np.int64)
-                out.extend(zip(reps, *(x.tolist() for x in _verify(r, np.array(copies, np.int64), sets, np.array(side), cell[1] != cell[2], num, den)), strict=True))
+            if len(nodes) > 1:
+                r = np.array(nodes, np.int64)
+                out.extend(zip(nodes, *(x.tolist() for x in _verify(r, np.array(copies, np.int64), sets, np.array(bands, np.int64), np.array(side), cell[1] != cell[2], num, den)), strict=True))
 
         def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[]] * 4
+            columns = list(zip(*out, strict=True)) or [[]] * 3
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "root", "links", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "root", "links"])
 
         for batch in batches:
-            comp, bi, bj, b, rep, k1, n_copies = (batch.column(i).to_pylist() for i in range(7))
-            for i, grams in enumerate(shingle_sets(batch.column(7), width)):
+            comp, bi, bj, b, node, k1, k2, n_copies = (batch.column(i).to_pylist() for i in range(8))
+            of = batch.column(8).to_pylist()
+            for i, grams in enumerate(shingle_sets(batch.column(9), width)):
                 if (comp[i], bi[i], bj[i]) != cell:
                     close()
-                    cell, reps, copies, side, sets, got = (comp[i], bi[i], bj[i]), [], [], [], [], set()
-                key = int(np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64)[0])
-                if key != k1[i] or (rep[i], key) in got:  # another text of this doc_id, or a repeated row
+                    cell, nodes, copies, bands, side, sets, got = (comp[i], bi[i], bj[i]), [], [], [], [], [], set()
+                # a repeated row, or a row whose hash is another's
+                if node[i] in got or np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64).tolist() != [k1[i], k2[i]]:
                     continue
-                got.add((rep[i], key))
-                reps.append(rep[i]), copies.append(n_copies[i]), side.append(b[i]), sets.append(grams)
+                got.add(node[i])
+                nodes.append(node[i]), copies.append(n_copies[i]), bands.append(of[i]), side.append(b[i]), sets.append(grams)
             if len(out) > 5000:
                 yield batch_of()
         close()
         yield batch_of()
 
-    found = materialize(parts.mapInArrow(verified, "rep long, root long, links long, texts long"), "verified")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    found = materialize(parts.mapInArrow(verified, "node long, root long, links long"), "verified")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if split:
-        whole = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "links")
-        links = links.drop("root").join(whole.select(F.col("u").alias("rep"), F.col("m").alias("root")), "rep", "left")
-    by_class = classes.select("k1", "k2", "rep", "copies").join(links, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    full = keys.filter("n > 0").select("doc_id", "k1", "k2").join(by_class, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
-    empty = keys.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        whole = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "links")
+        links = links.drop("root").join(whole.select(F.col("u").alias("node"), F.col("m").alias("root")), "node", "left")
+    by_class = materialize(classes.select("k1", "k2", "node", "least_id", "copies").join(links, "node", "left").select("k1", "k2", "least_id", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "linked")
+    ids = materialize(by_class.groupBy("root").agg(F.min("least_id").alias("class_id")), "ids")
+    by_class = materialize(by_class.join(ids, "root").select("k1", "k2", "root", "class_id", "n_links"), "classed")
+    full = keys.filter("n > 0").select("doc_id", "r", "k1", "k2").join(by_class, ["k1", "k2"]).select("doc_id", "r", "root", "class_id", "n_links")
+    empty = keys.filter("n = 0").select("doc_id", "r", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(empty)
 
 
+def ngram_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, width: int = N_WORDS) -> DataFrame:
+    """(doc_id, class_id, n_links) for each row of docs(doc_id, text); other columns are not read.
+
+    A row's class is the component of texts linked by Jaccard similarity of threshold or more, and class_id the least doc_id in it
+    (nulls aside; null if it has no other); n_links counts the other rows linked to the row, copies included. Texts of fewer
+    words than width have one n-gram of all their words. Null and empty texts take no part: class
+    of their own, no links. Repeated rows are copies of each other; different texts of one doc_id, or of none, are different rows. An
+    empty table gives an empty result. doc_id is of any type that has an order.
+    """
+    return ngram_classes(docs, threshold=threshold, recall=recall, width=width).select("doc_id", "class_id", "n_links")
+
+
 def one_of_each(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that stand for their class: those with the least doc_id of it, one row of each id."""
-    joined = materialize(ngram_join(docs, **options), "joined")  # type: ignore[arg-type]
-    gone = joined.filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    twice = joined.groupBy(F.col("doc_id").alias("twice_id")).count().filter("count > 1").select("twice_id")
-    if twice.limit(1).count() == 0:
-        return kept
-    once = kept.join(twice, kept["doc_id"] == twice["twice_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"] == twice["twice_id"], "left_anti").unionByName(once)
+    """One row of docs for each class, with all its columns: of the least doc_id, then of the least hash of id and text.
+
+    Rows without words all stay. Of repeated rows one stays. An empty table gives an empty result.
+    """
+    rows = materialize(ngram_classes(docs, **options), "joined")  # type: ignore[arg-type]
+    rows = rows.filter("root is not null")
+    # of the least doc_id, nulls last, the least hash
+    least = rows.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("r").alias("stays"))
+    gone = rows.join(materialize(least, "stay"), "root").filter("r <> stays").select(F.col("r").alias("gone_r")).distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("of"), _row_hash().alias("own_r"))
+    kept = own.join(materialize(gone, "gone"), F.col("own_r") == F.col("gone_r"), "left_anti")
+    twice = materialize(rows.groupBy(F.col("r").alias("twice_r")).count().filter("count > 1").select("twice_r"), "repeated")
+    if twice.limit(1).count() > 0:
+        again = F.col("own_r") == F.col("twice_r")
+        once = kept.join(twice, again, "left_semi").dropDuplicates(["own_r"])
+        kept = kept.join(twice, again, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"of.`{c}`").alias(c) for c in docs.columns])

@@ -12,7 +12,8 @@ A run of m lines is repeated if its suffix lies in an interval of longest common
 interval of the rank of its first 2^k lines met with that of its last 2^k lines, 2^k <= m < 2^(k+1).
 Runs count from LEAST_WORDS words. Every maximal repeated run is the union of the shortest runs of that
 many words that end or begin within it, so only these are looked up, one forward and
-one backward for each line. Lines of runs with an earlier copy are deleted.
+one backward for each line. Lines of runs with an earlier copy are deleted; a run that overlaps the first one of its interval
+is no copy of it, so that of a text that repeats one line the first copy stays whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -31,25 +32,30 @@ from .common import batch_rows, materialize
 LEAST_WORDS = 50
 
 _LINES = "doc_id long, text_key long, i int, line int, h1 long, h2 long, fwd int, bwd int"
+#: Stands for a null doc_id, behind all others.
+_NO_ID = 2**63 - 1
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
 
 
 def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each line with words: its number i among them, its number among all lines, its 128-bit id, and
     the lengths in lines of the shortest runs of least_words words from it on (fwd) and up to it (bwd); 0 if there is none.
 
-    Lines are equal if they are after trimming white space. text_key tells texts of one doc_id apart.
+    Lines are equal if they are after trimming white space. text_key, a hash, tells texts of one doc_id apart; a null doc_id is _NO_ID here.
     """
     ship(docs)
     batch_rows(docs)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             parts: list[list] = [[] for _ in range(8)]
-            for doc_id, value in zip(ids, batch.column(1), strict=True):
+            for doc_id, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = (value.as_py() or "").encode()
                 full = [(k, t, len(t.split())) for k, t in ((k, t.strip()) for k, t in enumerate(text.split(b"\n"))) if t]
-                if not full or doc_id is None:
+                if not full:
                     continue
                 n = len(full)
                 sums = np.concatenate(([0], np.cumsum([w for _, _, w in full])))
@@ -59,13 +65,12 @@ def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 begin = np.searchsorted(sums, sums[1:] - least_words, side="right") - 1
                 at = np.arange(n)
                 ids128 = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for _, t, _ in full), np.int64)
-                key = xxhash.xxh3_64_intdigest(text) - 2**63
                 for part, x in zip(parts, (np.full(n, doc_id), np.full(n, key), at, np.array([k for k, _, _ in full]), ids128[0::2], ids128[1::2], np.where(stop <= n, stop - at, 0), np.where(begin >= 0, at + 1 - begin, 0)), strict=True):
                     part.append(x)
             kinds = [np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, np.int32, np.int32]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(k) if p else np.zeros(0, k)) for p, k in zip(parts, kinds, strict=True)], ["doc_id", "text_key", "i", "line", "h1", "h2", "fwd", "bwd"])
 
-    return docs.select("doc_id", "text").mapInArrow(lines, _LINES)
+    return docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(lines, _LINES)
 
 
 def _ranked(pairs: DataFrame, name: str) -> DataFrame:
@@ -114,29 +119,32 @@ def repeated_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFr
         part = part.select(*key, "m", "head", "tail")
         ranked = part if ranked is None else ranked.unionByName(part)
     assert ranked is not None
-    # sequence place as one number, so that the least of an interval is found by hash aggregation
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("i")
+    # sequence place as one number, so that the least of an interval is found by hash aggregation: id, 24 bits of the text's hash, line
+    number = lambda c: c.cast("decimal(20,0)")
+    place = number(F.col("doc_id")) * F.lit(2**56).cast("decimal(17,0)") + number(F.shiftrightunsigned("text_key", 40)) * F.lit(2**32).cast("decimal(10,0)") + number(F.col("i"))
     ranked = materialize(ranked.withColumn("place", place.cast("decimal(38,0)")), "ranked")
-    interval = ranked.groupBy("m", "head", "tail").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last")
-    later = ranked.join(interval, ["m", "head", "tail"]).filter("place > first")
+    interval = ranked.groupBy("m", "head", "tail").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("last - first >= m")
+    # written first, so that the join deals its rows anew and a hot interval can be split
+    interval = materialize(interval.select("m", "head", "tail", "first"), "first")
+    later = ranked.join(interval, ["m", "head", "tail"]).filter("place - first >= m")
     gone = later.select("doc_id", "text_key", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("m") - 1)).alias("i")).distinct()
     return gone.join(lines.select(*key, "line").distinct(), key).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS, drop_emptied: bool = False) -> DataFrame:
-    """docs with the lines of later copies deleted from text, n_chars (if there is one) set anew, and n_deleted.
+    """docs with the lines of later copies deleted from text, n_chars (if there is one) set anew, and n_deleted (replaced, if there is one).
 
     Null, empty and short texts (under least_words words) stay as they are. Lines without words take no part and stay.
-    Copies are later by doc_id, then by place; repeated rows of one id and text count once and get the same result; texts of one
-    doc_id at the same place are no copies of each other. drop_emptied leaves out texts that lost all their words.
+    Copies are later by doc_id, a whole number, nulls last, then by a hash of the text, then by place; repeated rows of one id and text count once
+    and get the same result. drop_emptied leaves out texts that lost all their words. An empty table gives an empty result.
     """
     ship(docs)
     batch_rows(docs)
-    gone = materialize(repeated_lines(docs, least_words=least_words), "deleted").select(F.col("doc_id").alias("gone_id"), "text_key", "lines")
-    at = {c: k for k, c in enumerate(docs.columns)}
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    marks = gone.groupBy("gone_id").agg(F.collect_list(F.struct("text_key", "lines")).alias("marks"))
-    joined = row.join(marks.hint("shuffle_hash"), F.col("row.doc_id") == F.col("gone_id"), "left").select(F.col("row.text").alias("text"), "marks", "row")
+    gone = materialize(repeated_lines(docs, least_words=least_words), "deleted").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), F.col("lines").alias("gone_lines"))
+    columns = [c for c in docs.columns if c != "n_deleted"]
+    at = {c: k for k, c in enumerate(columns)}
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), _id().alias("own_id"), F.xxhash64("text").alias("own_key"))
+    joined = row.join(gone.hint("shuffle_hash"), (F.col("own_id") == F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left").select(F.col("row.text").alias("text"), F.col("gone_lines").alias("marks"), "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,26 +152,20 @@ def dedup_lines(docs: DataFrame, *, least_words: int = LEAST_WORDS, drop_emptied
             counts = [0] * len(texts)
             blank = [False] * len(texts)
             for k, marks in enumerate(batch.column(1)):
-                if not marks.is_valid:
-                    continue
-                key = xxhash.xxh3_64_intdigest(texts[k].encode()) - 2**63 if texts[k] is not None else None
-                for m in marks.as_py():
-                    if m["text_key"] == key:
-                        out = set(m["lines"])
-                        texts[k] = "\n".join(t for j, t in enumerate(texts[k].split("\n")) if j not in out)
-                        counts[k], blank[k] = len(out), not texts[k].strip(" \t\n\x0b\x0c\r")
+                if marks.is_valid and texts[k] is not None:
+                    out = set(marks.as_py())
+                    texts[k] = "\n".join(t for j, t in enumerate(texts[k].split("\n")) if j not in out)
+                    counts[k], blank[k] = len(out), not texts[k].strip(" \t\n\x0b\x0c\r")
             rows = batch.column(2)
-            columns = [rows.field(c) if c not in (at["text"], at.get("n_chars")) else None for c in range(len(at))]
-            columns[at["text"]] = pa.array(texts, rows.type.field(at["text"]).type)
+            new = [rows.field(c) if c not in (at["text"], at.get("n_chars")) else None for c in range(len(at))]
+            new[at["text"]] = pa.array(texts, rows.type.field(at["text"]).type)
             if "n_chars" in at:
                 old = rows.field(at["n_chars"]).to_pylist()
-                columns[at["n_chars"]] = pa.array([len(t) if n else o for t, n, o in zip(texts, counts, old, strict=True)], rows.type.field(at["n_chars"]).type)
-            out_batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(rows.type)), pa.array(counts, pa.int64()), pa.array(blank, pa.bool_())], ["row", "n_deleted", "emptied"])
-            yield out_batch
+                new[at["n_chars"]] = pa.array([len(t) if n else o for t, n, o in zip(texts, counts, old, strict=True)], rows.type.field(at["n_chars"]).type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(new, fields=list(rows.type)), pa.array(counts, pa.int64()), pa.array(blank, pa.bool_())], ["row", "n_deleted", "emptied"])
 
     schema = joined.select("row").schema.add("n_deleted", "long").add("emptied", "boolean")
     done = joined.mapInArrow(cut, schema)
     if drop_emptied:
         done = done.filter("not emptied")
-    names = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*names, *([] if "n_deleted" in docs.columns else ["n_deleted"]))
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], "n_deleted")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from recallspark.llm import line_dedup, ngram_join
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -32,7 +34,14 @@ def brute_join(rows):
                 links[i] += 1
                 links[j] += 1
                 root[max(find(i), find(j))] = min(find(i), find(j))
-    return sorted((rows[i][0], rows[find(i)][0], links[i]) for i in range(n))
+    least = {}
+    for i in range(n):
+        least.setdefault(find(i), []).append(rows[i][0])
+    return by_id((rows[i][0], min((x for x in least[find(i)] if x is not None), default=None), links[i]) for i in range(n))
+
+
+def by_id(rows):
+    return sorted(map(tuple, rows), key=lambda r: tuple((x is not None, x or 0) for x in r))
 
 
 def near_texts(seed=1):
@@ -57,6 +66,33 @@ def test_join_is_brute_force(spark):
     assert got == brute_join(rows)
 
 
+def test_join_of_shared_and_missing_ids(spark):
+    r = random.Random(8)
+    texts = near_texts(3)
+    rows = [(r.choice([None, 1, 2, 3, 4, 5, *range(6, 60)]), t) for t in texts]
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, root string, own_r int")
+    assert by_id(ngram_join.ngram_join(df).collect()) == brute_join(rows)
+    # doc 1 has two texts; doc 2 is near the first, docs 3 and 4 are near the second
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    near = lambda w, x: " ".join([*w[:-1], x])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, "x")), (3, near(b, "x")), (4, near(b, "y"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.ngram_join(df).collect())) == sorted([(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 1, 2)])
+    # each text of doc 1 stands for its own class
+    assert sorted(map(tuple, ngram_join.one_of_each(df).collect())) == sorted(rows[:2])
+
+
+def test_one_of_each(spark):
+    texts = near_texts(4)
+    df = frame(spark, texts).withColumn("own_r", F.lit("clash")).withColumn("of", F.lit(1))
+    classes = {d: c for d, c, _ in brute_join(list(enumerate(texts)))}
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(df).collect()) == sorted(d for d, c in classes.items() if d == c)
+    assert ngram_join.one_of_each(df).columns == df.columns
+    assert ngram_join.one_of_each(df.limit(0)).collect() == []
+    none = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "g h i"), (None, None), (None, None)], "doc_id long, text string")
+    assert sorted(str(r.text) for r in ngram_join.one_of_each(none).collect()) == ["None", "None", "a b c d e f", "g h i"]
+
+
 def test_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 3)
     texts = near_texts(2)
@@ -78,21 +114,19 @@ def test_bands():
 
 
 def brute_lines(rows, least=50):
-    """Every run of lines of least words or more that has an earlier copy is deleted."""
-    docs = [(i, [(k, t.strip(), len(t.split())) for k, t in enumerate((text or "").split("\n")) if t.strip()]) for i, text in rows]
-    seen, order = {}, []
+    """Every run of lines of least words or more that has an earlier copy which it doesn't overlap is deleted. rows: (id, text), equal rows once."""
+    docs = [(d, [(k, t.strip(" \t\n\x0b\x0c\r"), len(t.split())) for k, t in enumerate((text or "").split("\n")) if t.strip()]) for d, (_, text) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)))]
+    seen, gone = {}, {}
     for d, full in docs:
         for a in range(len(full)):
+            n = 0
             for b in range(a + 1, len(full) + 1):
-                if sum(x[2] for x in full[a:b]) >= least:
-                    order.append((d, a, b, tuple(x[1] for x in full[a:b])))
-    for d, a, _, run in order:
-        seen[run] = min(seen.get(run, (d, a)), (d, a))
-    gone = {}
-    for d, a, b, run in order:
-        if seen[run] < (d, a):
-            gone.setdefault(d, set()).update(dict(docs)[d][x][0] for x in range(a, b))
-    return {i: None if text is None else "\n".join(t for k, t in enumerate(text.split("\n")) if k not in gone.get(i, ())) for i, text in rows}
+                n += full[b - 1][2]
+                if n >= least:
+                    first = seen.setdefault(tuple(x[1] for x in full[a:b]), (d, a))
+                    if first[0] < d or first[1] + b - a <= a:
+                        gone.setdefault(d, set()).update(x[0] for x in full[a:b])
+    return [(i, None if text is None else "\n".join(t for k, t in enumerate(text.split("\n")) if k not in gone.get(d, ()))) for d, (i, text) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)))]
 
 
 def line_texts(seed=3):
@@ -103,13 +137,28 @@ def line_texts(seed=3):
 
 
 def test_lines_are_brute_force(spark):
-    texts = line_texts()
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
-    want = brute_lines([(i, t) for i, t in enumerate(texts) if t is None or len(t) < 700 or " " in t], 50)
-    assert {i: got[i] for i in want} == want
-    # 400 equal lines: the first fifty words are their own first copy, the rest and the second text are later ones
-    i = texts.index("a\n" * 400)
-    assert len(got[i].split()) < 60 and got[i + 1].split() == []
+    for seed in (3, 9):
+        texts = [t for t in line_texts(seed) if t is None or len(t) < 700 or " " in t]
+        got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, texts)).collect())
+        assert got == brute_lines(list(enumerate(texts)))
+
+
+def test_lines_that_overlap_their_copies(spark):
+    line = " ".join(f"w{i}" for i in range(25))
+    texts = ["a\n" * 400, "a\n" * 400, "b\n" * 70, "\n".join([line] * 3), "\n".join([line + " x"] * 4), "c\nd\n" * 60]
+    got = [r.text for r in sorted(line_dedup.dedup_lines(frame(spark, texts)).collect())]
+    # the first copy of a run stays whole: fifty words of the first, no line of the second, all of what only overlaps itself
+    assert got[0].split() == ["a"] * 50 and got[1].split() == [] and got[2] == texts[2] and got[3] == texts[3]
+    assert got[4] == "\n".join([line + " x"] * 2)
+    assert got == [t for _, t in brute_lines(list(enumerate(texts)))]
+
+
+def test_lines_without_ids(spark):
+    run = "\n".join(f"{i} " + "word " * 20 for i in range(4))
+    df = spark.createDataFrame([(None, run), (7, "x\n" + run), (None, run + "\ny"), (7, "z"), (-3, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.text)) for r in line_dedup.dedup_lines(df).collect())
+    # null ids come last; one text keeps the run, that of doc 7
+    assert got == sorted([("None", ""), ("7", "x\n" + run), ("None", "y"), ("7", "z"), ("-3", "None")])
 
 
 def test_lines_edges(spark):
@@ -124,3 +173,5 @@ def test_lines_edges(spark):
     assert [r.doc_id for r in line_dedup.dedup_lines(frame(spark, [text, text]), drop_emptied=True).collect()] == [0]
     clash = df.withColumn("rank", df.doc_id).withColumn("marks", df.doc_id).withColumn("row", df.text)
     assert line_dedup.dedup_lines(clash).columns == [*clash.columns, "n_deleted"]
+    again = line_dedup.dedup_lines(line_dedup.dedup_lines(df))
+    assert again.columns == [*df.columns, "n_deleted"] and sorted(r.n_deleted for r in again.collect()) == [0, 0]

@@ -1,14 +1,14 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-1. Voters. From labelled rows lexicon entries are mined: words and word beginnings that toxic rows hold far
-   more often than others. Entries are dealt into VOTERS lexicon and pattern voters by hash; fixed patterns
-   vote too. A voter fires on a text that holds one of its entries.
-2. Votes of all documents are counted by vote vector, at most 2^voters rows. A generative model
-   is fitted to the counts by expectation maximisation: accuracies are each voter's firing rates given the label,
-   correlations a tree of pairwise dependencies given the label (the maximum spanning tree of conditional mutual
-   information). Labelled rows take part with their label, up to its accuracy, others with their expectation.
-3. The posterior labels of a bounded sample of documents train a logistic regression on words and word
-   beginnings, which scores every document.
+1. Voters. Fixed lexicons of four languages and fixed patterns vote from the start. Lexicon entries are mined besides: words and word
+   beginnings that toxic labelled rows hold far more often than others, dealt into WORD_VOTERS and PREFIX_VOTERS voters by hash.
+   A voter fires on a text that holds one of its entries.
+2. Votes of all documents are counted by vote vector. A generative model is fitted to the counts by expectation maximisation:
+   accuracies are each voter's firing rates given the label, correlations a tree of pairwise dependencies given the label (the maximum
+   spanning tree of conditional mutual information). Labelled rows take part with their label, up to its accuracy, others with their
+   expectation.
+3. The posterior labels of a bounded sample of labelled rows train a logistic regression on words and word
+   beginnings, which scores every document. Its targets are the posteriors alone, not the rows' own labels.
 
 Labels come only from rows whose crc32(doc_id) mod 5 is not 0; lang, source and ids are never inputs.
 """
@@ -25,25 +25,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import batch_rows, materialize
-
-#: Insults that vote from the start.
-LEXICON = ("idiot", "stupid", "moron", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown")
-#: Patterns that vote from the start.
-PATTERNS = (r"\byou\s+(?:are|re)\s+(?:a|an|such)\b", r"\b(?:shut up|go away|get lost|hate you)\b", r"\b[A-Z]{4,}!!!")
+from .common import batch_rows, materialize, small
+
+#: Lexicons that vote from the start, one voter each: insults to the mind and to the worth of a person, disgust, German, French and Spanish insults.
+LEXICONS = (
+    ("idiot", "idiots", "stupid", "moron", "morons", "dumb", "imbecile", "dimwit", "halfwit", "clown"),
+    ("loser", "losers", "scum", "trash", "garbage", "worthless", "filth", "vermin", "parasite"),
+    ("pathetic", "disgusting", "despicable", "vile", "ugly", "creep", "freak"),
+    ("idioten", "dumm", "dummkopf", "trottel", "arschloch", "abschaum", "versager", "mistkerl", "depp", "blödmann"),
+    ("idiote", "imbécile", "crétin", "connard", "connasse", "salaud", "ordure", "abruti", "débile", "minable"),
+    ("idiota", "estúpido", "estúpida", "imbécil", "tonto", "basura", "cabrón", "asqueroso", "patético", "gilipollas"),
+)
+#: Patterns that vote from the start, one voter each: address, command, shouting, masked words, many exclamation marks.
+PATTERNS = (
+    r"\b(?:you|you're|youre|ur)\s+(?:are\s+|re\s+)?(?:a|an|such)\b", r"\b(?:shut up|go away|get lost|hate you|drop dead)\b", r"\b[A-Z]{4,}!!!",
+    r"\b[A-Za-z][*#@$]{2,}[A-Za-z]", r"![!1]{2}",
+)
+N_FIXED = len(LEXICONS) + len(PATTERNS)
 
 WORD_VOTERS = 4
 PREFIX_VOTERS = 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
-#: Bounds of the samples that leave the cluster: labelled rows for mining, rows for the classifier.
-MINE_ROWS = 20_000
+#: Bound of the one sample that leaves the cluster: labelled rows for the classifier.
 TRAIN_ROWS = 12_000
+#: How often a label is taken to be right.
+LABEL_ACCURACY = 0.98
 LEAST_SUPPORT = 5
 LEAST_PRECISION = 0.95
-#: How often a label is right, as one more voter where there is one.
-LABEL_ACCURACY = 0.98
-#: Features of the classifier: those of its sample that tell the posterior labels apart best.
-MOST_FEATURES = 20_000
+#: A unit is a feature if its rows' posteriors lie so many standard errors from the mean, in so many rows at least.
+LEAST_FAR, LEAST_ROWS = 3, 3
 KNOWN_WORDS = 100_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -67,42 +77,54 @@ def copy_key(found: set[str]) -> bytes:
 
 
 class Lookup:
-    """The values in a table of a word's units, kept for words seen before."""
+    """The values in a table of the units of a set of words. Words seen before are not looked up again; those without a value, most of them, cost a set difference."""
 
     def __init__(self, table: dict[str, int]) -> None:
-        self.table, self.known = table, {}
-
-    def __call__(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            found = tuple(self.table[u] for u in (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)) if u in self.table)
-            if len(self.known) > KNOWN_WORDS:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        self.table, self.known, self.dull = table, {}, set()
+
+    def __call__(self, found: set[str]) -> set[int]:
+        out: set[int] = set()
+        for word in found - self.dull:
+            hit = self.known.get(word)
+            if hit is None:
+                hit = [self.table[u] for u in (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)) if u in self.table]
+                if len(self.known) + len(self.dull) > KNOWN_WORDS:
+                    self.known.clear()
+                    self.dull.clear()
+                if hit:
+                    self.known[word] = hit
+                else:
+                    self.dull.add(word)
+                    continue
+            out.update(hit)
+        return out
 
 
 class Voters:
-    """Bit j of a vote is set if voter j fires: 0 the fixed lexicon, then mined beginnings, mined words, fixed patterns."""
+    """Bit j of a vote is set if voter j fires: the fixed lexicons, mined beginnings, mined words, the fixed patterns."""
 
     def __init__(self, entries: list[str]) -> None:
-        entry: dict[str, int] = {}
+        n = len(LEXICONS)
+        entry = {}
         for e in entries:
             h = xxhash.xxh3_64_intdigest(e)
-            entry[e] = 1 + PREFIX_VOTERS + h % WORD_VOTERS if e[-1] != "*" else 1 + h % PREFIX_VOTERS
+            entry[e] = n + PREFIX_VOTERS + h % WORD_VOTERS if e[-1] != "*" else n + h % PREFIX_VOTERS
         self.entry = Lookup(entry)
-        self.fixed = set(LEXICON)
+        self.fixed = [frozenset(x) for x in LEXICONS]
         self.patterns = [re.compile(p) for p in PATTERNS]
-        self.count = 1 + PREFIX_VOTERS + WORD_VOTERS + len(PATTERNS)
+        self.first_pattern = n + PREFIX_VOTERS + WORD_VOTERS
+        self.count = self.first_pattern + len(PATTERNS)
 
     def vote(self, text: str | None, found: set[str]) -> int:
-        bits = int(not found.isdisjoint(self.fixed))
-        for u in found:
-            for j in self.entry(u):
+        bits = 0
+        for j, words in enumerate(self.fixed):
+            if not words.isdisjoint(found):
                 bits |= 1 << j
+        for j in self.entry(found):
+            bits |= 1 << j
         for k, p in enumerate(self.patterns):
             if text and p.search(text):
-                bits |= 1 << (1 + PREFIX_VOTERS + WORD_VOTERS + k)
+                bits |= 1 << (self.first_pattern + k)
         return bits
 
 
@@ -116,12 +138,11 @@ class LabelModel:
         """votes: distinct vectors as bits; counts: documents of each; known[i] = labelled documents of vector i with label 0 and 1."""
         x = (votes[:, None] >> np.arange(self.voters)) & 1
         seen = known.sum(axis=1)
-        # expectations start from the labelled rows of each vector, smoothed by the voters that fire
-        q = (known[:, 1] + 1.0 * (x.sum(axis=1) > 0) * 0.5) / (seen + 1.0)
+        # expectations start from the labelled rows of each vector, smoothed by whether voters fire
+        q = (known[:, 1] + (x.sum(axis=1) > 0) * 0.5) / (seen + 1.0)
         for _ in range(rounds):
             toxic = known[:, 1] * LABEL_ACCURACY + known[:, 0] * (1 - LABEL_ACCURACY) + (counts - seen) * q
-            w = np.stack([counts - toxic, toxic], axis=1)
-            self._maximise(x, w)
+            self._maximise(x, np.stack([counts - toxic, toxic], axis=1))
             q = self.posterior(votes)
         return self
 
@@ -190,39 +211,47 @@ def train_linear(rows: list[np.ndarray], y: np.ndarray, width: int, rounds: int
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, mine_rows: int = MINE_ROWS, train_rows: int = TRAIN_ROWS) -> dict:
-    """The model: mined entries, label model, weights and bias. Without labelled rows the fixed voters alone label. Labels of held-out rows are never read further than their filter.
+def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> dict:
+    """The model: mined entries, label model, weights and bias. Without labelled rows nothing trains the classifier and every text gets one low score.
+    Labels of held-out rows are never read further than their filter.
 
-    mine_rows and train_rows bound what leaves the cluster; both samples are taken by a hash of the id.
+    train_rows bounds the labelled rows that leave the cluster; they are taken by a hash of id and text.
     """
     ship(docs)
     batch_rows(docs)
-    order = lambda salt: F.xxhash64(F.lit(salt), "doc_id")
     gold = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # a bounded sample of labelled rows; ids first, so that texts of no other row move
-    ids = gold.orderBy(order("a"), "doc_id").limit(mine_rows)
-    mined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    entries = _mine(mined)
+    labelled = materialize(docs.select("doc_id", "text").join(small(gold), "doc_id"), "labelled")
+    entries = _mine(labelled)
     voters = Voters(entries)
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [voters.vote(t, tokens(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.int64())], ["votes"])
+
+    def cast_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes = [voters.vote(t, tokens(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(votes, pa.int64())], ["doc_id", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.int64())], ["toxic", "text", "votes"])
 
-    votes = materialize(docs.select("doc_id", "text").mapInArrow(cast, "doc_id long, votes long"), "votes")
-    labelled = votes.join(gold, "doc_id", "left").groupBy("votes").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1"))
-    table = labelled.toPandas()  # at most 2 ** voters.count rows
+    # voters fire together in few ways, so there are far fewer vectors than the 2 ** voters.count there could be
+    counted = docs.select("text").mapInArrow(cast, "votes long").groupBy("votes").agg(F.count("*").alias("n"))
+    voted = materialize(labelled.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(cast_labelled, "toxic long, text string, votes long"), "voted")
+    known = voted.groupBy("votes").agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1"))
+    table = counted.join(known, "votes", "left").na.fill(0).toPandas().sort_values("votes")
     vectors, counts = table["votes"].to_numpy(np.int64), table["n"].to_numpy(float)
     model = LabelModel(voters.count).fit(vectors, counts, table[["n0", "n1"]].to_numpy(float))
-    posterior = dict(zip(vectors.tolist(), model.posterior(vectors).tolist(), strict=True))
-    # the classifier's sample: labelled rows, whose label is one more vote, and rows on which voters fire
-    pool = votes.join(gold, "doc_id", "left").filter(~held_out(F.col("doc_id")))
-    some = pool.filter("toxic is not null").orderBy(order("c"), "doc_id").limit(train_rows * 3 // 4).unionByName(pool.filter("toxic is null and votes <> 0").orderBy(order("d"), "doc_id").limit(train_rows // 4))
-    by_vector = F.create_map(*[F.lit(x) for v, p in [(-1, 0.5), *posterior.items()] for x in (v, p)])[F.col("votes")]
-    sure = LABEL_ACCURACY / (1 - LABEL_ACCURACY)
-    odds = by_vector / (1.0 - by_vector + 1e-9) * F.when(F.col("toxic") == 1, sure).when(F.col("toxic") == 0, 1 / sure).otherwise(1.0)
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", (odds / (1.0 + odds)).alias("w"), "text")
+    posterior = {int(v): round(float(p), 9) for v, p in zip(vectors, model.posterior(vectors), strict=True)}
+    weights, bias = _train(voted, posterior, train_rows)
+    return {"entries": entries, "label_model": model, "posterior": posterior, "weights": weights, "bias": bias}
+
+
+def _train(voted: DataFrame, posterior: dict[int, float], train_rows: int) -> tuple[dict[str, float], float]:
+    """Weights of units, and bias, from the posteriors of a sample of voted(text, votes)."""
+    spark = voted.sparkSession
+    target = spark.createDataFrame(list(posterior.items()), "votes long, w double") if posterior else spark.createDataFrame([], "votes long, w double")
+    order = F.xxhash64(F.lit("c"), "text")
+    sample = voted.withColumn("by", order).orderBy("by", "votes").limit(train_rows).join(small(target), "votes").select("by", "w", "text")
     sample = materialize(sample, "sample")
     names = _select_features(sample)
     index = {u: i for i, u in enumerate(names)}
@@ -230,13 +259,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, mine_rows: int = MINE_ROWS, train
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(index)
         for batch in batches:
-            found = [sorted({k for w in tokens(t) for k in look(w)}) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "w", "f"])
+            found = [sorted(look(tokens(t))) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["by", "w", "f"])
 
-    local = sample.mapInArrow(feature_rows, "doc_id long, w double, f array<int>").toPandas().sort_values("doc_id", kind="stable")
-    y = local["w"].to_numpy(float)
-    weights, bias = train_linear([np.asarray(f, np.int64) for f in local["f"]], y, len(names))
-    return {"entries": entries, "label_model": model, "posterior": posterior, "weights": {u: float(w) for u, w in zip(names, weights, strict=True) if w}, "bias": bias}
+    local = sample.mapInArrow(feature_rows, "by long, w double, f array<int>").toPandas().sort_values(["by", "w"], kind="stable")
+    weights, bias = train_linear([np.asarray(f, np.int64) for f in local["f"]], local["w"].to_numpy(float), len(names))
+    return {u: float(w) for u, w in zip(names, weights, strict=True) if w}, bias
 
 
 def _unit_counts(rows: DataFrame) -> DataFrame:
@@ -261,7 +289,7 @@ def _unit_counts(rows: DataFrame) -> DataFrame:
 
     keyed = rows.select("text", F.col("w").cast("double").alias("w")).mapInArrow(keys, "text string, w double, key binary")
     # texts of one key have the same units, so any of them stands for all
-    once = keyed.groupBy("key").agg(F.first("text").alias("text"), F.avg("w").alias("w")).select("text", "w")
+    once = keyed.groupBy("key").agg(F.first("text").alias("text"), F.round(F.avg("w"), 9).alias("w")).select("text", "w")
     # rounding keeps sums from depending on their order
     return once.mapInArrow(emit, "u string, n long, p double").groupBy("u").agg(F.sum("n").alias("n"), F.round(F.sum("p"), 6).alias("p"))
 
@@ -273,12 +301,12 @@ def _mine(mined: DataFrame) -> list[str]:
 
 
 def _select_features(sample: DataFrame) -> list[str]:
-    """The MOST_FEATURES units whose texts' posterior labels w lie furthest, in standard errors, from the mean."""
+    """The units whose texts' posterior labels w lie far, in standard errors, from the mean; as many as the sample's texts bear."""
     rows = sample.select("text", "w")
-    mean = rows.agg(F.avg("w")).first()[0] or 0.0
+    mean = rows.agg(F.round(F.avg("w"), 9)).first()[0] or 0.0
     far = F.abs(F.col("p") - F.col("n") * mean) / F.sqrt(F.col("n") * max(mean * (1 - mean), 1e-6))
-    counted = _unit_counts(rows).filter("n >= 3").withColumn("far", far).filter("far > 3")
-    return sorted(r["u"] for r in counted.orderBy(F.col("far").desc(), "u").limit(MOST_FEATURES).collect())
+    counted = _unit_counts(rows).filter(F.col("n") >= LEAST_ROWS).filter(far > LEAST_FAR)
+    return sorted(r["u"] for r in counted.select("u").collect())
 
 
 def _shortest(good: set[str]) -> list[str]:
@@ -291,10 +319,10 @@ def _shortest(good: set[str]) -> list[str]:
     return sorted(u for u in good if not covered(u))
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs; null and empty texts get the score of no words."""
-    ship(docs)
-    batch_rows(docs)
+def _scored(rows: DataFrame, model: dict) -> DataFrame:
+    """rows(row, text) with score in place of text: from 0 to 1, to nine digits; null and empty texts get the score of no words."""
+    ship(rows)
+    batch_rows(rows)
     names = sorted(model["weights"])
     w = np.array([model["weights"][u] for u in names])
     index, bias = {u: i for i, u in enumerate(names)}, model["bias"]
@@ -302,24 +330,26 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(index)
         for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                hit = sorted({k for u in tokens(text) for k in look(u)})
-                scores.append(1 / (1 + np.exp(-np.clip(bias + w[hit].sum(), -30, 30))) if hit else 1 / (1 + np.exp(-bias)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
-
-    schema = docs.select("doc_id").schema.add("score", "double")
-    out = docs.select("doc_id", "text").mapInArrow(run, schema)
+            z = np.array([bias + w[sorted(hit)].sum() if (hit := look(tokens(t))) else bias for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9), pa.float64())], ["row", "score"])
+
+    return rows.mapInArrow(run, rows.select("row").schema.add("score", "double"))
+
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of docs. A null doc_id is not held out."""
+    out = _scored(docs.select(F.struct("doc_id").alias("row"), "text"), model).select("row.doc_id", "score")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:
+    """score() of docs(doc_id, text) by the model fitted on them and labels(doc_id, toxic). Equal texts get equal scores; of two labels of one id the higher
+    counts; an empty table gives an empty result. Other columns are not read.
+    """
     return score(docs, fit(docs, labels, **options))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs that the classifier accepts."""
-    model = fit(docs, labels, **options)
-    bad = score(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("bad_id")).distinct()
-    bad = materialize(bad, "toxic")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of docs that the classifier accepts, each by its own text, with all their columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return _scored(rows, fit(docs, labels, **options)).filter("score < 0.5").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, replace
 
 from pyspark.sql import SparkSession
 
+from .errors import ProviderError
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -20,6 +23,7 @@ class Settings:
     attempts: int = 3
     lexical_backend: str = "bm25"
     fusion_strategy: str = "discounted_agreement"
+    provider: str = "offline"
 
     def __post_init__(self) -> None:
         if not 1 <= self.vector_multiplier <= 10:
@@ -50,3 +54,12 @@ def session(name: str = "recallspark", **conf: str) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def require_provider(provider: str, *variables: str) -> None:
+    """Stops a run that was configured for another provider, or whose environment lacks what the provider needs, before it calls anything."""
+    if _current.provider != provider:
+        raise ProviderError(f"configured for {_current.provider}, not for {provider}")
+    missing = [v for v in variables if not os.environ.get(v, "").strip()]
+    if missing:
+        raise ProviderError(f"not set: {', '.join(missing)}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold, normalize, percent_encode
+from .text import normalize, percent_encode, trim_fold, trim_nfc
 
 #: Predicates and their cardinality.
 SINGLE = ("name", "location", "timezone", "database_preference", "project_status")
@@ -18,7 +18,7 @@ ALIASES = {
 
 
 def _underscored(x: Column) -> Column:
-    return F.regexp_replace(fold(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), r"(?U)[\s-]+", "_")
+    return F.regexp_replace(trim_fold(x), r"(?U)[\s\x1c-\x1f-]+", "_")
 
 
 def resolve_predicate(name: Column) -> Column:
@@ -45,7 +45,7 @@ def value_identity(x: Column) -> Column:
 
 
 def subject_id(x: Column) -> Column:
-    return _filled(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return _filled(trim_nfc(x))
 
 
 def fact_key(memory_type: Column, subject: Column, user: Column, predicate: Column, value: Column) -> Column:

@@ -94,15 +94,25 @@ def summary_due(messages: DataFrame, markers: DataFrame | None = None, trigger:
     Uncovered messages come after the marker(conv_id, marker_at, marker_id); the last keep of them wait; trigger or more others are summarised and the last
     of these is the new marker.
     """
-    rows = messages
-    if markers is not None:
-        rows = rows.join(markers.withColumnRenamed("marker_id", "old_id"), "conv_id", "left").filter(F.col("marker_at").isNull() | (F.struct("created_at", "id") > F.struct(F.col("marker_at"), F.col("old_id"))))
+    rows = messages if markers is None else after_markers(messages, markers)
     w = Window.partitionBy("conv_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     open_ = rows.withColumn("back", F.row_number().over(w)).filter(F.col("back") > keep)
     due = open_.groupBy("conv_id").agg(F.count("*").alias("n_eligible"), F.min(F.struct("created_at", "id"))["id"].alias("first_id"), F.max(F.struct("created_at", "id"))["id"].alias("marker_id"))
     return due.filter(F.col("n_eligible") >= trigger)
 
 
+def after_markers(messages: DataFrame, markers: DataFrame) -> DataFrame:
+    """The messages behind the marker(conv_id, marker_at, marker_id) of their conversation; all of one without a marker."""
+    rows = messages.join(markers.withColumnRenamed("marker_id", "old_id"), "conv_id", "left")
+    return rows.filter(F.col("marker_at").isNull() | (F.struct("created_at", "id") > F.struct(F.col("marker_at"), F.col("old_id")))).select(*messages.columns)
+
+
+def resume_progress(sessions: DataFrame) -> DataFrame:
+    """sessions(conv_id, session, n_turns, done) with total, the turns up to the session, and resumed: whether it and all before it are done, so that a run goes on behind it."""
+    w = Window.partitionBy("conv_id").orderBy("session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sessions.withColumn("total", F.sum("n_turns").over(w)).withColumn("resumed", F.min(F.col("done").cast("int")).over(w) == 1)
+
+
 def uncovered_interactions(covered: DataFrame) -> DataFrame:
     """(conv_id, boundary) from covered(conv_id, interaction, done): one after the last covered interaction, 0 if there is none."""
     return covered.groupBy("conv_id").agg(F.coalesce(F.max(F.when(F.col("done"), F.col("interaction"))), F.lit(0)).cast("long").alias("boundary"))

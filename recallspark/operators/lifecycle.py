@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ConflictError
 from ..functions.text import normalize
 
 
@@ -23,17 +24,18 @@ def actions(writes: DataFrame) -> DataFrame:
 
 
 def facts(writes: DataFrame) -> DataFrame:
-    """One row for each version of a fact: (user_id, fact_key, island, memory_id, norm_value, valid_from, valid_to, superseded_by, is_active, n_writes).
+    """One row for each version of a fact: (user_id, fact_key, island, memory_id, norm_value, valid_from, valid_to, superseded_by, is_active, n_writes, updated_at).
 
-    Id, value and start are those of the first write of a run; the next version ends it. writes need memory_id and at.
+    Id, value and start are those of the first write of a run; the next version ends it. A version is updated by each write of its run, and
+    when it ends. writes need memory_id and at.
     """
     folded = actions(writes)
     firsts = folded.groupBy("user_id", "fact_key", "island").agg(
-        F.min_by("memory_id", "seq").alias("memory_id"), F.min_by("norm_value", "seq").alias("norm_value"), F.min("at").alias("valid_from"), F.count("*").alias("n_writes")
+        F.min_by("memory_id", "seq").alias("memory_id"), F.min_by("norm_value", "seq").alias("norm_value"), F.min("at").alias("valid_from"), F.count("*").alias("n_writes"), F.max("at").alias("last_at")
     )
     w = Window.partitionBy("user_id", "fact_key").orderBy("island")
     out = firsts.withColumn("valid_to", F.lead("valid_from").over(w)).withColumn("superseded_by", F.lead("memory_id").over(w))
-    return out.withColumn("is_active", F.col("superseded_by").isNull())
+    return out.withColumn("is_active", F.col("superseded_by").isNull()).withColumn("updated_at", F.coalesce("valid_to", "last_at")).drop("last_at")
 
 
 def active(versions: DataFrame) -> DataFrame:
@@ -78,6 +80,13 @@ def violations(versions: DataFrame) -> DataFrame:
     return active(versions).groupBy("user_id", "fact_key").count().filter("count > 1")
 
 
+def checked_unique(versions: DataFrame) -> DataFrame:
+    """versions, if no fact key has more than one in force; else ConflictError."""
+    if violations(versions).limit(1).count():
+        raise ConflictError("a fact has more than one version in force")
+    return versions
+
+
 def invalid_sources(candidates: DataFrame, messages: DataFrame) -> DataFrame:
     """(candidate_id, source): sources of candidates(candidate_id, user_id, conv_id, sources) that do not exist, or are another user's or
     another conversation's. A batch is written only if there are none."""

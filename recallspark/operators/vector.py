@@ -1,4 +1,4 @@
-"""Exact inner-product search over unit vectors."""
+"""Exact inner-product search over unit vectors, and the checks of stored vectors."""
 
 from __future__ import annotations
 
@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import EmbeddingError
 from ..shipping import ship
+from ..storage import small, written
 
-#: Queries broadcast at once; more are searched in further passes.
-CHUNK = 4096
+#: Vectors and queries of a block.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Query blocks up to which all of them are sent to every task.
+FEW_BLOCKS = 32
 
 
 def norm(v: Column) -> Column:
@@ -33,48 +37,72 @@ def needs_embedding(model: Column, vector: Column, wanted: str) -> Column:
     return ~model.eqNullSafe(F.lit(wanted)) | vector.isNull()
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int, *, digits: int = 6, chunk: int = CHUNK) -> DataFrame:
+def needs_sync(rows: DataFrame, wanted: str) -> DataFrame:
+    """rows(scope, id, model, v) with stale: of another model, without a vector or with one that is not valid; all of a scope whose vectors differ in dimension.
+
+    The dimensions of a scope are an aggregation joined back, so that a large scope is no task of its own.
+    """
+    usable = F.when(F.col("v").isNotNull(), F.size("v"))
+    dims = rows.groupBy("scope").agg(F.coalesce(F.min(usable) != F.max(usable), F.lit(False)).alias("mixed"))
+    out = rows.join(small(dims), "scope")
+    return out.withColumn("stale", needs_embedding(F.col("model"), F.col("v"), wanted) | ~F.coalesce(valid(F.col("v")), F.lit(False)) | F.col("mixed")).drop("mixed")
+
+
+def checked(rows: DataFrame, model: str) -> DataFrame:
+    """rows(scope, id, model, v) if all are of the one model and each scope's vectors of one dimension and valid; else EmbeddingError."""
+    bad = needs_sync(rows, model).filter("stale").groupBy("scope").count().limit(1).collect()
+    if bad:
+        raise EmbeddingError(f"{bad[0]['count']} vectors of scope {bad[0]['scope']} are missing, of another model or dimension, or not valid")
+    return rows
+
+
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(scope, block, ids, flat): the vectors of a scope in blocks of about size, one row each."""
+    n = small(rows.groupBy("scope").agg(F.ceil(F.count("*") / size).cast("int").alias("nb")))
+    placed = rows.select("scope", F.col(key).cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).join(n, "scope").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    packed = placed.groupBy("scope", "block").agg(F.collect_list(F.struct("id", "v")).alias("x"))
+    return packed.select("scope", "block", F.transform("x", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("x", lambda x: x["v"])).alias("flat"))
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int, *, digits: int = 6) -> DataFrame:
     """(scope, qid, rank, id, score): the k of vectors(scope, id, v) of a query's scope nearest to queries(scope, qid, v).
 
-    Ties of the rounded score go to the smaller id. Queries are broadcast in chunks of bounded size; each task multiplies
-    its batch with those of its scopes and keeps k for each query.
+    Ties of the rounded score go to the smaller id. Both sides are packed in blocks of bounded size; every two blocks of a scope meet in a
+    task, which multiplies them and keeps k for each query, so no scope and no set of queries is gathered anywhere.
     """
     ship(vectors)
-    spark = vectors.sparkSession
-    n = queries.count()
-    parts = max(1, -(-n // chunk))
-    found = None
-    for p in range(parts):
-        mine = queries.filter(F.pmod(F.xxhash64("scope", "qid"), F.lit(parts)) == p) if parts > 1 else queries
-        rows = mine.select("scope", "qid", "v").collect()
-        by: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for s in {r["scope"] for r in rows}:
-            own = [r for r in rows if r["scope"] == s]
-            by[s] = (np.array([r["qid"] for r in own], np.int64), np.array([r["v"] for r in own], np.float64))
-        shared = spark.sparkContext.broadcast(by)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
-                scope, ids = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
-                rows = batch.column(2).to_pylist()
-                out: list[list] = [[], [], [], []]
-                for s, (qid, q) in shared.value.items():
-                    at = np.flatnonzero(scope == s)
-                    if not len(at):
-                        continue
-                    x = np.array([rows[i] for i in at], np.float64)
-                    score = np.round(q @ x.T, digits)
-                    own = ids[at]
-                    for i in range(len(qid)):
-                        best = np.lexsort((own, -score[i]))[:k]
-                        out[0] += [s] * len(best)
-                        out[1] += [int(qid[i])] * len(best)
-                        out[2] += own[best].tolist()
-                        out[3] += score[i][best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], ["scope", "qid", "id", "score"])
-
-        part = vectors.select(F.col("scope").cast("string").alias("scope"), F.col("id").cast("long").alias("id"), "v").mapInArrow(scan, "scope string, qid long, id long, score double")
-        found = part if found is None else found.unionByName(part)
+    v = _blocks(vectors.withColumn("scope", F.col("scope").cast("string")), "id", VECTOR_BLOCK)
+    q = written(_blocks(queries.withColumn("scope", F.col("scope").cast("string")), "qid", QUERY_BLOCK), "query-blocks").withColumnsRenamed({"block": "q_block", "ids": "q_ids", "flat": "q_flat"})
+    if q.count() <= FEW_BLOCKS:
+        pairs = v.join(F.broadcast(q), "scope")
+    else:
+        # each block goes where each block of the other side goes; the key of a meeting is the two numbers, so a large scope is spread
+        v = written(v, "vector-blocks")
+        nv, nq = small(v.groupBy("scope").agg(F.max("block").alias("nv"))), small(q.groupBy("scope").agg(F.max("q_block").alias("nq")))
+        left = v.join(nq, "scope").withColumn("q_block", F.explode(F.sequence(F.lit(0), "nq"))).drop("nq")
+        right = q.join(nv, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), "nv"))).drop("nv")
+        pairs = left.join(right, ["scope", "block", "q_block"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                scope, ids, x, qids, q = (batch.column(c)[i] for c in range(5))
+                ids, qids = ids.values.to_numpy(), qids.values.to_numpy()
+                x, q = x.values.to_numpy().reshape(len(ids), -1), q.values.to_numpy().reshape(len(qids), -1)
+                score = np.round(q @ x.T, digits)
+                if len(ids) > k:
+                    last = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+                    qi, xi = np.nonzero(score >= last[:, None])
+                else:
+                    qi, xi = (a.ravel() for a in np.indices(score.shape))
+                got = score[qi, xi]
+                order = np.lexsort((ids[xi], -got, qi))
+                qi, xi, got = qi[order], xi[order], got[order]
+                few = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+                qi, xi, got = qi[few], xi[few], got[few]
+                yield pa.RecordBatch.from_arrays([pa.array([scope.as_py()] * len(qi), pa.string()), pa.array(qids[qi]), pa.array(ids[xi]), pa.array(got)], ["scope", "qid", "id", "score"])
+
+    found = pairs.select("scope", "ids", "flat", "q_ids", "q_flat").mapInArrow(multiply, "scope string, qid long, id long, score double")
     w = Window.partitionBy("scope", "qid").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("scope", "qid", "rank", "id", "score")
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import providers
 from ..functions import identity, text
-from ..operators import context, evaluation, fusion, lexical, lifecycle, structured, vector
+from ..operators import context, evaluation, fusion, indexes, lexical, lifecycle, scopes, structured, summaries, vector
 from ..sources import tables
-from ..storage import scratch
+from ..storage import scratch, written
 from ..streaming import ingest
 from . import search
 
@@ -45,7 +45,7 @@ _MEM = """mem AS (SELECT d.doc_id AS id, d.lang AS scope, d.text, d.n_chars::DOU
 _ASK = "ask AS (SELECT s.scope, b.item_id AS qid, b.text FROM benchmark b, (SELECT DISTINCT lang AS scope FROM documents) s)"
 
 
-def _bm25(docs: str, asks: str = "ask", name: str = "bm", k: int = 50) -> str:
+def _bm25(docs: str, asks: str = "ask", name: str = "bm", k: int = 50, k1: float = 1.5, b: float = 0.75) -> str:
     """CTEs that end in name(scope, qid, id, score, rank)."""
     p = name
     return f"""{p}_tok AS (SELECT scope, id, {_tok("text")} AS toks FROM {docs}),
@@ -53,7 +53,7 @@ def _bm25(docs: str, asks: str = "ask", name: str = "bm", k: int = 50) -> str:
 {p}_po AS (SELECT scope, id, dl, term, count(*) AS tf FROM (SELECT scope, id, len(toks) AS dl, unnest(toks) AS term FROM {p}_tok) GROUP BY ALL),
 {p}_df AS (SELECT scope, term, count(*) AS df FROM {p}_po GROUP BY ALL),
 {p}_q AS (SELECT DISTINCT scope, qid, term FROM (SELECT scope, qid, unnest({_tok("text")}) AS term FROM {asks})),
-{p}_sc AS (SELECT q.scope, q.qid, p.id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+{p}_sc AS (SELECT q.scope, q.qid, p.id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * {k1 + 1} / (tf + {k1} * ({1 - b} + {b} * dl / avgdl))), 6) AS score
   FROM {p}_q q JOIN {p}_po p USING (scope, term) JOIN {p}_df USING (scope, term) JOIN {p}_st USING (scope) GROUP BY ALL),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, qid ORDER BY score DESC, id) AS rank FROM {p}_sc) WHERE rank <= {k})"""
 
@@ -94,8 +94,8 @@ keyed AS (SELECT *, CASE WHEN predicate IN ('location', 'timezone') THEN 'user:'
 _ACT = f"""{_CAND}, act AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'ADD' WHEN norm_value IS NOT DISTINCT FROM lag(norm_value) OVER w THEN 'NOOP' ELSE 'SUPERSEDE' END AS action
   FROM keyed WHERE fact_key IS NOT NULL WINDOW w AS (PARTITION BY user_id, fact_key ORDER BY ts, event_id))"""
 _FACTS = f"""{_ACT}, isl AS (SELECT *, sum(CASE WHEN action <> 'NOOP' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, fact_key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM act),
-ver AS (SELECT user_id, fact_key, island, arg_min(event_id, (ts, event_id)) AS memory_id, arg_min(norm_value, (ts, event_id)) AS norm_value, min(ts) AS valid_from, count(*) AS n_writes FROM isl GROUP BY ALL),
-scd AS (SELECT user_id, fact_key, island::BIGINT AS island, memory_id, norm_value, valid_from, lead(valid_from) OVER w AS valid_to, lead(memory_id) OVER w AS superseded_by, lead(memory_id) OVER w IS NULL AS is_active, n_writes
+ver AS (SELECT user_id, fact_key, island, arg_min(event_id, (ts, event_id)) AS memory_id, arg_min(norm_value, (ts, event_id)) AS norm_value, min(ts) AS valid_from, count(*) AS n_writes, max(ts) AS last_at FROM isl GROUP BY ALL),
+scd AS (SELECT user_id, fact_key, island::BIGINT AS island, memory_id, norm_value, valid_from, lead(valid_from) OVER w AS valid_to, lead(memory_id) OVER w AS superseded_by, lead(memory_id) OVER w IS NULL AS is_active, n_writes, coalesce(lead(valid_from) OVER w, last_at) AS updated_at
   FROM ver WINDOW w AS (PARTITION BY user_id, fact_key ORDER BY island))"""
 _MSG = "msg AS (SELECT conv_id, turn AS created_at, conv_id * 1000 + turn AS id, role, text AS content FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '')"
 _TARGET = f"{_MSG}, tgt AS (SELECT conv_id, max(created_at) AS target_at, arg_max(id, created_at) AS target_id, arg_max(content, created_at) AS target_text FROM msg GROUP BY conv_id), bef AS (SELECT m.*, target_id, target_text, row_number() OVER (PARTITION BY m.conv_id ORDER BY m.created_at DESC) AS back FROM msg m JOIN tgt t ON m.conv_id = t.conv_id AND m.created_at < t.target_at)"
@@ -142,7 +142,7 @@ def fts_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MEM}, {_ASK}, {_fts('mem', k=10)} SELECT scope, qid, rank, id FROM ft")
 def fts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.fts_topk(_docs(spark, sf_dir), tables.search_queries(spark, sf_dir), 10)
+    return lexical.fts_topk(_docs(spark, sf_dir), tables.search_queries(spark, sf_dir), 10, web=False)
 
 
 @query(f"WITH {_MEM}, {_ASK} SELECT a.scope, a.qid, m.id FROM ask a JOIN mem m ON a.scope = m.scope AND contains(lower(m.text), lower(a.text))")
@@ -357,11 +357,13 @@ def memory_sanity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.count_if(known.isNull()).alias("n_open"), F.count("fact_key").alias("n_keyed"), F.count_if(F.col("norm_value").isNull()).alias("n_no_value"), F.count_distinct(known).alias("n_predicates"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids, coalesce(sum(('0x' || substr(md5(doc_id || ':' || coalesce(text, '')), 1, 8))::BIGINT), 0)::BIGINT AS checksum FROM documents")
+_SUMS = " || ':' || ".join(f"coalesce(sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT), 0)::BIGINT::VARCHAR" for i in range(8))
+
+
+@query(f"SELECT count(*) AS n, sha256({_SUMS}) AS checksum FROM (SELECT sha256(doc_id::VARCHAR || chr(31) || coalesce(text, chr(30)) || chr(31) || coalesce(source, chr(30))) AS h FROM documents)")
 def state_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and an order-free checksum of a table, to prove that a run changed nothing."""
-    part = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit("")))), 1, 8), 16, 10).cast("long")
-    return tables.table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_ids"), F.coalesce(F.sum(part), F.lit(0)).alias("checksum"))
+    """Count and order-free checksum of a table, to prove that a run changed nothing."""
+    return evaluation.fingerprint(tables.table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 
 # conversations ----------------------------------------------------------------------------------------------------
@@ -469,7 +471,7 @@ def _run(spark: SparkSession, sf_dir: str, backend: str) -> DataFrame:
     """Hits of all scopes of an item in one ranking, by score: (qid, rank, evidence)."""
     docs = tables.memories(spark, sf_dir).filter("is_active").withColumn("scope", F.lit("all")).select("scope", "id", "text")
     asks = tables.table(spark, sf_dir, "benchmark").select(F.lit("all").alias("scope"), F.col("item_id").alias("qid"), "text")
-    found = lexical.bm25_topk(docs, asks, 10) if backend == "bm25" else lexical.fts_topk(docs, asks, 10)
+    found = lexical.bm25_topk(docs, asks, 10) if backend == "bm25" else lexical.fts_topk(docs, asks, 10, web=False)
     return found.select("qid", "rank", F.col("id").alias("evidence"))
 
 
@@ -493,6 +495,8 @@ def _metrics_sql(hits: str, name: str) -> str:
   coalesce(1.0 / min(h.rank), 0)::DOUBLE AS reciprocal FROM gold g LEFT JOIN {hits} h ON h.qid = g.qid AND h.id = g.evidence GROUP BY g.qid)"""
 
 
+_VEC1 = """near1 AS (SELECT * FROM (SELECT q.item_id AS qid, m.id, row_number() OVER (PARTITION BY q.item_id ORDER BY round(list_dot_product(v.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, m.id) AS rank
+  FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id, mem m JOIN embeddings v ON v.vec_id = m.id WHERE m.is_active) WHERE rank <= 10)"""
 _EVAL = f"{_MEM}, {_ONE}, {_GOLD}, {_bm25('one', 'ask1', 'bm', 10)}, {_fts('one', 'ask1', 'ft', 10)}, {_metrics_sql('bm', 'mb')}, {_metrics_sql('ft', 'mf')}"
 _MEANS = ", ".join(f"round(coalesce(avg({m}_{k}) FILTER (n_gold > 0), 0), 6)::DOUBLE AS {m}_{k}" for m in ("hit", "recall") for k in evaluation.CUTOFFS)
 _SUMMARY = f"count(*) FILTER (n_gold > 0) AS n_questions, count(*) FILTER (n_gold = 0) AS n_no_evidence, {_MEANS}, round(coalesce(avg(reciprocal) FILTER (n_gold > 0), 0), 6)::DOUBLE AS mrr"
@@ -547,15 +551,45 @@ def bm25_effect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("qid", evaluation.lexical_effect(F.col("fts_rank"), F.col("bm25_rank"), none, F.col("fts_rank"), F.col("bm25_rank")).alias("effect"))
 
 
-@query(f"""WITH {_EVAL}, c AS (SELECT CASE WHEN b.first_rank IS NULL AND f.first_rank IS NOT NULL THEN 'vector_only' WHEN b.first_rank IS NOT NULL AND f.first_rank IS NULL THEN 'bm25_only' END AS kind FROM mb b JOIN mf f USING (qid))
-SELECT k.kind, count(c.kind) AS n FROM (VALUES ('bm25_only'), ('vector_only')) k(kind) LEFT JOIN c USING (kind) GROUP BY k.kind""")
+_CASES = f"""{_EVAL}, {_VEC1}, vb AS (SELECT g.qid, min(n.rank) AS first_rank FROM gold g LEFT JOIN near1 n ON n.qid = g.qid AND n.id = g.evidence GROUP BY g.qid),
+cases AS (SELECT qid, CASE WHEN b.first_rank IS NULL AND v.first_rank IS NOT NULL THEN 'vector_only' WHEN b.first_rank IS NOT NULL AND v.first_rank IS NULL THEN 'bm25_only' END AS kind, b.first_rank AS bm25_rank, v.first_rank AS vector_rank FROM mb b JOIN vb v USING (qid))"""
+
+
+def _vector_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, rank, id): the ten active documents whose vectors are nearest to the item's."""
+    v, q = _vectors(spark, sf_dir)
+    live = tables.memories(spark, sf_dir).filter("is_active").select("id")
+    one = v.join(live, "id", "left_semi").withColumn("scope", F.lit("all"))
+    asks = q.select(F.lit("all").alias("scope"), "qid", "v").dropDuplicates(["qid"])
+    return vector.topk(one, asks, 10).select("qid", "rank", "id")
+
+
+def _single_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = _gold(spark, sf_dir)
+    bm = evaluation.question_metrics(_run(spark, sf_dir, "bm25"), gold).select("qid", F.col("first_rank").alias("bm25_rank"))
+    near = _vector_run(spark, sf_dir).withColumnRenamed("id", "evidence")
+    return bm.join(evaluation.question_metrics(near, gold).select("qid", F.col("first_rank").alias("vector_rank")), "qid")
+
+
+@query(f"""WITH {_CASES}
+SELECT k.kind, count(c.kind) AS n FROM (VALUES ('bm25_only'), ('vector_only')) k(kind) LEFT JOIN cases c USING (kind) GROUP BY k.kind""")
 def single_branch_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full-text branch stands where the vector branch would."""
-    cases = evaluation.single_branch_gold(_first_gold(spark, sf_dir).withColumnRenamed("fts_rank", "vector_rank"))
+    cases = evaluation.single_branch_gold(_single_cases(spark, sf_dir))
     kinds = spark.createDataFrame([("bm25_only",), ("vector_only",)], "kind string")
     return kinds.join(cases.groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+_GOOD5 = "coalesce({x} <= 5, false)"
+
+
+@query(f"""WITH {_CASES} SELECT kind, count(*) AS n, count(*) FILTER ({_GOOD5.format(x='bm25_rank')}) AS within_before, count(*) FILTER ({_GOOD5.format(x='vector_rank')}) AS within_after,
+count(*) FILTER ({_GOOD5.format(x='bm25_rank')} AND NOT {_GOOD5.format(x='vector_rank')}) AS lost, count(*) FILTER (vector_rank IS NOT NULL AND (bm25_rank IS NULL OR vector_rank < bm25_rank)) AS improved FROM cases WHERE kind IS NOT NULL GROUP BY kind""")
+def single_branch_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From BM25 alone to vectors alone, for the questions only one of them answers."""
+    c = _single_cases(spark, sf_dir)
+    return evaluation.single_branch_behaviour(evaluation.single_branch_gold(c), c.select("qid", F.col("bm25_rank").alias("first_rank")), c.select("qid", F.col("vector_rank").alias("first_rank")))
+
+
 _ARTICLE = r"(^|[^\p{{L}}\p{{N}}_])(a|an|the|and)([^\p{{L}}\p{{N}}_]|$)"
 # twice, since an article right after another shares its boundary
 _NA = (
@@ -644,3 +678,381 @@ def answer_grounded_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = F.transform("m", lambda x, i: F.struct(F.concat(F.lit("M"), (i + 1).cast("string")).alias("ref"), x["text"].alias("text"), x["status"].alias("status")))
     asked = tables.search_queries(spark, sf_dir).select("scope", "qid", F.col("text").alias("query"))
     return providers.answer(asked.join(by.withColumn("memories", refs), ["scope", "qid"]).select("scope", "qid", "query", "memories"))
+
+
+# full-text syntax, prepared corpora ------------------------------------------------------------------------------
+
+def _web_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each item's first tokens: the first two in a row, or the third and fourth without the fifth."""
+    t = tables.search_queries(spark, sf_dir).withColumn("t", text.tokenize(F.col("text"))).filter(F.size("t") >= 5)
+    return t.select("scope", "qid", F.concat(F.lit('"'), F.col("t")[0], F.lit(" "), F.col("t")[1], F.lit('" or '), F.col("t")[2], F.lit(" "), F.col("t")[3], F.lit(" -"), F.col("t")[4]).alias("text"))
+
+
+@query(f"""WITH {_MEM}, {_ASK}, q AS (SELECT scope, qid, {_tok('text')} AS t FROM ask), d AS (SELECT scope, id, {_tok('text')} AS toks FROM mem),
+m AS (SELECT q.scope, q.qid, d.id, t, len(list_filter(range(1, len(toks)), lambda i: toks[i] = t[1] AND toks[i + 1] = t[2])) AS a, len(list_filter(toks, lambda x: x = t[3])) AS b, len(list_filter(toks, lambda x: x = t[4])) AS c, list_contains(toks, t[5]) AS e
+  FROM q JOIN d USING (scope) WHERE len(t) >= 5)
+SELECT scope, qid, id, greatest(a, CASE WHEN b > 0 AND c > 0 AND NOT e THEN b + c ELSE 0 END)::BIGINT AS total FROM m WHERE a > 0 OR (b > 0 AND c > 0 AND NOT e)""")
+def fts_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.web_match(_docs(spark, sf_dir), _web_queries(spark, sf_dir))
+
+
+@query(f"WITH {_MEM}, {_ASK}, {_bm25('mem', k=5)}, {_bm25('mem', name='bo', k=5, k1=1.25, b=0.5)} SELECT 'a' AS setting, scope, qid, rank, id, score FROM bm UNION ALL SELECT 'b', scope, qid, rank, id, score FROM bo")
+def bm25_prepared_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two settings of the formula over one prepared corpus."""
+    index, asked = lexical.prepare(_docs(spark, sf_dir)), tables.search_queries(spark, sf_dir)
+    a, b = lexical.bm25_topk(index, asked, 5), lexical.bm25_topk(index, asked, 5, k1=1.25, b=0.5)
+    return a.withColumn("setting", F.lit("a")).unionByName(b.withColumn("setting", F.lit("b")))
+
+
+@query(f"""WITH {_HYBRID}, fu AS (SELECT scope, qid, id, round({_DISCOUNTED}, 12) AS score, min(rank) FILTER (branch = 'bm25') AS bm25_rank, min(rank) FILTER (branch = 'vector') AS vector_rank, min(rank) FILTER (branch = 'structured') AS structured_rank FROM br GROUP BY scope, qid, id),
+fi AS ({_FINAL.format(by="f.scope, f.qid", fused="fu")}) SELECT fi.scope, qid, fi.rank, fi.id, fi.score, mem.importance, mem.is_active, md5(mem.text) AS text_md5, bm25_rank, vector_rank, structured_rank FROM fi JOIN mem ON mem.id = fi.id WHERE rank <= 10""")
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = written(_branches(spark, sf_dir), "branches")
+    m = tables.memories(spark, sf_dir)
+    ranked = fusion.rank_memories(fusion.fuse(found), m, 10)
+    return search.hits(found, ranked, m).withColumn("text_md5", F.md5("text")).drop("text")
+
+
+# stored indexes ---------------------------------------------------------------------------------------------------
+
+def _index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as rows of an index: every third is of no model."""
+    e = tables.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").cast("string").alias("scope"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.concat(F.lit("text "), F.col("vec_id")).alias("text"), F.when(F.col("vec_id") % 3 != 0, "m1").alias("model"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query("""WITH r AS (SELECT label::VARCHAR AS scope, vec_id AS id, vec_id % 3 <> 0 AS mine, CASE WHEN label = 0 AND vec_id % 2 = 0 THEN 32 ELSE 64 END AS d FROM embeddings)
+SELECT scope, id, (NOT mine) OR min(d) OVER (PARTITION BY scope) <> max(d) OVER (PARTITION BY scope) AS stale FROM r""")
+def message_sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must be embedded anew; in one scope dimensions are mixed, so all of it."""
+    rows = _index_rows(spark, sf_dir).withColumn("v", F.when((F.col("scope") == "0") & (F.col("id") % 2 == 0), F.slice("v", 1, 32)).otherwise(F.col("v")))
+    return vector.needs_sync(rows, "m1").select("scope", "id", "stale")
+
+
+@query("""WITH r AS (SELECT vec_id AS id, label, vec_id % 3 <> 0 AS mine, vec_id < (SELECT count(*) / 2 FROM embeddings) AS early FROM embeddings),
+x AS (SELECT 1 AS round, CASE WHEN mine THEN 'stored' ELSE 'embedded' END AS action FROM r WHERE early UNION ALL SELECT 2, CASE WHEN early THEN 'kept' WHEN mine THEN 'stored' ELSE 'embedded' END FROM r
+  UNION ALL SELECT 3, CASE WHEN label = 0 AND mine THEN 'stored' WHEN label = 0 THEN 'embedded' ELSE 'kept' END FROM r WHERE NOT (label = 0 AND id = (SELECT min(id) FROM r WHERE label = 0)))
+SELECT round, action, count(*) AS n FROM x GROUP BY ALL UNION ALL VALUES (1, 'dropped', 0), (2, 'dropped', 0), (3, 'dropped', 1)""")
+def index_sync_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of one stored index: new, appended to, and after the first row of a scope has gone, so that the scope is built anew."""
+    rows, path = _index_rows(spark, sf_dir), scratch(spark, "vector-index")
+    half = rows.count() / 2
+    first = rows.filter("scope = '0'").agg(F.min("id")).first()[0]
+    out = None
+    for k, part in enumerate((rows.filter(F.col("id") < half), rows, rows.filter(~((F.col("scope") == "0") & (F.col("id") == F.lit(first)))))):
+        counts = indexes.sync(spark, part, path, "m1", providers.embed)[1].withColumn("round", F.lit(k + 1))
+        out = counts if out is None else out.unionByName(counts)
+    assert out is not None
+    return out.select("round", "action", "n")
+
+
+@query("""WITH e AS (SELECT label::VARCHAR AS scope, vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+s AS (SELECT a.scope, q.vec_id AS qid, a.vec_id AS id, round(list_dot_product(a.v, q.v) / (a.n * q.n), 5) AS score FROM e a JOIN e q ON a.scope = q.scope WHERE q.vec_id % 10 = 0)
+SELECT * FROM (SELECT scope, qid, row_number() OVER (PARTITION BY scope, qid ORDER BY score DESC, id) AS rank, id, score FROM s) WHERE rank <= 5""")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index, loaded again and asked with every tenth vector."""
+    path = scratch(spark, "vector-index")
+    rows = _index_rows(spark, sf_dir)
+    indexes.save(rows.select("scope", "id", "pos", vector.normalize(F.col("v")).alias("v")), path, "m1")
+    index = indexes.load(spark, path, "m1")
+    asked = rows.filter("id % 10 = 0").select("scope", F.col("id").alias("qid"), vector.normalize(F.col("v")).alias("v"))
+    return vector.topk(index.rows.select("scope", "id", "v"), asked, 5, digits=5)
+
+
+# scopes, summaries, contexts --------------------------------------------------------------------------------------
+
+@query("""WITH c AS (SELECT DISTINCT conv_id, 'u' || conv_id % 7 AS user_id, 'c' || conv_id % 50 AS name FROM conversations), a AS (SELECT conv_id AS qid, CASE WHEN conv_id % 2 = 0 THEN 'u' || conv_id % 7 END AS user_id, 'c' || conv_id % 60 AS name FROM c)
+SELECT a.qid, count(c.conv_id) AS n, min(c.conv_id) AS conv_id FROM a LEFT JOIN c ON c.name = a.name AND (a.user_id IS NULL OR a.user_id = c.user_id) GROUP BY a.qid""")
+def conversation_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many conversations a name means: none and several are errors of resolve()."""
+    ids = tables.table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    name = lambda n: F.concat(F.lit("c"), F.col("conv_id") % n)
+    user = F.concat(F.lit("u"), F.col("conv_id") % 7)
+    asked = ids.select(F.col("conv_id").alias("qid"), F.when(F.col("conv_id") % 2 == 0, user).alias("user_id"), name(60).alias("name"))
+    return scopes.resolution(asked, ids.select("conv_id", user.alias("user_id"), name(50).alias("name")))
+
+
+@query("SELECT DISTINCT user_id::VARCHAR AS name, user_id % 3 <> 0 AS created FROM events")
+def user_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of the events, of whom every third is known; asking again creates nothing."""
+    names = tables.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("name"), "user_id").distinct()
+    known = names.filter("user_id % 3 = 0").select("name", F.col("user_id").alias("id"))
+    both, fresh = scopes.get_or_create(known, names, "name")
+    again, none = scopes.get_or_create(both, names, "name")
+    created = fresh.select("name", F.lit(True).alias("created")).unionByName(none.select("name", F.lit(None).cast("boolean").alias("created")))
+    return again.join(created, "name", "left").select("name", F.coalesce("created", F.lit(False)).alias("created"))
+
+
+@query(f"""WITH {_MSG}, mk AS (SELECT conv_id, created_at AS marker_at, id AS marker_id FROM msg WHERE created_at = 2 AND conv_id % 3 <> 0)
+SELECT m.conv_id, m.id FROM msg m LEFT JOIN mk USING (conv_id) WHERE mk.marker_at IS NULL OR (m.created_at, m.id) > (marker_at, marker_id)""")
+def messages_after_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir)
+    markers = m.filter("created_at = 2 and conv_id % 3 <> 0").select("conv_id", F.col("created_at").alias("marker_at"), F.col("id").alias("marker_id"))
+    return context.after_markers(m, markers).select("conv_id", "id")
+
+
+_ROUND = """{o} AS (SELECT conv_id, id, created_at, row_number() OVER (PARTITION BY conv_id ORDER BY created_at DESC) AS back FROM {src}), {n} AS (SELECT conv_id, count(*) AS n, max(id) AS marker_id FROM {o} WHERE back > 1 GROUP BY conv_id HAVING count(*) >= 2)"""
+
+
+@query(f"""WITH {_MSG}, m1 AS (SELECT * FROM msg WHERE created_at < 4), {_ROUND.format(o='o1', n='r1', src='m1')},
+m2 AS (SELECT msg.* FROM msg LEFT JOIN r1 USING (conv_id) WHERE r1.marker_id IS NULL OR msg.id > r1.marker_id), {_ROUND.format(o='o2', n='r2', src='m2')}
+SELECT conv_id, coalesce('[' || r1.n || ']', '') || coalesce('[' || r2.n || ']', '') AS summary_text, coalesce(r2.marker_id, r1.marker_id) AS marker_id, r2.n IS NOT NULL AS changed FROM r1 FULL JOIN r2 USING (conv_id)""")
+def rolling_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds; the summarizer notes how many messages it was given behind what it was told before."""
+    import json
+
+    def note(request: str) -> str:
+        r = json.loads(request)
+        return f"{r['previous_summary'] or ''}[{len(r['messages'])}]"
+
+    m = _messages(spark, sf_dir)
+    none = spark.createDataFrame([], summaries.SUMMARIES)
+    first = summaries.update_summaries(m.filter("created_at < 4"), none, note, trigger=2, keep=1).drop("changed")
+    return summaries.update_summaries(m, first, note, trigger=2, keep=1).select("conv_id", "summary_text", "marker_id", "changed")
+
+
+_PACK = "string_agg(role || ':' || content, chr(10) ORDER BY created_at, {id})"
+
+
+@query(f"""WITH {_TARGET}, {_QTERMS}, {_OLDER}, {_SEMANTIC}, cb AS (SELECT scope AS conv_id, rank, id FROM lx UNION ALL SELECT conv_id, rank, id FROM se),
+cf AS (SELECT conv_id, id, round(sum({_RR}), 12) AS score, min(rank) AS best FROM cb GROUP BY conv_id, id),
+cr AS (SELECT cf.conv_id, cf.id, m.role, m.content, m.created_at, row_number() OVER (PARTITION BY cf.conv_id ORDER BY score DESC, best, m.created_at, cf.id) AS r FROM cf JOIN msg m ON m.id = cf.id),
+ol AS (SELECT conv_id, {_PACK.format(id='id')} AS older FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, content ORDER BY created_at, id) AS n FROM cr WHERE r <= 6) WHERE n = 1 GROUP BY conv_id),
+re AS (SELECT conv_id, {_PACK.format(id='id')} AS recent FROM bef WHERE back <= 2 GROUP BY conv_id)
+SELECT t.conv_id, CASE WHEN t.conv_id % 2 = 0 THEN 'so far ' || t.conv_id END AS summary, md5(coalesce(recent, '')) AS recent, md5(coalesce(older, '')) AS older FROM tgt t LEFT JOIN re USING (conv_id) LEFT JOIN ol USING (conv_id)""")
+def extraction_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir)
+    targets = context.last_targets(m)
+    told = targets.filter("conv_id % 2 = 0").select("conv_id", F.concat(F.lit("so far "), F.col("conv_id")).alias("summary_text"))
+    out = summaries.extraction_context(m, targets, _message_vectors(spark, sf_dir, m), told, n_recent=2)
+    joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["role"], x["content"])), "\n")).alias(c)
+    return out.select("conv_id", "summary", joined("recent"), joined("older"))
+
+
+@query(f"""WITH {_MSG} SELECT conv_id, md5(coalesce(string_agg(content, chr(10) ORDER BY created_at, id) FILTER (role = 'user'), string_agg(content, chr(10) ORDER BY created_at, id))) AS query_md5 FROM msg GROUP BY conv_id""")
+def target_semantic_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _messages(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "role", "content"))).alias("m"))
+    return rows.select("conv_id", F.md5(summaries.semantic_query(F.transform("m", lambda x: x["content"]), F.transform("m", lambda x: x["role"]))).alias("query_md5"))
+
+
+@query(f"""WITH {_MSG} SELECT conv_id, id FROM (SELECT conv_id, id, row_number() OVER (PARTITION BY conv_id, role, left(content, 20) ORDER BY created_at, id) AS n FROM msg) WHERE n = 1""")
+def distinct_older_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.distinct_older(_messages(spark, sf_dir).withColumn("content", F.left("content", F.lit(20)))).select("conv_id", "id")
+
+
+@query("""WITH t AS (SELECT conv_id, turn // 3 AS session, count(*) AS n FROM conversations GROUP BY ALL)
+SELECT conv_id, session::BIGINT AS session, n AS n_turns, sum(n) OVER w AS total, min(CASE WHEN (conv_id + session) % 5 <> 0 THEN 1 ELSE 0 END) OVER w = 1 AS resumed FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY session ROWS UNBOUNDED PRECEDING)""")
+def resume_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.table(spark, sf_dir, "conversations").groupBy("conv_id", F.expr("turn div 3").alias("session")).agg(F.count("*").alias("n_turns"))
+    return context.resume_progress(t.withColumn("done", (F.col("conv_id") + F.col("session")) % 5 != 0)).select("conv_id", "session", "n_turns", "total", "resumed")
+
+
+@query("""SELECT conv_id, turn // 3 AS session, conv_id * 1000 + turn AS id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations)""")
+def session_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored messages told apart by their sessions' numbers alone."""
+    turns = tables.table(spark, sf_dir, "conversations").groupBy("conv_id", F.expr("turn div 3").alias("session")).agg(F.count("*").alias("n_turns"))
+    return evaluation.session_slices(tables.messages(spark, sf_dir), turns)
+
+
+@query(f"""WITH {_MSG}, s AS (SELECT conv_id, count(*) AS stored FROM msg GROUP BY conv_id), e AS (SELECT conv_id, count(*) AS expected FROM conversations GROUP BY conv_id)
+SELECT conv_id, coalesce(stored, 0) AS stored, expected::BIGINT AS expected FROM e LEFT JOIN s USING (conv_id) WHERE coalesce(stored, 0) <> expected""")
+def resume_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of which fewer messages are stored than their sessions have: no place to go on from."""
+    turns = tables.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"))
+    return evaluation.unequal_counts(_messages(spark, sf_dir), turns)
+
+
+@query(f"""WITH {_MSG}, f AS (SELECT *, CASE WHEN role = 'assistant' AND coalesce(lag(role) OVER w = 'user', false) THEN 0 ELSE 1 END AS s FROM msg WINDOW w AS (PARTITION BY conv_id ORDER BY created_at, id)),
+i AS (SELECT conv_id, id, sum(s) OVER (PARTITION BY conv_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)::BIGINT AS interaction FROM f)
+SELECT conv_id, interaction, bool_and(id % 1000 < 4) AS done FROM i GROUP BY conv_id, interaction""")
+def interaction_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interactions all of whose messages some memory names; memories name the messages of four turns at once."""
+    m = _messages(spark, sf_dir)
+    rows = context.interactions(m).groupBy("conv_id", "interaction").agg(F.collect_list("id").alias("ids"))
+    made = m.filter("created_at < 4").groupBy(F.col("conv_id").alias("memory_id")).agg(F.collect_list("id").alias("sources"))
+    return evaluation.covered(rows, made).select("conv_id", "interaction", "done")
+
+
+@query("SELECT DISTINCT text FROM (SELECT left(text, 40) AS text FROM documents) WHERE text NOT IN (SELECT left(text, 40) FROM documents WHERE doc_id % 2 = 0)")
+def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("text"))
+    return evaluation.cache_misses(t, t.filter("doc_id % 2 = 0"))
+
+
+@query(f"""WITH {_ACT}, s AS (SELECT event_id, unnest([event_id % 7, event_id % 3 + 3]) AS n FROM act)
+SELECT event_id AS memory_id, string_agg(DISTINCT 'D1:' || n, ',' ORDER BY 'D1:' || n) AS dia_ids FROM s GROUP BY event_id""")
+def memory_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories with the dialogue ids of their sources."""
+    w = _writes(spark, sf_dir).select("memory_id", F.array(F.col("memory_id") % 7, F.col("memory_id") % 3 + 3).alias("sources"))
+    dialogue = spark.range(7).select("id", F.concat(F.lit("D1:"), F.col("id")).alias("dia_id"))
+    return evaluation.dump(w, dialogue).select("memory_id", F.array_join("dia_ids", ",").alias("dia_ids"))
+
+
+@query("SELECT event_id AS memory_id, CASE WHEN event_id % 7 = event_id % 3 THEN (event_id % 7)::VARCHAR ELSE (event_id % 7) || ',' || (event_id % 3) END AS ids FROM events")
+def stable_source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("memory_id"), F.array(F.col("event_id") % 7, F.col("event_id") % 3, F.col("event_id") % 7).alias("ids"))
+    return e.select("memory_id", F.array_join(evaluation.stable_ids(F.col("ids")), ",").alias("ids"))
+
+
+@query("SELECT conv_id, CASE WHEN turn = 0 THEN 'D1:' || conv_id ELSE 'D' || turn || ':' || conv_id END AS resolved, CASE WHEN turn = 1 THEN 'Dx:1' ELSE '' END AS unresolved FROM conversations WHERE turn < 2")
+def evidence_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogue ids with leading zeros, and one that is none."""
+    c = tables.table(spark, sf_dir, "conversations").filter("turn < 2").select("conv_id", "turn")
+    raw = F.when(F.col("turn") == 0, F.concat(F.lit("D01:0"), F.col("conv_id"))).otherwise(F.concat(F.lit("D"), F.col("turn"), F.lit(":00"), F.col("conv_id"), F.lit("; Dx:1")))
+    known = F.array(F.concat(F.lit("D1:"), F.col("conv_id")))
+    out = c.select("conv_id", text.evidence(raw, known).alias("e"))
+    return out.select("conv_id", F.array_join("e.resolved", ",").alias("resolved"), F.array_join("e.unresolved", ",").alias("unresolved"))
+
+
+@query(f"""WITH {_MSG}, c AS (SELECT conv_id, id AS candidate_id, unnest([id, conv_id * 1000 + 99, (conv_id + 1) * 1000]) AS source FROM msg WHERE created_at = 0)
+SELECT candidate_id, source FROM c WHERE NOT EXISTS (SELECT 1 FROM msg WHERE msg.id = c.source AND msg.conv_id = c.conv_id)""")
+def invalid_source_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir).withColumn("user_id", F.col("conv_id").cast("string"))
+    c = m.filter("created_at = 0").select(F.col("id").alias("candidate_id"), "user_id", "conv_id", F.array(F.col("id"), F.col("conv_id") * 1000 + 99, (F.col("conv_id") + 1) * 1000).alias("sources"))
+    return lifecycle.invalid_sources(c, m)
+
+
+# comparisons ------------------------------------------------------------------------------------------------------
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.compare(_stages(spark, sf_dir, "fts"), _stages(spark, sf_dir, "bm25"))
+
+
+def _variant_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [_stages(spark, sf_dir, b).select(F.lit(b).alias("variant"), "qid", "first_rank", "stage") for b in ("fts", "bm25")]
+    return written(both[0].unionByName(both[1]), "variants")
+
+
+_VS = f"{_STAGES}, vs AS (SELECT 'fts' AS variant, * FROM sf UNION ALL SELECT 'bm25', * FROM sb)"
+_NAMES = "(VALUES ('SUCCESS'), ('RANKING_MISS'), ('RETRIEVAL_MISS'), ('NO_GOLD_MEMORY')) s(stage)"
+
+
+@query(f"WITH {_STAGES}, c AS (SELECT *, 'c' || qid % 4 AS category FROM sb), g AS (SELECT DISTINCT category FROM c UNION ALL SELECT NULL) SELECT g.category, s.stage, (SELECT count(*) FROM c WHERE c.stage = s.stage AND (g.category IS NULL OR c.category = g.category)) AS n FROM g, {_NAMES}")
+def stage_breakdown_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.stage_counts_by(_stages(spark, sf_dir, "bm25").withColumn("category", F.concat(F.lit("c"), F.col("qid") % 4)), "category")
+
+
+@query(f"""WITH {_STAGES}, o AS (SELECT CASE stage_after WHEN 'SUCCESS' THEN 'fixed' WHEN 'RANKING_MISS' THEN 'improved' WHEN 'RETRIEVAL_MISS' THEN 'unchanged' ELSE 'other' END AS outcome FROM pairs WHERE stage_before = 'RETRIEVAL_MISS')
+SELECT k.outcome, count(o.outcome) AS n FROM (VALUES ('fixed'), ('improved'), ('unchanged'), ('other')) k(outcome) LEFT JOIN o USING (outcome) GROUP BY k.outcome""")
+def missed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.missed_outcomes(_pairs(spark, sf_dir))
+
+
+@query(f"WITH {_STAGES} SELECT DISTINCT qid FROM pairs WHERE stage_before = 'RETRIEVAL_MISS' OR stage_before IS DISTINCT FROM stage_after")
+def interesting_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.interesting(_pairs(spark, sf_dir))
+
+
+@query(f"""WITH {_VS}, old AS (SELECT qid, first_rank AS old_rank FROM vs WHERE variant = 'fts' AND stage IN ('RETRIEVAL_MISS', 'RANKING_MISS')),
+c AS (SELECT variant, CASE WHEN first_rank <= 5 THEN CASE WHEN variant = 'fts' THEN 'success' ELSE 'fixed' END WHEN first_rank < old_rank THEN 'improved_not_fixed' WHEN first_rank > old_rank THEN 'worsened' ELSE 'still_failing' END AS class FROM vs JOIN old USING (qid))
+SELECT variant, class, count(*) AS n FROM c GROUP BY ALL""")
+def reclassified_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.reclassified_counts(_variant_stages(spark, sf_dir), "fts")
+
+
+@query(f"WITH {_VS}, n AS (SELECT variant, count(*) FILTER (stage = 'NO_GOLD_MEMORY') AS n FROM vs GROUP BY variant) SELECT count(*) AS n_variants, min(n) AS least, max(n) AS most, min(n) = max(n) AS same FROM n")
+def no_gold_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.same_everywhere(_variant_stages(spark, sf_dir))
+
+
+@query(f"""WITH {_VS}, su AS (SELECT 'fts' AS variant, {_SUMMARY} FROM mf UNION ALL SELECT 'bm25', {_SUMMARY} FROM mb),
+g AS (SELECT count(*) FILTER (stage_before IN ('RETRIEVAL_MISS', 'RANKING_MISS') AND stage_after = 'SUCCESS') - count(*) FILTER (stage_before = 'SUCCESS' AND stage_after <> 'SUCCESS') AS gain FROM pairs),
+x AS (SELECT su.variant, recall_5, hit_5, mrr, CASE WHEN su.variant = 'bm25' THEN gain ELSE 0 END AS net_gain, (SELECT count(*) FROM vs WHERE vs.variant = su.variant AND stage = 'RANKING_MISS') AS ranking_misses FROM su, g)
+SELECT variant, recall_5, hit_5, mrr, net_gain, ranking_misses, row_number() OVER (ORDER BY recall_5 DESC, hit_5 DESC, mrr DESC, net_gain > 0 DESC, ranking_misses, variant) AS place FROM x""")
+def variant_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = _gold(spark, sf_dir)
+    means = [evaluation.summarize(evaluation.question_metrics(_run(spark, sf_dir, b), gold)).select(F.lit(b).alias("variant"), "recall_5", "hit_5", "mrr") for b in ("fts", "bm25")]
+    gain = evaluation.net_impact(_pairs(spark, sf_dir)).select(F.lit("bm25").alias("variant"), F.col("net_success_gain").alias("net_gain"))
+    misses = _variant_stages(spark, sf_dir).groupBy("variant").agg(F.count_if(F.coalesce(F.col("stage") == "RANKING_MISS", F.lit(False))).alias("ranking_misses"))
+    rows = means[0].unionByName(means[1]).join(gain, "variant", "left").join(misses, "variant").withColumn("net_gain", F.coalesce("net_gain", F.lit(0)))
+    return evaluation.variant_order(rows.select("variant", "recall_5", "hit_5", "mrr", "net_gain", "ranking_misses"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    branch = lambda rows, name: rows.select("qid", F.lit(name).alias("branch"), "rank", F.col("evidence").alias("id"))
+    return branch(_run(spark, sf_dir, "bm25"), "bm25").unionByName(branch(_run(spark, sf_dir, "fts"), "fts")).unionByName(_vector_run(spark, sf_dir).select("qid", F.lit("vector").alias("branch"), "rank", "id"))
+
+
+_CB = f"{_CASES}, cb AS (SELECT qid, 'bm25' AS branch, rank, id FROM bm UNION ALL SELECT qid, 'fts', rank, id FROM ft UNION ALL SELECT qid, 'vector', rank, id FROM near1)"
+
+
+@query(f"WITH {_CB} SELECT qid, branch, min(rank) AS rank FROM cb JOIN (SELECT DISTINCT qid, evidence FROM gold) g USING (qid) WHERE cb.id = g.evidence GROUP BY qid, branch")
+def branch_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.branch_ranks(_candidates(spark, sf_dir), _gold(spark, sf_dir).withColumnRenamed("evidence", "id"))
+
+
+@query(f"""WITH {_CB}, f AS (SELECT qid, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY qid) AS i FROM cases WHERE kind IS NOT NULL) WHERE i <= 5)
+SELECT qid, kind, branch, rank, cb.id, EXISTS (SELECT 1 FROM gold g WHERE g.qid = cb.qid AND g.evidence = cb.id) AS is_gold FROM cb JOIN f USING (qid)""")
+def worked_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = evaluation.single_branch_gold(_single_cases(spark, sf_dir)).select("qid", "kind")
+    return evaluation.worked_examples(_candidates(spark, sf_dir), _gold(spark, sf_dir).filter("evidence is not null").withColumnRenamed("evidence", "id"), cases)
+
+
+def _summary_by(metrics: str, name: str, n: int) -> str:
+    return f"{name} AS (SELECT category, {_SUMMARY} FROM (SELECT *, 'c' || qid % {n} AS category FROM {metrics}) GROUP BY ROLLUP (category))"
+
+
+@query(f"""WITH {_EVAL}, {_summary_by('mf', 'sa', 4)}, {_summary_by('mb', 'sb2', 3)}
+SELECT a.category, round(b.hit_5 - a.hit_5, 6) AS hit_5_delta, round(b.recall_5 - a.recall_5, 6) AS recall_5_delta, round(b.mrr - a.mrr, 6) AS mrr_delta FROM sa a JOIN sb2 b ON a.category IS NOT DISTINCT FROM b.category""")
+def compare_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reports, one of which has a category more."""
+    by = lambda b, n: evaluation.summarize(_metrics(spark, sf_dir, b).withColumn("category", F.concat(F.lit("c"), F.col("qid") % n)), "category")
+    return evaluation.compare_summaries(by("fts", 4), by("bm25", 3))
+
+
+@query(f"""WITH {_EVAL}, {_F1}, {_f1_sql('ans', 'qid', 'f')} SELECT count(*) FILTER (qid % 5 <> 0) AS n_f1, round(coalesce(avg(f1) FILTER (qid % 5 <> 0), 0), 6)::DOUBLE AS f1, count(*) FILTER (qid % 5 = 0) AS n_abstention, round(coalesce(avg(CASE WHEN qid % 10 = 0 THEN 1.0 ELSE 0.0 END) FILTER (qid % 5 = 0), 0), 6)::DOUBLE AS abstention_accuracy FROM f""")
+def qa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as questions of categories 4 and 5; every other one of the last abstains."""
+    a = _answers(spark, sf_dir).withColumn("category", F.when(F.col("qid") % 5 == 0, 5).otherwise(4)).withColumn("abstained", F.col("qid") % 10 == 0)
+    return evaluation.answer_summary(evaluation.score_answers(a.withColumn("predicted", F.when(F.col("category") == 5, F.lit("")).otherwise(F.col("predicted")))))
+
+
+_WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
+_INTENT_SQL = f"""it AS (SELECT item_id AS qid, CASE WHEN list_has_any({_WORDS}, ['live', 'lives', 'city', 'home']) THEN 'location' WHEN list_has_any({_WORDS}, ['timezone']) THEN 'timezone' WHEN list_has_any({_WORDS}, ['language', 'languages']) THEN 'programming_language' WHEN list_has_any({_WORDS}, ['name', 'called']) THEN 'name' END AS predicate,
+  list_has_any({_WORDS}, ['formerly', 'previously', 'before', 'once']) AS past FROM benchmark),
+ix AS (SELECT qid, predicate, CASE WHEN past THEN 'historical' WHEN predicate IS NOT NULL THEN 'current' ELSE 'any' END AS temporal_scope FROM it)"""
+
+
+def _intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.infer_intents(tables.table(spark, sf_dir, "benchmark").select(F.lit("all").alias("scope"), F.col("item_id").alias("qid"), "text"))
+
+
+@query(f"WITH {_INTENT_SQL} SELECT qid, predicate, temporal_scope, true AS ok FROM ix")
+def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _intents(spark, sf_dir).select("qid", "predicate", "temporal_scope", "ok")
+
+
+@query(f"""WITH {_INTENT_SQL} SELECT count(*) AS n_questions, count(*) AS attempted, count(*) AS ok, 0::BIGINT AS fallbacks, count(predicate) AS with_predicate, 0::BIGINT AS with_value, count(*) FILTER (temporal_scope = 'current') AS scope_current, count(*) FILTER (temporal_scope = 'historical') AS scope_historical,
+count(*) FILTER (temporal_scope = 'any') AS scope_any, count(*) FILTER (qid % 3 > 0) AS active, count(*) FILTER (qid % 5 = 0) AS structured_right, round(count(*) FILTER (qid % 3 > 0) / count(*), 6) AS activation_rate FROM ix""")
+def intent_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.activation(_intents(spark, sf_dir).withColumn("n_structured", F.col("qid") % 3).withColumn("structured_right", F.col("qid") % 5 == 0))
+
+
+def _case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as cases of a user, whose hits are their best documents; each expects two memories, of the item's first and of its second and third token."""
+    m = tables.memories(spark, sf_dir).select(F.col("id").alias("evidence"), "text", F.col("scope").alias("owner"), (F.col("id") % 4 != 0).alias("is_active"))
+    items = tables.table(spark, sf_dir, "benchmark").withColumn("t", text.tokenize(F.col("text"))).filter(F.size("t") >= 3)
+    hits = _run(spark, sf_dir, "bm25").join(m, "evidence").select(F.col("qid").alias("case_id"), "rank", "text", "owner", "is_active").join(items.select(F.col("item_id").alias("case_id")), "case_id", "left_semi")
+    cases = items.select(F.col("item_id").alias("case_id"), F.lit("en").alias("user_id"))
+    t = lambda *at: F.array(*[F.upper(F.col("t")[i]) for i in at])
+    expected = items.select(F.col("item_id").alias("case_id"), F.posexplode(F.array(t(0), t(1, 2))).alias("n", "terms"))
+    return evaluation.case_metrics(cases, hits, expected)
+
+
+_CM = f"""{_EVAL}, i AS (SELECT item_id AS case_id, {_tok('text')} AS t FROM benchmark), ic AS (SELECT * FROM i WHERE len(t) >= 3),
+h AS (SELECT bm.qid AS case_id, bm.rank, {_norm('mem.text')} AS x, mem.scope AS owner, mem.id % 4 <> 0 AS act FROM bm JOIN mem USING (id) WHERE bm.qid IN (SELECT case_id FROM ic)),
+e AS (SELECT case_id, 0 AS n, [t[1]] AS terms FROM ic UNION ALL SELECT case_id, 1, [t[2], t[3]] FROM ic),
+f AS (SELECT e.case_id, e.n, min(h.rank) AS rank FROM e LEFT JOIN h ON h.case_id = e.case_id AND len(list_filter(e.terms, lambda y: NOT contains(h.x, y))) = 0 GROUP BY ALL),
+w AS (SELECT case_id, count(*) FILTER (owner <> 'en') AS isolation_failures, count(*) FILTER (NOT act) AS superseded_returned FROM h GROUP BY case_id),
+cm AS (SELECT ic.case_id, min(f.rank) AS first_rank, {", ".join(f"CASE WHEN min(f.rank) <= {k} THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_{k}, (count(*) FILTER (f.rank <= {k}) / count(*))::DOUBLE AS recall_{k}" for k in (1, 3, 5))}, coalesce(1.0 / min(f.rank), 0)::DOUBLE AS reciprocal, coalesce(max(w.isolation_failures), 0) AS isolation_failures, coalesce(max(w.superseded_returned), 0) AS superseded_returned
+  FROM ic LEFT JOIN f USING (case_id) LEFT JOIN w USING (case_id) GROUP BY ic.case_id)"""
+
+
+@query(f"WITH {_CM} SELECT * FROM cm")
+def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _case_metrics(spark, sf_dir)
+
+
+@query(f"WITH {_CM} SELECT count(*) AS cases, {', '.join(f'round(avg({m}_{k}), 6)::DOUBLE AS {m}_{k}' for m in ('hit', 'recall') for k in (1, 3, 5))}, round(avg(reciprocal), 6)::DOUBLE AS mrr, sum(isolation_failures)::BIGINT AS isolation_failures, sum(superseded_returned)::BIGINT AS superseded_returned FROM cm")
+def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.case_summary(_case_metrics(spark, sf_dir))

@@ -36,6 +36,13 @@ def hybrid_search(memories: DataFrame, queries: DataFrame, vectors: DataFrame, q
     return fusion.rank_memories(fused, memories, limit).select("scope", "qid", "rank", "id", "score")
 
 
+def hits(found: DataFrame, ranked: DataFrame, memories: DataFrame) -> DataFrame:
+    """ranked(scope, qid, rank, id, score) with the memory's text, importance and state, and its rank in each branch of found, null where the branch lacks it."""
+    place = lambda b: F.min(F.when(F.col("branch") == b, F.col("rank"))).alias(f"{b}_rank")
+    by = found.groupBy("scope", "qid", "id").agg(*[place(b) for b in ("bm25", "vector", "structured")])
+    return ranked.select("scope", "qid", "rank", "id", "score").join(by, ["scope", "qid", "id"], "left").join(memories.select("id", "text", "importance", "is_active"), "id").select("scope", "qid", "rank", "id", "score", "text", "importance", "is_active", "bm25_rank", "vector_rank", "structured_rank")
+
+
 #: The nine compared ways to fuse; a single branch, or a strategy with its parameter.
 VARIANTS = (
     ("bm25_only", "bm25", None), ("vector_only", "vector", None), ("current_rrf", "rrf", None),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import RecallError
 from ..shipping import ship
+from ..storage import exists, small, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +32,8 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item asked in every scope: (scope, qid, text)."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    scopes = table(spark, sf_dir, "documents").select(F.col("lang").alias("scope")).distinct().agg(F.collect_set("scope").alias("s"))
-    return items.join(F.broadcast(scopes)).select(F.explode("s").alias("scope"), "qid", "text")
+    scopes = table(spark, sf_dir, "documents").select(F.col("lang").alias("scope")).distinct()
+    return items.crossJoin(small(scopes)).select("scope", "qid", "text")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +59,60 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Line-delimited results; a truncated last line is left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Line-delimited results. One broken line a file, which a writer that was cut off leaves at its end, is left out; more of them are damage and an error."""
+    broken = "_broken string"
+    rows = spark.read.schema(f"{schema}, {broken}").option("columnNameOfCorruptRecord", "_broken").json(path).withColumn("_file", F.input_file_name())
+    rows = written(rows, "lines")
+    if rows.filter("_broken is not null").groupBy("_file").count().filter("count > 1").limit(1).count():
+        raise RecallError("more than one broken line in a file of results")
+    return rows.filter("_broken is null").drop("_broken", "_file")
+
+
+def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A stored state, or None if there is none; damaged content is an error."""
+    if not exists(spark, path):
+        return None
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 
-def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored state: damaged content is an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+def jdbc_options(url: str) -> dict[str, str]:
+    """Options of the JDBC reader for a database URL; postgres:// and postgresql+driver:// mean the same. Credentials leave the URL."""
+    u = urlsplit(url)
+    kind = u.scheme.split("+")[0]
+    kind = {"postgres": "postgresql"}.get(kind, kind)
+    if kind not in ("postgresql", "mysql", "mariadb") or not u.hostname:
+        raise ValueError("not a database URL")
+    out = {"url": f"jdbc:{kind}://{u.hostname}{f':{u.port}' if u.port else ''}{u.path}{f'?{u.query}' if u.query else ''}"}
+    if u.username:
+        out["user"] = unquote(u.username)
+    if u.password:
+        out["password"] = unquote(u.password)
+    return out | ({"driver": "org.postgresql.Driver"} if kind == "postgresql" else {})
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """A table of a database; give partitionColumn, lowerBound, upperBound and numPartitions for large ones."""
+    return spark.read.format("jdbc").options(**jdbc_options(url), dbtable=name, **options).load()
+
+
+def freeze(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Each frame as a table written once, on which all parts of a comparison work."""
+    return {n: written(f, n) for n, f in frames.items()}
+
+
+def incompatibilities(stored: dict, wanted: dict) -> list[str]:
+    """The names whose values in a stored run's settings are not those wanted; a run may only be continued if there are none."""
+    return sorted(n for n in stored.keys() | wanted.keys() if stored.get(n) != wanted.get(n))
+
+
+def select_sample(rows: DataFrame, index: int | None) -> DataFrame:
+    """The rows of the sample of a number, in the order of sample_id, or all."""
+    if index is None:
+        return rows
+    found = rows.select("sample_id").distinct().orderBy("sample_id").offset(index).limit(1)
+    if index < 0 or not found.count():
+        raise ValueError(f"there is no sample {index}")
+    return rows.join(F.broadcast(found), "sample_id", "left_semi")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -94,3 +145,9 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def save_artifacts(frames: dict[str, DataFrame], folder: str) -> None:
+    """The results of a comparison, one JSON-lines folder each."""
+    for name, frame in frames.items():
+        write_report(frame, f"{folder}/{name}")

@@ -1,14 +1,52 @@
-"""Places for tables that outlive a job."""
+"""Places for tables that outlive a job, and checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table is sent to every task.
+SMALL_ROWS = 50_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="recallspark-")
     return f"{base.rstrip('/')}/recallspark-{uuid.uuid4().hex[:12]}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, and safe from the loss of executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, written once, and marked for broadcast if it has rows rows at most; a larger one is joined by key."""
+    df = written(df, "small")
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _at(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return bool(fs.exists(p))
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    fs, p = _at(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)

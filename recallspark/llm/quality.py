@@ -2,9 +2,10 @@
 
 Word statistics of every text become a vector of five transformed features. For every pair of
 language and source (and for every language and the whole corpus, as fall-backs for small groups) location and
-scatter are estimated from the three quarters of the rows with the smallest Mahalanobis
-distances: start at medians and median absolute deviations, then concentration steps. Rows far from the estimate of
-their own group are rejected.
+scatter are estimated from the three quarters of the rows whose scatter has the smallest determinant: concentration steps from two
+starts, at the medians with the median absolute deviations and at the medians with fixed deviations, and of the two results of a group
+the one of lower determinant. Rows far from the estimate of their own group are rejected. LEAST_SD keeps features that hardly vary from
+giving a determinant of zero; its square is added to the variances.
 
 Each step is two aggregations over a narrow table of the features; features and distances are
 rounded to a grid, so the medians and quantiles aggregate counts of a bounded number of values
@@ -124,8 +125,8 @@ def _cholesky(t: DataFrame, p: int = FEATURES) -> DataFrame:
     return t
 
 
-def _params(t: DataFrame, p: int = FEATURES) -> DataFrame:
-    return _cholesky(t).select("key", "n", *[f"m{i}" for i in range(p)], *[f"c{i}{j}" for i in range(p) for j in range(i + 1)])
+def _params(t: DataFrame, *more: str, p: int = FEATURES) -> DataFrame:
+    return _cholesky(t).select("key", *more, "n", *[f"m{i}" for i in range(p)], *[f"c{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
 def fit_mcd(rows: DataFrame, *, covered: float = COVERED, steps: int = STEPS) -> DataFrame:
@@ -135,22 +136,29 @@ def fit_mcd(rows: DataFrame, *, covered: float = COVERED, steps: int = STEPS) ->
     # rows meet the few group estimates by broadcast where these are few, so that a hot group is not dealt to one task
     med = small(materialize(med, "medians"))
     mad = rows.join(med, "key").groupBy("key", "n", *[f"m{i}" for i in p]).agg(*[F.percentile(F.abs(F.col(f"q{i}") - F.col(f"m{i}")).cast("int"), F.lit(0.5)).alias(f"a{i}") for i in p])
-    start = mad.select("key", "n", *[f"m{i}" for i in p], *[(F.pow(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(LEAST_SD[i] * GRID)), 2) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i in p for j in range(i + 1)])
-    params = small(materialize(_params(start), "start"))
+    spread = materialize(mad.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), "spread")
+    deviation = lambda i: F.when(F.col("start") == 0, F.greatest(1.4826 * F.col(f"a{i}"), F.lit(LEAST_SD[i] * GRID))).otherwise(F.lit(LEAST_SD[i] * GRID))
+    start = spread.select("key", "start", "n", *[f"m{i}" for i in p], *[(F.pow(deviation(i), 2) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i in p for j in range(i + 1)])
+    params = small(materialize(_params(start, "start"), "start"))
     factor = covered / chi2_cdf(chi2_quantile(covered, FEATURES), FEATURES + 2)
     whole = lambda c: c.cast("decimal(20,0)")
     for step in range(steps):
-        at = _with_d2(rows.join(params, "key")).select("key", "n", *[f"q{i}" for i in p], F.floor(F.log1p(F.least(F.col("d2"), F.lit(1e9))) * DIST_GRID).cast("int").alias("bin"))
-        cut = small(materialize(at.groupBy("key").agg(F.percentile("bin", F.lit(covered)).alias("most")), f"cut{step}"))
-        near = at.join(cut, "key").filter("bin <= most")
-        sums = near.groupBy("key", "n").agg(F.count("*").alias("h"), *[F.sum(F.col(f"q{i}").cast("long")).alias(f"s{i}") for i in p], *[F.sum(whole(F.col(f"q{i}").cast("long") * F.col(f"q{j}"))).alias(f"s{i}{j}") for i in p for j in range(i + 1)])
+        # a row meets both starts of its key
+        at = _with_d2(rows.join(params, "key")).select("key", "start", "n", *[f"q{i}" for i in p], F.floor(F.log1p(F.least(F.col("d2"), F.lit(1e9))) * DIST_GRID).cast("int").alias("bin"))
+        cut = small(materialize(at.groupBy("key", "start").agg(F.percentile("bin", F.lit(covered)).alias("most")), f"cut{step}"))
+        near = at.join(cut, ["key", "start"]).filter("bin <= most")
+        sums = near.groupBy("key", "start", "n").agg(F.count("*").alias("h"), *[F.sum(F.col(f"q{i}").cast("long")).alias(f"s{i}") for i in p], *[F.sum(whole(F.col(f"q{i}").cast("long") * F.col(f"q{j}"))).alias(f"s{i}{j}") for i in p for j in range(i + 1)])
         mean = [(F.col(f"s{i}") / F.col("h")).alias(f"m{i}") for i in p]
         # exact integer numerator n * sum(xy) - sum(x) sum(y), so no digits are lost
         cov = [(factor * ((F.col("h").cast("decimal(18,0)") * F.col(f"s{i}{j}").cast("decimal(30,0)")).cast("double") - F.col(f"s{i}").cast("double") * F.col(f"s{j}").cast("double")) / (F.col("h").cast("double") * F.col("h"))) for i in p for j in range(i + 1)]
         pairs = [(i, j) for i in p for j in range(i + 1)]
         cov = [(c + F.lit((LEAST_SD[i] * GRID) ** 2) if i == j else c).alias(f"v{i}{j}") for (i, j), c in zip(pairs, cov, strict=True)]
-        params = small(materialize(_params(sums.select("key", "n", *mean, *cov)), f"params{step}"))
-    return params
+        params = small(materialize(_params(sums.select("key", "start", "n", *mean, *cov), "start"), f"params{step}"))
+    # the logarithm of the determinant's root, rounded so that results that are the same tie
+    det = F.round(reduce(lambda x, y: x + y, [F.log(f"c{i}{i}") for i in p]), 9)
+    rest = [c for c in params.columns if c not in ("key", "start")]
+    best = params.groupBy("key").agg(F.min_by(F.struct(*rest), F.struct(det, "start")).alias("best"))
+    return best.select("key", *[f"best.{c}" for c in rest])
 
 
 def quality_verdicts(docs: DataFrame, *, covered: float = COVERED, steps: int = STEPS, least_rows: int = LEAST_ROWS, cutoff_p: float = CUTOFF_P) -> DataFrame:

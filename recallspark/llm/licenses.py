@@ -1,14 +1,17 @@
 """License scans: Dice coefficient over word bigrams against licence templates (DataFrame functions only).
 
-Texts are normalised to lower-case words of letters and digits. Units of comparison are every line, every paragraph and the
-whole text. For sets of bigrams A and B, Dice = 2 |A ∩ B| / (|A| + |B|) can reach t only if
-|A| is between t / (2 - t) and (2 - t) / t times |B|; units that fit no template's bounds are never compared, others only
-with the templates they fit. Everything happens within the row, so no row is shuffled.
+A text is normalised to one row of lower-case words of letters and digits, so line breaks, comment marks and punctuation are nothing. Where it holds an
+anchor of a template, one of its least common bigrams, windows around that place are compared with the template. For sets of bigrams A and B,
+Dice = 2 |A ∩ B| / (|A| + |B|) can reach t only if |A| is between t / (2 - t) and (2 - t) / t times |B|: windows are as long as these bounds
+allow, and those of too few different bigrams are never compared. A template has so many anchors that a window without any cannot reach
+t. Everything happens within the row, so no row is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,84 +37,119 @@ TEMPLATES = {
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All-rights-reserved": "All rights reserved.",
+    "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-full": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD-3-Clause-full": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
 }
 
 
-def template_bigrams(text: str) -> list[str]:
-    w = re.findall(r"[^\W_]+", text.lower())
-    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+#: Lengths of the windows around an anchor, in parts of the template's.
+SCALES = (0.8, 1.0, 1.25)
 
 
-def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+@dataclass(frozen=True)
+class Template:
+    """A template's distinct bigrams, the number of all, and its anchors with their first places."""
+
+    name: str
+    grams: tuple[str, ...]
+    length: int
+    anchors: tuple[tuple[str, int], ...]
 
 
-def _hash(words: Column) -> Column:
-    """Distinct hashes of a unit's bigrams; 64 bits, compared within one unit and template."""
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b))))
+def prepared(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
+    """Templates by name. A window that reaches the threshold holds so many of a template's bigrams that it cannot lack all of its anchors; bigrams of long words are taken first, as they are rarer."""
+    out = []
+    for name, text in sorted(templates.items()):
+        w = re.findall(r"[^\W_]+", text.lower())
+        grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        once = sorted(set(grams))
+        # Dice >= t with |A| >= t / (2 - t) |B| leaves out this share of B's bigrams at most
+        spare = math.floor(len(once) * (1 - threshold / (2 - threshold)) + 1e-9)
+        best = sorted(once, key=lambda g: (-len(g), g))[: spare + 1]
+        out.append(Template(name, tuple(once), len(grams), tuple((g, grams.index(g)) for g in best)))
+    return out
+
+
+def normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, dice, unit, n_units) for each row of docs(doc_id, text).
+    """(doc_id, license, dice, word, n_licenses) for each row of docs(doc_id, text).
 
-    license: the best template of threshold or more (ties: the first by name), null if there is none; dice, rounded to 6 digits, and the kind of the
-    unit, "line", "paragraph" or "text", where the best was found first; n_units: lines that match some template. Null and empty
-    texts match nothing. Repeated rows: each by itself.
+    license: the template of the best window of threshold or more (ties: the first by name), null if there is none; dice, to 6 digits; word: the
+    number of the window's first word among the text's, from 0 (ties: the first); n_licenses: how many templates are found. Null and empty
+    texts match nothing. Repeated rows: each by itself. Columns other than the two are not read; an empty table gives an empty result.
     """
-    known = {name: template_bigrams(t) for name, t in sorted(templates.items())}
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = min(len(b) for b in known.values()) * low, max(len(b) for b in known.values()) * high
-
-    def best(unit: Column, kind: str) -> Column:
-        """The best match of a normalised unit as struct(dice, minus place, name, kind), null below the threshold."""
-
-        def against(h: Column) -> Column:
-            found = []
-            for i, (name, grams) in enumerate(known.items()):
-                b = F.array(*[F.xxhash64(F.lit(g)) for g in grams])
-                dice = F.round(2.0 * F.size(F.array_intersect(h, b)) / (F.size(h) + len(grams)), 6)
-                fits = (F.size(h) >= len(grams) * low - 1e-9) & (F.size(h) <= len(grams) * high + 1e-9)
-                hit = F.struct(dice.alias("dice"), F.lit(-i).alias("place"), F.lit(name).alias("name"), F.lit(kind).alias("kind"))
-                found.append(F.when(fits, F.when(dice >= threshold, hit)))
-            return F.array_max(F.array(*found))
-
-        none = F.lit(None).cast("struct<dice: double, place: int, name: string, kind: string>")
-        # a set of bigrams is no larger than the unit's words; the lower bound needs the set itself
-        return let(F.split(unit, " "), lambda w: F.when((F.size(w) - 1 >= least - 1e-9) & (unit != ""), let(_hash(w), lambda h: F.when((F.size(h) >= least - 1e-9) & (F.size(h) <= most + 1e-9), against(h)).otherwise(none))).otherwise(none))
-
-    def over(parts: Column, kind: str) -> Column:
-        return F.filter(F.transform(parts, lambda p: let(normal(p), lambda u: best(u, kind))), lambda x: x.isNotNull())
-
+    known = prepared(templates, threshold)
+    low = threshold / (2 - threshold)
+    # an anchor leads to its places in templates: (template, place of the anchor in it)
+    leads: dict[str, list[tuple[int, int]]] = {}
+    for k, t in enumerate(known):
+        for g, at in t.anchors:
+            leads.setdefault(g, []).append((k, at))
+    one = lambda g, x: F.struct(F.lit(x[0]).alias("k"), F.lit(x[1]).alias("at"), F.lit(known[x[0]].length).alias("n"))
+    table = F.create_map(*[c for g, xs in leads.items() for c in (F.xxhash64(F.lit(g)), F.array(*[one(g, x) for x in xs]))])
+    sets = F.array(*[F.array(*[F.xxhash64(F.lit(g)) for g in t.grams]) for t in known])
+    names = F.array(*[F.lit(t.name) for t in known])
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    lines = F.split("text", "\n")
-    paragraphs = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: p.contains("\n"))
-    rows = rows.select("doc_id", over(lines, "line").alias("lines"), over(paragraphs, "paragraph").alias("paragraphs"), F.when(F.col("text").contains("\n"), over(F.array(F.col("text")), "text")).otherwise(F.expr("cast(array() as array<struct<dice: double, place: int, name: string, kind: string>>)")).alias("whole"))
-    # of equal hits a line goes before a paragraph and that before the text, in alphabetical order of kinds
-    every = F.concat("lines", "paragraphs", "whole")
-    top = F.array_min(F.transform(every, lambda x: F.struct((-x["dice"]).alias("d"), (-x["place"]).alias("p"), x["kind"].alias("kind"), x["name"].alias("name"))))
-    return rows.select("doc_id", top.alias("top"), F.size("lines").cast("long").alias("n_units")).select("doc_id", F.col("top.name").alias("license"), (-F.col("top.d")).alias("dice"), F.col("top.kind").alias("unit"), "n_units")
+    # a text without a single anchor, nearly all, ends with its bigrams
+    first = F.array(*[F.xxhash64(F.lit(g)) for g in leads])
+
+    def bigrams(words: Column) -> Column:
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
+
+    rows = docs.select("doc_id", bigrams(F.split(normal(text), " ")).alias("grams"))
+    hits = F.when(F.arrays_overlap("grams", first), F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: x["g"].isin(*[_literal(g) for g in leads])))
+    rows = rows.select("doc_id", F.when(F.size(hits) > 0, F.col("grams")).alias("grams"), hits.alias("hits"))
+
+    def windows(hit: Column) -> Column:
+        """struct(k, begin, n) around one anchor, for each of its templates and each scale."""
+        at = F.transform(F.element_at(table, hit["g"]), lambda x: F.array(*[F.struct(x["k"].alias("k"), F.greatest(hit["i"] - F.floor(x["at"] * s).cast("int"), F.lit(0)).alias("begin"), F.greatest(F.floor(x["n"] * s + 0.5).cast("int"), F.lit(1)).alias("n")) for s in SCALES]))
+        return F.flatten(at)
+
+    def compared(w: Column) -> Column:
+
+        def score(x: Column) -> Column:
+            h, theirs = x["h"], x["theirs"]
+            dice = F.round(2.0 * F.size(F.array_intersect(h, theirs)) / (F.size(h) + F.size(theirs)), 6)
+            # least first: minus dice, then the name's place, then the window's
+            return F.when(F.size(h) >= F.size(theirs) * low - 1e-9, F.struct((-dice).alias("d"), w["k"].alias("k"), w["begin"].alias("begin")))
+
+        return let(F.struct(F.array_distinct(F.slice("grams", w["begin"] + 1, w["n"])).alias("h"), F.element_at(sets, w["k"] + 1).alias("theirs")), score)
+
+    tried = F.array_distinct(F.flatten(F.transform("hits", windows)))
+    found = F.filter(F.transform(tried, compared), lambda x: x.isNotNull() & (x["d"] <= -threshold))
+    rows = rows.select("doc_id", F.coalesce(found, F.expr("cast(array() as array<struct<d: double, k: int, begin: int>>)")).alias("found"))
+    rows = rows.select("doc_id", F.array_min("found").alias("top"), F.size(F.array_distinct(F.transform("found", lambda x: x["k"]))).cast("long").alias("n_licenses"))
+    return rows.select("doc_id", F.when(F.col("top").isNotNull(), F.element_at(names, F.col("top.k") + 1)).alias("license"), (-F.col("top.d")).alias("dice"), F.col("top.begin").cast("long").alias("word"), "n_licenses")
+
+
+def _literal(gram: str) -> Column:
+    return F.xxhash64(F.lit(gram))
 
 
 def _sql() -> str:
-    values = ", ".join(f"({i}, '{name}', [{', '.join(chr(39) + g + chr(39) for g in grams)}])" for i, (name, grams) in enumerate((n, template_bigrams(t)) for n, t in sorted(TEMPLATES.items())))
+    q = lambda g: chr(39) + g + chr(39)
+    known = prepared()
+    sets = ", ".join(f"({k}, {q(t.name)}, {t.length}, [{', '.join(q(g) for g in t.grams)}])" for k, t in enumerate(known))
+    anchors = ", ".join(f"({k}, {q(g)}, {at})" for k, t in enumerate(known) for g, at in t.anchors)
     return f"""
-WITH t(place, name, grams) AS (VALUES {values}),
-u AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, 'line' AS kind FROM documents
-  UNION ALL SELECT doc_id, unit, 'paragraph' FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n')) AS unit FROM documents) WHERE contains(unit, chr(10))
-  UNION ALL SELECT doc_id, text, 'text' FROM documents WHERE contains(text, chr(10))),
-w AS (SELECT doc_id, kind, string_split(trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS words FROM u),
-g AS (SELECT doc_id, kind, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) > 1),
-m AS (SELECT doc_id, kind, place, name, round(2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)), 6) AS dice
-  FROM g JOIN t ON len(g.grams) * {(2 - THRESHOLD) / THRESHOLD} + 1e-9 >= len(t.grams) AND len(t.grams) * {(2 - THRESHOLD) / THRESHOLD} + 1e-9 >= len(g.grams)),
-h AS (SELECT * FROM m WHERE dice >= {THRESHOLD}),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, place, kind) AS r FROM h),
-l AS (SELECT doc_id, count(DISTINCT n) AS n_units FROM (
-  SELECT doc_id, n, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM (
-    SELECT doc_id, row_number() OVER () AS n, string_split(trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS words FROM u WHERE kind = 'line') WHERE len(words) > 1) g
-  JOIN t ON round(2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)), 6) >= {THRESHOLD} GROUP BY doc_id)
-SELECT d.doc_id, b.name AS license, b.dice::DOUBLE AS dice, b.kind AS unit, coalesce(l.n_units, 0)::BIGINT AS n_units
-FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND b.r = 1 LEFT JOIN l ON l.doc_id = d.doc_id
+WITH t(k, name, n, grams) AS (VALUES {sets}), a(k, gram, first) AS (VALUES {anchors}), z(scale) AS (VALUES {", ".join(f"({s}::DOUBLE)" for s in SCALES)}),
+w AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words FROM documents),
+b AS (SELECT r, doc_id, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS grams FROM w),
+p AS (SELECT r, unnest(grams) AS gram, generate_subscripts(grams, 1) - 1 AS i FROM b),
+v AS (SELECT DISTINCT r, a.k, greatest(i - floor(a.first * scale)::BIGINT, 0) AS start, greatest(floor(t.n * scale + 0.5)::BIGINT, 1) AS n FROM p JOIN a USING (gram) JOIN t ON t.k = a.k, z),
+c AS (SELECT v.r, v.k, start, t.name, t.grams AS theirs, list_distinct(b.grams[start + 1 : start + v.n]) AS mine FROM v JOIN b USING (r) JOIN t ON t.k = v.k),
+d AS (SELECT r, k, start, name, round(2.0 * len(list_intersect(mine, theirs)) / (len(mine) + len(theirs)), 6) AS dice FROM c WHERE len(mine) >= len(theirs) * {THRESHOLD / (2 - THRESHOLD)} - 1e-9),
+h AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, k, start) AS place FROM d WHERE dice >= {THRESHOLD}),
+n AS (SELECT r, count(DISTINCT k) AS n FROM h GROUP BY r)
+SELECT w.doc_id, h.name AS license, h.dice::DOUBLE AS dice, h.start::BIGINT AS word, coalesce(n.n, 0)::BIGINT AS n_licenses
+FROM w LEFT JOIN h ON h.r = w.r AND h.place = 1 LEFT JOIN n ON n.r = w.r
 """
 
 

@@ -1,15 +1,19 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers they miss.
 
-The base spans of four kinds are the seeds. Besides, every text yields candidates: strings shaped like a kind that no base pattern
-accepts, such as "name at host dot org" or a phone number without its plus. Seeds and candidates are instances;
-the words around each mention are its lexical patterns. Pattern and instance form a bipartite graph of distinct pairs, which Spark
-scores in rounds: a pattern's confidence is the share of accepted instances among all it extracts, if it extracts LEAST_SEEDS
-different accepted ones; a candidate's is one minus the product of its patterns' doubts; candidates of LEAST_SCORE or more are
-accepted and strengthen patterns in the next round. Mentions of accepted candidates become spans.
+1. The base spans of four kinds are the seeds. Besides, every text yields candidates: strings shaped like a kind that no base pattern
+   accepts, such as "name at host dot org" or a phone number without its plus. Seeds and candidates are instances;
+   the words around each mention are its lexical patterns.
+2. Patterns that extract LEAST_SEEDS different seeds, and mostly such, are taken to all texts: whatever stands in their slot and could be an identifier
+   is an instance too, of any shape. So a pattern that many other things follow loses its confidence.
+3. Pattern and instance form a bipartite graph of distinct pairs, which Spark scores in rounds: a pattern's confidence is the share of accepted instances
+   among all it extracts, if it extracts LEAST_SEEDS different accepted ones; an instance's is one minus the product of its
+   patterns' doubts; instances of LEAST_SCORE or more are accepted and strengthen patterns in the next round. Mentions of
+   accepted instances become spans.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,6 +28,8 @@ from .common import batch_rows, materialize
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 LEAST_SEEDS = 5
+#: Patterns that are taken to the texts at once.
+PATTERNS = 50_000
 LEAST_CONFIDENCE = 0.6
 LEAST_SCORE = 0.8
 
@@ -158,6 +164,53 @@ def contexts(text: str, span: Span) -> list[str]:
     return out
 
 
+#: What may stand in a slot: a run without white space, less its outer punctuation, of such a length and with a digit or an at sign.
+_FILLER = re.compile(r"\s*(\S+)")
+_OUTER = ".,;:!?()[]{}<>\"'"
+SLOT_LENGTH = (5, 64)
+
+
+class Slots:
+    """Finds what accepted left patterns "kind|words|" extract. Only texts with the last word of one are gone through."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.known: dict[str, list[tuple[int, str]]] = {}
+        for p in patterns:
+            kind, words, _ = p.split("|")
+            self.known.setdefault(words, []).append((KINDS.index(kind), p))
+        self.last = {w.split(" ")[-1] for w in self.known}
+        self.most = max((w.count(" ") + 1 for w in self.known), default=0)
+
+    def __call__(self, text: str, taken: list[Span]) -> list[tuple[int, int, int, list[str]]]:
+        """(start, end, kind, patterns), none of which overlaps a taken span or an earlier one of its kind."""
+        found: dict[tuple[int, int, int], list[str]] = {}
+        recent: list[str] = []
+        for m in _TOKEN.finditer(text):
+            recent.append(re.sub(r"[0-9]", "0", m[0].lower()))
+            if len(recent) > self.most:
+                del recent[0]
+            if recent[-1] not in self.last:
+                continue
+            hits = [x for n in range(1, len(recent) + 1) for x in self.known.get(" ".join(recent[-n:]), ())]
+            filler = _FILLER.match(text, m.end()) if hits else None
+            if not filler:
+                continue
+            word = filler[1].strip(_OUTER)
+            if not SLOT_LENGTH[0] <= len(word) <= SLOT_LENGTH[1] or not ("@" in word or any(c.isdigit() for c in word)):
+                continue
+            start = filler.start(1) + filler[1].index(word)
+            for kind, p in hits:
+                found.setdefault((start, start + len(word), kind), []).append(p)
+        out, busy, k, last = [], sorted((a, b) for a, b, _ in taken), 0, {}
+        for (a, b, kind), ps in sorted(found.items()):
+            while k < len(busy) and busy[k][1] <= a:
+                k += 1
+            if not (k < len(busy) and busy[k][0] < b) and a >= last.get(kind, 0):
+                out.append((a, b, kind, sorted(set(ps))))
+                last[kind] = b
+        return out
+
+
 def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
@@ -187,18 +240,51 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _ROWS)
 
 
-def bootstrap(rows: DataFrame, *, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE, least_score: float = LEAST_SCORE) -> DataFrame:
-    """(instance): the accepted candidates. rows as mentions() gives them.
+def open_patterns(edges: DataFrame, *, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+    """(pattern): those of two words or more before the slot and none behind it whose instances are seeds, so many and in such a share."""
+    left = F.substring_index(F.substring_index("pattern", "|", 2), "|", -1)
+    some = edges.filter(F.col("pattern").endswith("|") & F.contains(left, F.lit(" "))).groupBy("pattern").agg(F.count_if("seed").alias("f"), F.count("*").alias("n"))
+    return some.filter((F.col("f") >= least_seeds) & (F.col("f") >= least_confidence * F.col("n"))).select("pattern")
+
+
+def slot_mentions(docs: DataFrame, patterns: list[str]) -> DataFrame:
+    """(doc_id, text_key, mentions): what the patterns extract from each text and neither a base pattern nor a candidate's shape covers."""
+    ship(docs)
+    batch_rows(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = Slots(patterns)
+        for batch in batches:
+            ids, keys, found = [], [], []
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py() or ""
+                spans = base_spans(text)
+                more = slots(text, spans + candidates(text, spans))
+                if more:
+                    ids.append(doc_id)
+                    keys.append(_key(text))
+                    found.append([{"start": a, "end": b, "kind": k, "seed": False, "instance": f"{k}:{text[a:b].lower()}", "patterns": ps} for a, b, k, ps in more])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(found, pa.list_(_MENTION))], ["doc_id", "text_key", "mentions"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROWS.replace("base array<struct<start: bigint, end: bigint, kind: int>>, ", ""))
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    flat = rows.select(F.explode("mentions").alias("m"))
+    return flat.select(F.explode("m.patterns").alias("pattern"), F.col("m.instance").alias("instance"), F.col("m.seed").alias("seed")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+
+
+def bootstrap(edges: DataFrame, *, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE, least_score: float = LEAST_SCORE) -> DataFrame:
+    """(instance): the accepted instances that are no seeds, from edges(pattern, instance, seed).
 
     The graph holds each pair of pattern and instance once, so copies of a text add nothing to a pattern's count.
     """
-    flat = rows.select(F.explode("mentions").alias("m"))
-    edges = materialize(flat.select(F.explode("m.patterns").alias("pattern"), F.col("m.instance").alias("instance"), F.col("m.seed").alias("seed")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
     accepted = materialize(edges.filter("seed").select("instance").distinct(), "accepted0")
     for k in range(rounds):
         marked = edges.join(accepted.withColumn("in", F.lit(1)), "instance", "left")
         patterns = marked.groupBy("pattern").agg(F.count("in").alias("f"), F.count("*").alias("n")).withColumn("confidence", F.col("f") / F.col("n"))
-        patterns = patterns.filter((F.col("f") >= least_seeds) & (F.col("confidence") >= least_confidence)).select("pattern", "confidence")
+        # written first, so that the join deals its rows anew and a pattern of very many instances can be split
+        patterns = materialize(patterns.filter((F.col("f") >= least_seeds) & (F.col("confidence") >= least_confidence)).select("pattern", "confidence"), f"patterns{k}")
         # a pattern is right with its confidence at most; rounding keeps sums of logs from depending on their order
         doubt = F.log(F.greatest(F.lit(1.0) - F.col("confidence"), F.lit(0.05)))
         scored = edges.filter("not seed").join(patterns, "pattern").groupBy("instance").agg(F.round(F.lit(1.0) - F.exp(F.sum(doubt)), 9).alias("score"))
@@ -216,11 +302,23 @@ def find_personal_data(docs: DataFrame, **options: float) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of docs(doc_id, text).
 
     The counts and base_sha256 are of the base spans; spans has the added ones too. Null and empty texts have none. Repeated
-    rows: each gets its spans, and counts once in the graph. Positions are code points, end exclusive.
+    rows: each gets its spans, and counts once in the graph. Positions are code points, end exclusive. doc_id is a whole number or null; other
+    columns are not read; an empty table gives an empty result.
     """
     rows = materialize(mentions(docs), "mentions")
-    new = bootstrap(rows, **options)  # type: ignore[arg-type]
-    open_ = rows.select("doc_id", "text_key", F.explode(F.filter("mentions", lambda m: ~m["seed"])).alias("m")).select("doc_id", "text_key", "m.instance", F.struct("m.start", "m.end", "m.kind").alias("span"))
+    edges = materialize(_edges(rows), "graph")
+    chosen = {k: v for k, v in options.items() if k in ("least_seeds", "least_confidence")}
+    patterns = materialize(open_patterns(edges, **chosen), "open")  # type: ignore[arg-type]
+    found = rows.select("doc_id", "text_key", F.filter("mentions", lambda m: ~m["seed"]).alias("mentions"))
+    # a pass over the texts for every PATTERNS patterns or so, of which there is seldom more than one
+    passes = math.ceil(patterns.count() / PATTERNS)
+    for k in range(passes):
+        mine = sorted(r["pattern"] for r in patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k).collect())
+        slots = materialize(slot_mentions(docs, mine), f"slots{k}")
+        found = found.unionByName(slots)
+        edges = materialize(edges.unionByName(_edges(slots)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), f"slot-graph{k}")
+    new = bootstrap(edges, **options)  # type: ignore[arg-type]
+    open_ = found.select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.instance", F.struct("m.start", "m.end", "m.kind").alias("span"))
     added = open_.join(new, "instance").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_set("span").alias("added"))
     out = rows.select("doc_id", "text_key", "base").join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
     out = out.withColumn("added", F.coalesce("added", F.expr("cast(array() as array<struct<start: bigint, end: bigint, kind: int>>)")))

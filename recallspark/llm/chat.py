@@ -3,7 +3,7 @@
 A record is a JSON object of any layout, held as a variant. Its fingerprint is the hash of its
 nested field paths, as the engine's schema_of_variant gives them, without the leaf types. A
 Mapping says, in field paths alone, where the turns of one layout are; the fingerprints it
-serves are those of its field paths.
+serves are those of its field paths with any of its optional ones, and of an empty list.
 
 Template: <|im_start|>ROLE\\nTEXT<|im_end|>\\n for each turn. In texts and roles every "<" that is
 followed by any number of backslashes and "|" gets one backslash more, so no text can hold a
@@ -12,7 +12,9 @@ control string; taking one away restores it. In roles, backslash and newline are
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,8 @@ class Mapping:
 
     Either list_path names an array and role_field and text_field fields of its items, or turns
     gives (role, path) pairs, in order; turns whose path is null or missing are left out if
-    optional. roles maps the layout's role names to canonical ones; others stay.
+    optional. roles maps the layout's role names to canonical ones; others stay. extra: field paths that may be there and are not
+    read. parts_field: the text field is a list of objects, whose fields of that name are joined.
     """
 
     name: str
@@ -39,11 +42,19 @@ class Mapping:
     turns: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    extra: tuple[str, ...] = ()
+    parts_field: str = ""
+
+    def shapes(self) -> list[tuple[str, ...]]:
+        some = [self.shape, *([tuple(p for p in self.shape if "[]" not in p) + (f"{self.list_path[2:]}[]",)] if self.list_path else [])]
+        items = [tuple(x) for n in range(len(self.extra) + 1) for x in combinations(self.extra, n)]
+        return [s + x for s in some for x in items if s is self.shape or not any("[]" in p for p in x)]
 
 
 MAPPINGS = (
-    Mapping("messages", ("messages", "messages[].content", "messages[].role"), "$.messages", "role", "content"),
-    Mapping("sharegpt", ("conversations", "conversations[].from", "conversations[].value"), "$.conversations", "from", "value", roles=(("human", "user"), ("gpt", "assistant"))),
+    Mapping("messages", ("messages", "messages[].content", "messages[].role"), "$.messages", "role", "content", extra=("id", "source", "messages[].name", "messages[].weight")),
+    Mapping("message_parts", ("messages", "messages[].content", "messages[].content[].text", "messages[].content[].type", "messages[].role"), "$.messages", "role", "content", extra=("id", "source", "messages[].name"), parts_field="text"),
+    Mapping("sharegpt", ("conversations", "conversations[].from", "conversations[].value"), "$.conversations", "from", "value", roles=(("human", "user"), ("gpt", "assistant")), extra=("id", "source", "conversations[].weight")),
     Mapping("prompt_completion", ("completion", "prompt"), turns=(("user", "$.prompt"), ("assistant", "$.completion"))),
     Mapping("prompt_response", ("prompt", "response"), turns=(("user", "$.prompt"), ("assistant", "$.response"))),
     Mapping("instruction", ("instruction", "output"), turns=(("user", "$.instruction"), ("assistant", "$.output"))),
@@ -72,7 +83,9 @@ def shape_text(shape: tuple[str, ...]) -> str:
         parts = []
         for n in names:
             full = prefix + n
-            if any(p.startswith(full + "[].") for p in shape):
+            if full + "[]" in shape:
+                parts.append(f"{n}: ARRAY<OBJECT<>>")
+            elif any(p.startswith(full + "[].") for p in shape):
                 parts.append(f"{n}: ARRAY<OBJECT<{render(full + '[].')}>>")
             elif any(p.startswith(full + ".") for p in shape):
                 parts.append(f"{n}: OBJECT<{render(full + '.')}>")
@@ -92,6 +105,10 @@ def _roles(m: Mapping, role: Column) -> Column:
 
 def _turns(m: Mapping, record: Column) -> Column:
     if m.list_path:
+        if m.parts_field:
+            items = F.try_variant_get(record, m.list_path, f"array<struct<{m.role_field}: string, {m.text_field}: array<struct<{m.parts_field}: string>>>>")
+            joined = lambda t: F.array_join(F.transform(t[m.text_field], lambda p: p[m.parts_field]), "")
+            return F.transform(items, lambda t: F.struct(_roles(m, t[m.role_field]).alias("role"), F.coalesce(joined(t), F.lit("")).alias("text")))
         items = F.try_variant_get(record, m.list_path, f"array<struct<{m.role_field}: string, {m.text_field}: string>>")
         return F.transform(items, lambda t: F.struct(_roles(m, t[m.role_field]).alias("role"), F.coalesce(t[m.text_field], F.lit("")).alias("text")))
     made = []
@@ -111,8 +128,8 @@ def canonical_turns(records: DataFrame, column: str = "record", mappings: tuple[
     record = F.col(column)
     out = records.withColumn("fingerprint", fingerprint(record))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role: string, text: string>>")
-    for m in mappings:
-        hit = F.col("fingerprint") == F.sha2(F.lit(shape_text(m.shape)), 256)
+    for m in reversed(mappings):  # the first that knows a shape has it
+        hit = F.col("fingerprint").isin(*[hashlib.sha256(shape_text(x).encode()).hexdigest() for x in m.shapes()])
         layout, turns = F.when(hit, F.lit(m.name)).otherwise(layout), F.when(hit, _turns(m, record)).otherwise(turns)
     return out.withColumn("layout", layout).withColumn("turns", turns)
 
@@ -173,20 +190,23 @@ def loss_texts(formatted: Column, loss: Column) -> Column:
 
 
 def format_chats(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """records with layout, turns, formatted text and loss spans. Unknown layouts: null in all."""
-    return canonical_turns(records, column, mappings).withColumn("chat", format_turns(F.col("turns"))).withColumn("formatted", F.col("chat.formatted")).withColumn("loss", F.col("chat.loss")).drop("chat")
+    """records with fingerprint, layout, turns, formatted text and loss spans; columns of these names are replaced, others stay. Null records and unknown
+    layouts: null in layout, turns, formatted and loss. A record without turns: an empty text. Every row by itself; an empty table gives an empty result.
+    """
+    turned = canonical_turns(records, column, mappings)
+    return turned.withColumn("formatted", format_turns(F.col("turns"))).withColumn("loss", F.col("formatted.loss")).withColumn("formatted", F.col("formatted.formatted"))
 
 
 def conversation_records(conversations: DataFrame) -> DataFrame:
     """(conv_id, record): one {"messages": [...]} record for each conversation, rows by turn.
 
-    Null text: empty; null role: empty. Rows of one turn: by role, then text. A conversation is one
-    value of the output, so its rows meet in one task by definition.
+    Null text: empty; null role: empty. Rows of one turn, repeated ones too: by role, then text. A null conv_id is one conversation. A conversation is one
+    value of the output, so its rows meet in one task by definition; one beyond the engine's bound of a variant has a null record.
     """
     row = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     grouped = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     messages = F.transform("rows", lambda r: F.struct(r["content"].alias("content"), r["role"].alias("role")))
-    return grouped.select("conv_id", F.parse_json(F.to_json(F.struct(messages.alias("messages")))).alias("record"))
+    return grouped.select("conv_id", F.try_parse_json(F.to_json(F.struct(messages.alias("messages")))).alias("record"))
 
 
 def chat_digest(formatted: DataFrame) -> DataFrame:

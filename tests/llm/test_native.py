@@ -64,6 +64,28 @@ def test_layouts(spark):
     assert out[-1].formatted is None and len({r.fingerprint for r in out}) == len(records)
 
 
+def test_mixed_layouts_in_one_table(spark):
+    turns = [("user", "q"), ("assistant", "a")]
+    records = [
+        ('{"messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a"}]}', "messages", turns),
+        ('{"id": 7, "source": "s", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "weight": 1}]}', "messages", turns),
+        ('{"messages": []}', "messages", []), ('{"id": 1, "messages": []}', "messages", []), ('{"conversations": []}', "sharegpt", []),
+        ('{"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}', "message_parts", [("user", "q"), ("assistant", "ab")]),
+        ('{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "id": "1"}', "sharegpt", turns),
+        ('{"instruction": "q", "output": "a"}', "instruction", turns), ('{"messages": [{"role": "user", "text": "q"}]}', None, None), ("not json", None, None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, r, "clash", "clash") for i, (r, _, _) in enumerate(records)], "i int, j string, turns string, chat string").withColumn("record", F.try_parse_json("j"))
+    out = chat.format_chats(df)
+    no_python(out)
+    rows = out.orderBy("i").collect()
+    for r, (_, layout, want) in zip(rows, records, strict=True):
+        assert r.layout == layout and r.chat == "clash"
+        assert (None if r.turns is None else [(t.role, t.text) for t in r.turns]) == want
+        assert (r.formatted is None) == (want is None) and (want != [] or r.formatted == "")
+    assert sorted(map(str, chat.format_chats(df.unionByName(df)).collect())) == sorted(map(str, [*rows, *rows]))
+    assert chat.format_chats(df.limit(0)).collect() == []
+
+
 # mixing
 
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
@@ -154,26 +176,58 @@ def test_mcd_is_brute_force(spark):
     m = np.median(x, axis=0)
     mad = np.median(np.abs(x - m).astype(int), axis=0)
     floor = np.array(quality.LEAST_SD) * quality.GRID
-    v = np.diag(np.maximum(1.4826 * mad, floor) ** 2)
     factor = 0.75 / quality.chi2_cdf(quality.chi2_quantile(0.75, 5), 7)
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(v), x - m)
-        b = np.floor(np.log1p(d) * quality.DIST_GRID)
-        near = x[b <= np.percentile(b, 75)]
-        m, v = near.mean(axis=0), factor * np.cov(near.T, bias=True) + np.diag(floor**2)
+    found = []
+    for v in (np.diag(np.maximum(1.4826 * mad, floor) ** 2), np.diag(floor**2)):
+        at = m
+        for _ in range(quality.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - at, np.linalg.inv(v), x - at)
+            b = np.floor(np.log1p(d) * quality.DIST_GRID)
+            near = x[b <= np.percentile(b, 75)]
+            at, v = near.mean(axis=0), factor * np.cov(near.T, bias=True) + np.diag(floor**2)
+        found.append((round(np.log(np.diag(np.linalg.cholesky(v))).sum(), 9), len(found), at, v))
+    _, _, m, v = min(found, key=lambda f: f[:2])
     c = np.linalg.cholesky(v)
     assert np.allclose([got[f"m{i}"] for i in range(5)], m) and np.allclose([got[f"c{i}{j}"] for i in range(5) for j in range(i + 1)], [c[i, j] for i in range(5) for j in range(i + 1)])
 
 
 # licenses
 
+def brute_license(text):
+    """Every window of every length within the bounds against every template."""
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:])]
+    best = 0.0
+    for t in licenses.prepared():
+        theirs = set(t.grams)
+        for n in range(math.ceil(len(theirs) * 2 / 3), math.floor(t.length * 1.5) + 1):
+            for i in range(max(1, len(grams) - n + 1)):
+                mine = set(grams[i : i + n])
+                if mine:
+                    best = max(best, 2 * len(mine & theirs) / (len(mine) + len(theirs)))
+    return best
+
+
 def test_licenses(spark):
-    mit = licenses.TEMPLATES["MIT"]
-    rows = [(0, "text\nLicensed under the Apache License, Version 2.0.\nmore", 0), (1, "ALL rights -- reserved!", 0), (2, "x y z\n\n" + mit[:200] + "\n" + mit[200:] + "\n\nend of it", 0), (3, None, 0), (4, "", 0), (5, "word " * 20_000, 0), (6, "all rights", 0), (7, "Released under the MIT License.\n" * 3, 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, license int")
+    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-2.0-or-later"]
+    comment = lambda t, mark: "\n".join(f"{mark} " + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    rows = [
+        (0, "text\nLicensed under the Apache License, Version 2.0.\nmore"), (1, "ALL rights -- reserved!"), (2, "x y z\n\n" + mit[:200] + "\n" + mit[200:] + "\n\nend of it"), (3, None), (4, ""), (5, "word " * 20_000),
+        (6, "all rights"), (7, "Released under the MIT License.\n" * 3), (8, "Copyright 2020 Jane Doe. Released under the MIT License."), (9, "int x;\n" + comment(gpl, " *") + "\nint main() { return 0; }"), (10, "# " * 500 + comment(mit, "#") + " and on it goes " * 50),
+        (11, "filler words " * 3000 + licenses.TEMPLATES["BSD-3-Clause-full"].replace("conditions", "terms") + " tail" * 500), (12, mit.replace("Software", "Program").replace("copies", "exemplars")), (13, "this text speaks of the software and of the rights of the people under the terms of the law"),
+    ]
+    df = spark.createDataFrame([(i, t, 0, "clash") for i, t in rows], "doc_id long, text string, license int, grams string")
     out = licenses.scan(df)
     no_python(out)
     got = {r.doc_id: r for r in out.collect()}
-    assert [got[i].license for i in range(8)] == ["Apache-2.0-notice", "All-rights-reserved", "MIT", None, None, None, None, "MIT-notice"]
-    assert got[2].unit == "paragraph" and got[7].n_units == 3 and got[3].n_units == 0
+    want = {0: "Apache-2.0-notice", 1: "All-rights-reserved", 2: "MIT", 7: "MIT-notice", 8: "MIT-notice", 9: "GPL-2.0-or-later", 10: "MIT", 11: "BSD-3-Clause-full"}
+    assert {i: r.license for i, r in got.items() if r.license and i != 12} == want
+    assert got[2].word == 3 and got[2].dice > 0.95 and got[8].word == 4 and got[3].n_licenses == 0
+    for i, t in rows:
+        if len(t or "") < 3000:
+            best = brute_license(t)
+            # a window of three lengths finds what reaches the threshold clearly, and nothing that does not reach it
+            assert (got[i].dice is not None or best < 0.83) and (got[i].dice is None or 0.8 <= got[i].dice <= best + 1e-6), i
+    twice = licenses.scan(df.unionByName(df))
+    assert sorted(str(r) for r in twice.collect()) == sorted(str(r) for r in [*got.values(), *got.values()])
     assert licenses.scan(df.limit(0)).collect() == []

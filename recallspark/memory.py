@@ -123,7 +123,7 @@ class MemoryLayer:
         """One round of rolling summaries; returns those that changed."""
         s = config.get()
         rounds = self._table("summaries", "conv_id long, summary_text string, marker_at long, marker_id long, round long").agg(F.coalesce(F.max("round"), F.lit(0)).alias("r")).first()["r"]
-        made = summaries.update_summaries(context.usable_messages(self.messages), self.summaries, summarizer, trigger=trigger or s.summary_trigger, keep=keep or s.summary_keep)
+        made = summaries.update_summaries(context.usable_messages(self.messages), self.summaries, summarizer, trigger=s.summary_trigger if trigger is None else trigger, keep=s.summary_keep if keep is None else keep)
         changed = written(made.filter("changed").drop("changed").withColumn("round", F.lit(rounds + 1).cast("long")), "new-summaries")
         changed.write.mode("append").parquet(f"{self.folder}/summaries")
         return changed.drop("round")

@@ -1,15 +1,16 @@
 """Golden values of the memory and retrieval operators."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from recallspark import config, providers
-from recallspark.errors import ExtractionError, ProvenanceError, ScopeError
+from recallspark import config, migrations, progress, providers, smoke
+from recallspark.errors import ConflictError, EmbeddingError, ExtractionError, IndexError_, ProvenanceError, ProviderError, RecallError, ResumeError, ScopeError, StaleIndexError, SummaryError
 from recallspark.functions import identity, text
 from recallspark.memory import MemoryLayer
-from recallspark.operators import context, evaluation, fusion, lexical, lifecycle, structured, vector
+from recallspark.operators import context, evaluation, fusion, indexes, lexical, lifecycle, scopes, structured, vector
 from recallspark.plans import search
 from recallspark.sources import tables
 
@@ -23,7 +24,7 @@ def col(x):
 
 
 def test_text(spark):
-    assert value(spark, text.tokenize(F.lit("PostgreSQL, DoorDash! Gina's Project-123."))) == ["postgresql", "doordash", "gina", "s", "project", "123"]
+    assert value(spark, text.tokenize(F.lit("SQLite, LocoBike! Mara's Task-123."))) == ["sqlite", "locobike", "mara", "s", "task", "123"]
     assert value(spark, text.tokenize(F.lit("?! ..."))) == []
     assert value(spark, text.tokenize(F.lit("Straße élan"))) == ["strasse", "lan"]
     assert value(spark, F.array_join(text.query_terms(text.tokenize(F.lit("The Atlas deployment is failing again, Atlas."))), " | ")) == "atlas | deployment | failing | again"
@@ -41,12 +42,14 @@ def test_identity(spark):
     assert key("current-city", "x") == "user:user_123:location"
     assert key("Programming Language", " Python ") == "user:user_123:programming_language:python"
     assert key("programming_language", "C++") == "user:user_123:programming_language:c%2B%2B"
+    assert key("Ｐrogramming－language", "Ｃ＋＋") == "user:user_123:programming_language:c%2B%2B" and key("skill", "ﬁne  ＧＯ") == "user:user_123:skill:fine%20go"
+    assert value(spark, identity.subject_id(F.lit(" Jose\u0301 "))) == "Jos%C3%A9" and value(spark, text.normalize(F.lit("Straße\u00a0\x1cX"))) == "strasse x"
     assert key("programming_language", " ") is None and key("mood", "x") is None and key("location", "x", s="project") is None and key("location", "x", t="episodic") is None
 
 
 @pytest.fixture(scope="module")
-def gina(spark):
-    rows = [("u", 1, "Gina opened an online clothing store"), ("u", 2, "Gina bought furniture for her store"), ("u", 3, "Jon changed jobs"), ("u", 4, "Gina filed ticket PROJ-42 for the store"), ("u", 5, "")]
+def bakery(spark):
+    rows = [("u", 1, "Mara started a small bakery downtown"), ("u", 2, "Mara rents ovens for the bakery"), ("u", 3, "Olof sails on weekends"), ("u", 4, "Mara renewed permit BAK-77 of the bakery"), ("u", 5, "")]
     return spark.createDataFrame(rows, "scope string, id long, text string")
 
 
@@ -54,11 +57,15 @@ def asked(spark, *texts):
     return spark.createDataFrame([("u", i, t) for i, t in enumerate(texts)], "scope string, qid long, text string")
 
 
-def test_lexical(spark, gina):
-    got = lexical.bm25_topk(gina, asked(spark, "Gina clothing business", "nothing here", ""), 10).orderBy("qid", "rank").collect()
-    assert [r.id for r in got] == [1, 2, 4] and {r.qid for r in got} == {0}
-    fts = lexical.fts_topk(gina, asked(spark, "What clothing business does Gina run?", "PROJ-42", "store gina", "onlin"), 10).orderBy("qid", "rank").collect()
+def test_lexical(spark, bakery):
+    got = lexical.bm25_topk(bakery, asked(spark, "Mara bakery sells bread", "nothing here", ""), 10).orderBy("qid", "rank").collect()
+    assert sorted(r.id for r in got) == [1, 2, 4] and {r.qid for r in got} == {0}
+    fts = lexical.fts_topk(bakery, asked(spark, "What shop does Mara run?", "BAK-77", "bakery mara", "downtow"), 10).orderBy("qid", "rank").collect()
     assert [(r.qid, r.id) for r in fts] == [(1, 4), (2, 4), (2, 2), (2, 1), (3, 1)]
+    web = lexical.fts_topk(bakery, asked(spark, '"small bakery"', '"bakery small"', "sails or ovens", "mara -ovens -permit", '-mara', '-"small bakery" mara'), 10).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.id) for r in web] == [(0, 1), (2, 3), (2, 2), (3, 1), (4, 5), (4, 3), (5, 4), (5, 2)]
+    odd = spark.createDataFrame([("u", 1, "a --- b"), ("u", 2, "KAN-4, done"), ("u", 3, "xkan 41")], "scope string, id long, text string")
+    assert [(r.qid, r.id) for r in lexical.literal_match(odd, asked(spark, "---", "an-4", "KA", "n 4")).orderBy("qid", "id").collect()] == [(0, 1), (1, 2), (2, 2), (2, 3), (3, 3)]
     ties = spark.createDataFrame([("u", 9, "same text"), ("u", 1, "same text")], "scope string, id long, text string")
     assert [r.id for r in lexical.bm25_topk(ties, asked(spark, "same"), 5).orderBy("rank").collect()] == [1, 9]
 
@@ -69,6 +76,14 @@ def test_vector(spark):
     assert [r.id for r in vector.topk(v, q, 3).orderBy("rank").collect()] == [0, 1, 2]
     state = spark.createDataFrame([(4,)], "id long")
     assert [(r.rank, r.id) for r in vector.oversampled(v, q, state, 1).collect()] == [(1, 4)]
+    many = spark.createDataFrame([(str(i % 2), i, [float(i % 7), 1.0]) for i in range(300)], "scope string, id long, v array<double>")
+    ask = spark.createDataFrame([(str(i % 2), i, [1.0, float(i)]) for i in range(40)], "scope string, qid long, v array<double>")
+    want = {(str(s), q): [i for _, i in sorted((-round(i % 7 + q, 6), i) for i in range(300) if i % 2 == s)][:4] for s in (0, 1) for q in range(40) if q % 2 == s}
+    for blocks in (32, 0):
+        vector.FEW_BLOCKS, vector.VECTOR_BLOCK, vector.QUERY_BLOCK = blocks, 16, 8
+        got = vector.topk(many, ask, 4).orderBy("rank").collect()
+        assert all([r.id for r in got if (r.scope, r.qid) == k] == w for k, w in want.items())
+    vector.FEW_BLOCKS, vector.VECTOR_BLOCK, vector.QUERY_BLOCK = 32, 4096, 1024
     bad = spark.createDataFrame([([],), ([0.0, 0.0],), ([float("nan")],), (None,)], "v array<double>")
     assert [r.x for r in bad.select(vector.normalize(F.col("v")).alias("x")).collect()] == [None] * 4
 
@@ -174,6 +189,15 @@ def test_providers():
     calls = iter(["nonsense", '```json\n{"memories": []}\n```'])
     assert providers.with_attempts(lambda request, note: notes.append(note) or next(calls), "r", providers.parse_extraction) == []
     assert notes[0] == "" and "rejected" in notes[1]
+    for broken, path in (('{"memories": [{"memory_type": "semantic", "memory_text": " "}]}', "memories[0].memory_text"), ('{"memories": [{"memory_type": "semantic", "memory_text": "x", "confidence": true}]}', "memories[0].confidence")):
+        with pytest.raises(ExtractionError, match=re.escape(path)):
+            providers.parse_extraction(broken)
+    clean = providers.parse_extraction('{"memories": [{"memory_type": "semantic", "memory_text": " x ", "predicate": " ", "value": ""}]}')[0]
+    assert clean["memory_text"] == "x" and clean["predicate"] is None and clean["value"] is None and clean["confidence"] == 0.5
+    assert providers.content_of({"choices": [{"message": {"content": "a"}}]}) == "a" and providers.content_of({"choices": []}) is None and providers.content_of(None) is None
+    assert providers.error_category(TimeoutError()) == "timeout" and providers.error_category(ConnectionResetError()) == "connection" and providers.error_category(ValueError()) == "other"
+    assert providers.is_transient("rate_limit") and not providers.is_transient("invalid_json")
+    assert "location: one value; also called" in providers.predicate_guidance() and providers.predicate_guidance() in providers.intent_prompt()
     with pytest.raises(ExtractionError):
         providers.parse_intent('{"predicate": "x", "temporal_scope": "never"}')
 
@@ -204,7 +228,106 @@ def test_facade(spark, tmp_path):
         layer.write(layer.writes.withColumn("sources", F.array(F.lit(999).cast("long"))))
 
 
+def test_ingest_resumes(spark, tmp_path):
+    layer = MemoryLayer(spark, str(tmp_path))
+    rows = [(k, "u1", 1, "user", f"I live in Town{k}", k) for k in range(3)]
+    sessions = spark.createDataFrame(rows, "session long, user_id string, conv_id long, role string, content string, n long")
+    seen = []
+    assert layer.ingest(sessions.filter("session < 2"), done=lambda s, n: seen.append((s, n))) == 2
+    assert layer.ingest(sessions, done=lambda s, n: seen.append((s, n))) == 1 and seen == [(0, 1), (1, 2), (2, 3)]
+    assert layer.uncovered().count() == 0 and layer.version() == 3
+    with pytest.raises(ConflictError):
+        layer.write(layer.writes.limit(0), expected=2)
+    layer.add(spark.createDataFrame([("u1", 1, "user", "I live in Elsewhere", 9)], "user_id string, conv_id long, role string, content string, n long"))
+    with pytest.raises(ResumeError):
+        layer.ingest(sessions)
+    with pytest.raises(ScopeError):
+        layer.add(spark.createDataFrame([(" ", 1, "user", "x", 1)], "user_id string, conv_id long, role string, content string, n long"))
+    changed = layer.summarize(trigger=2, keep=1).collect()
+    assert len(changed) == 1 and changed[0].summary_text == "I live in Town0 I live in Town1 I live in Town2"
+    assert layer.summarize(trigger=2, keep=1).count() == 0 and layer.summaries.count() == 1
+    with pytest.raises(SummaryError):
+        layer.summarize(lambda r: " ", trigger=1, keep=0)
+
+
+def test_index(spark, tmp_path):
+    path = f"{tmp_path}/i"
+    rows = spark.createDataFrame([("s", i, i, [1.0, float(i)]) for i in range(4)], "scope string, id long, pos long, v array<double>")
+    with pytest.raises(IndexError_):
+        indexes.load(spark, path, "m")
+    for _ in range(3):
+        indexes.save(rows, path, "m")
+    assert indexes.load(spark, path, "m").dimensions == 2 and sorted(p.name for p in (tmp_path / "i").iterdir()) == ["g2", "g3"]
+    with pytest.raises(StaleIndexError):
+        indexes.load(spark, path, "other")
+    with pytest.raises(IndexError_):
+        indexes.search(indexes.load(spark, path, "m"), spark.createDataFrame([("s", 0, [1.0])], "scope string, qid long, v array<double>"), 1)
+    spark.createDataFrame([("s", 9, 9, [1.0, 2.0])], rows.schema).write.mode("append").parquet(f"{path}/g3/vectors")
+    with pytest.raises(IndexError_):
+        indexes.load(spark, path, "m")
+    with pytest.raises(IndexError_):
+        indexes.save(rows.withColumn("v", F.when(F.col("id") > 0, F.col("v")).otherwise(F.array(F.lit(1.0)))), path, "m")
+    with pytest.raises(EmbeddingError):
+        vector.checked(rows.withColumn("model", F.lit("m")), "other")
+
+
+def test_scopes(spark):
+    c = spark.createDataFrame([(1, "u", "a"), (2, "v", "a"), (3, "u", "b")], "conv_id long, user_id string, name string")
+    ask = lambda *rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "qid long, user_id string, name string")
+    assert [(r.qid, r.conv_id) for r in scopes.resolve(ask(("u", "a"), (None, "b")), c).orderBy("qid").collect()] == [(0, 1), (1, 3)]
+    for bad in (ask((None, "a")), ask(("v", "b"))):
+        with pytest.raises(ScopeError):
+            scopes.resolve(bad, c)
+
+
+def test_migrations(spark, tmp_path):
+    folder = str(tmp_path)
+    assert migrations.upgrade(spark, folder, 1) == 1 and migrations.version(spark, folder) == 1
+    assert migrations.upgrade(spark, folder) == len(migrations.STEPS) == migrations.upgrade(spark, folder)
+    t = migrations.tables(spark, folder)
+    assert dict(t["writes"].dtypes)["importance"] == "double" and "embedding" in t["messages"].columns and t["summaries"].count() == 0
+    assert migrations.main([]) == 2
+
+
+def test_smoke(spark, tmp_path):
+    rows = evaluation.case_summary(smoke.run(spark, str(tmp_path))).first()
+    assert rows.cases == len(smoke.CASES) and rows.isolation_failures == 0 and rows.hit_5 == 1.0
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"a": 1}\n{"a": 2}\n{"a":')
+    assert sorted(r.a for r in tables.read_jsonl(spark, f"{tmp_path}/r.jsonl", "a int").collect()) == [1, 2]
+    (tmp_path / "bad.jsonl").write_text('{"a":\n{"a": 2}\n{"a":')
+    with pytest.raises(RecallError):
+        tables.read_jsonl(spark, f"{tmp_path}/bad.jsonl", "a int")
+    assert tables.read_checkpoint(spark, f"{tmp_path}/none", "a int") is None
+    assert tables.jdbc_options("postgresql+psycopg://me:p%40ss@host:5432/db?x=1") == {"url": "jdbc:postgresql://host:5432/db?x=1", "user": "me", "password": "p@ss", "driver": "org.postgresql.Driver"}
+    with pytest.raises(ValueError):
+        tables.jdbc_options("nonsense")
+    assert tables.incompatibilities({"k": 5, "m": "a"}, {"k": 5, "m": "b", "n": 1}) == ["m", "n"]
+    s = spark.createDataFrame([("b", 1), ("a", 2)], "sample_id string, x int")
+    assert [r.x for r in tables.select_sample(s, 0).collect()] == [2]
+    df, seen = progress.counted(s, "seen", large="x > 1")
+    df.collect()
+    assert seen.get == {"rows": 2, "large": 1}
+
+
+def test_batched_embedding(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
+    got = providers.embed_batches(rows, lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()
+    assert sorted(str(r.v) for r in got) == ["None", "[1.0, 1.0]", "[1.0, 1.0]", "[1.0, 1.0]"]
+    with pytest.raises(Exception, match="one for each text"):
+        providers.embed_batches(rows.filter("text is not null"), lambda: lambda texts: []).collect()
+    intents = {r.qid: r for r in providers.infer_intents(asked(spark, "where do I live", "x"), lambda r, note: (_ for _ in ()).throw(TimeoutError())).collect()}
+    assert intents[0].attempted and not intents[0].ok and intents[0].error_category == "timeout"
+
+
 def test_config():
+    with pytest.raises(ProviderError):
+        config.require_provider("other")
+    with pytest.raises(ProviderError):
+        config.require_provider("offline", "NO_SUCH_VARIABLE_IS_SET")
+    config.require_provider("offline")
     assert config.configure(recent_messages=3).recent_messages == 3
     config.reset()
     assert config.get().recent_messages == 6

@@ -223,12 +223,18 @@ def search(blocks: DataFrame, books: np.ndarray, sampled: tuple[np.ndarray, np.n
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             qid, q, c, reach = shared.value
             tables = np.einsum("qd,mkd->mqk", q, c, optimize=True).astype(np.float32)
-            floor = reach.copy()
+            floor, longest = reach.copy(), np.sqrt((q * q).sum(axis=1).max())
             have = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for batch in batches:
                 for r in batch.to_pylist():
                     ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, d)
                     codes, left = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["left"])
+                    # no inner product is above |q| (|reconstruction| + |rest|); rows under every query's floor are not looked up
+                    alive = longest * (np.frombuffer(r["norms"]) + left) >= floor.min() - 1e-6
+                    if not alive.all():
+                        ids, x, codes, left = ids[alive], x[alive], codes[alive], left[alive]
+                        if not len(ids):
+                            continue
                     block = _prepare(ids, x, codes, left, top)
                     for i in range(0, len(q), 256):
                         part = slice(i, i + 256)
@@ -262,11 +268,13 @@ def search(blocks: DataFrame, books: np.ndarray, sampled: tuple[np.ndarray, np.n
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, *, top: int = TOP, margin: float = MARGIN, sample: int = SAMPLE) -> DataFrame:
     """Each query's top nearest of vectors(vec_id, embedding). queries: the same columns; every 20th id if left out.
 
-    Vectors null, zero, with null or non-finite components or of another dimension than most take no part. Repeated rows:
-    each is a candidate; a query's own vec_id is none. No vectors: empty result.
+    Vectors null, zero, with null or non-finite components or of another dimension than most, and rows without a vec_id, take no part. Repeated rows:
+    each is a candidate; a query's own vec_id is none. Of several vectors under one query's vec_id the least is asked. Other columns are not read. No vectors:
+    empty result.
     """
     ready = usable(vectors)
-    asked = ready.filter(F.pmod(F.col("vec_id"), F.lit(20)) == 0).dropDuplicates(["vec_id"]) if queries is None else usable(queries).dropDuplicates(["vec_id"])
+    asked = ready.filter(F.pmod(F.col("vec_id"), F.lit(20)) == 0) if queries is None else usable(queries)
+    asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks, books, sampled, d = build_index(ready, sample=sample)
     if d == 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

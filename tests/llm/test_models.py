@@ -90,13 +90,16 @@ def test_personal_data(spark):
     rows = [(i, f"{word()} {word()} kontakt via mail an {word()}@{word()}.org {word()}", "x") for i in range(30)]
     rows += [(100, f"{word()} kontakt via mail an jo at example dot org heute", "x"), (101, f"see {word()} at home dot matrix printer", "x"), (102, None, "x"), (103, "", "x"), (104, "1" * 100_000, "x"), (105, "+" + "1 " * 50_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
-    got = {x.doc_id: x for x in pii.find_personal_data(df.unionByName(df.limit(0))).collect()}
+    got = {x.doc_id: x for x in pii.find_personal_data(df).collect()}
     for i, t, _ in rows:
         spans = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in brute_spans(t))
         assert got[i].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
         assert got[i].n_email == spans.count("email") and got[i].n_card == spans.count("card")
     assert got[100].n_added == 1 and rows[30][1][int(got[100].spans.split(":")[1]) :].startswith("jo at example dot org")
     assert got[101].n_added == 0
+    # repeated rows and rows without an id get the same
+    again = pii.find_personal_data(df.unionByName(df).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")))).groupBy("doc_id", "spans").count().collect()
+    assert sum(r["count"] for r in again) == 3 * len(rows) and {(r.doc_id, r.spans) for r in again if r.doc_id is not None} == {(i, x.spans) for i, x in got.items()}
     assert pii.find_personal_data(df.limit(0)).collect() == []
 
 
@@ -115,6 +118,21 @@ def test_personal_data_shapes(spark):
         assert f"{'email' if i < 2 else 'phone'}:{at}:{at + len(s)}" in got[200 + i].split(",")
 
 
+def test_patterns_discover_other_shapes(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = [(i, f"{word()} bitte schreib mir an {word()}@{word()}.org {word()}") for i in range(30)]
+    rows += [(100 + i, f"{word()} die rechnung nummer {'4539148803436467' if i % 2 else word() + str(i) + 'x9'} von {word()}") for i in range(30)]
+    rows += [(200, "dort: bitte schreib mir an jo#17#example, danke"), (201, "und jo#17#example allein"), (202, "rechnung nummer k77k77 von dort")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in pii.find_personal_data(df).collect()}
+    # no candidate has this shape; the words before it say what it is
+    at = rows[60][1].index("jo#17#example")
+    assert got[200] == f"email:{at}:{at + 13}" and got[201] == ""
+    # too many different things follow these words
+    assert got[202] == ""
+
+
 def toxic_rows(n=900):
     r = random.Random(5)
     docs, labels = [], []
@@ -155,12 +173,12 @@ def test_toxicity_reruns_alike(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(x[0] for x in one if x[3] == 0)
 
 
-def test_toxic_rows_go_by_their_own_text(spark):
-    docs, labels = toxic_rows(500)
-    bad, good = docs[9][1], docs[1][1]
-    d = spark.createDataFrame([*docs, (9000, bad, "en", "s", 0), (9000, good, "en", "s", 0), (None, bad, "en", "s", 0), (None, good, "en", "s", 0), (None, None, None, None, None)], DOCS)
-    kept = [r.text for r in toxicity.without_toxic(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()]
-    assert kept.count(bad) == 0 and kept.count(good) == 3 and None in kept
+def test_toxic_rows_go_by_their_own_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: {"weights": {"idiot": 9.0}, "bias": -4.0})
+    bad, good = "what an idiot this is", "what a day this is"
+    d = spark.createDataFrame([(1, bad), (1, good), (None, bad), (None, good), (None, None), (2, "")], "doc_id long, text string")
+    kept = [r.text for r in toxicity.without_toxic(d, d).collect()]
+    assert sorted(map(str, kept)) == sorted(["None", "", good, good])
 
 
 def test_the_label_model_decides(spark, monkeypatch):
@@ -176,7 +194,7 @@ def test_the_label_model_decides(spark, monkeypatch):
 
 
 def test_unit_counts_merge_only_copies(spark):
-    rows = [(f"aaaa bbbb cccc word{chr(97 + i % 26)}{chr(97 + i // 26)}", float(i % 2)) for i in range(200)] + [("eeee ffff", 1.0), ("ffff eeee", 0.0), ("", 1.0), (None, 1.0)]
+    rows = [(f"aaaa bbbb cccc word{chr(97 + i % 26)}{chr(97 + i // 26)}", float(i % 2)) for i in range(200)] + [("eeee ffff", 1.0), ("eeee ffff", 0.0), ("", 1.0), (None, 1.0)]
     got = {r.u: (r.n, r.p) for r in toxicity._unit_counts(spark.createDataFrame(rows, "text string, w double")).collect()}
     assert got["aaaa"] == (200, 100.0) and got["eeee"] == (1, 0.5)
     assert all(got[t.split()[-1]] == (1, w) for t, w in rows[:200])
@@ -222,3 +240,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert df.filter("token_ids is null").count() == 0
     rows = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert rows == sorted(r.doc_id for r in df.collect())
+
+
+def test_pipeline_stages_take_anything(spark, tmp_path):
+    docs, labels = toxic_rows(120)
+    run = "\n".join(f"{i} " + " ".join(f"r{i}{j}" for j in range(20)) for i in range(4))
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (None, run, "en", "s", 1), (5, run + "\nmore", "en", "s", 1), (5, run, "en", "s", 1), (7, "x " * 30_000, "en", "t", 1), (8, "\n\n", "en", "t", 1)]
+    clash = "row of mix_row own_id own_key own_r score text_key n_deleted marks tie".split()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame([*docs, *odd, *odd], DOCS).withColumns({c: F.lit(c) for c in clash})
+    for table, least in ((df, 1), (df.limit(0), 0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, str(tmp_path))
+            rows = out.collect()
+            assert len(rows) >= least, name
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == table.columns, name
+                assert all(r.mix_row == "mix_row" and r.tie == "tie" for r in rows), name

@@ -36,12 +36,14 @@ LEXICONS = (
     ("idiote", "imbécile", "crétin", "connard", "connasse", "salaud", "ordure", "abruti", "débile", "minable"),
     ("idiota", "estúpido", "estúpida", "imbécil", "tonto", "basura", "cabrón", "asqueroso", "patético", "gilipollas"),
 )
-#: Patterns that vote from the start, one voter each: address, command, shouting, masked words, many exclamation marks.
+#: Patterns that vote from the start, one voter each, with strings of which a text must hold one: address, command, shouting, masked words, many exclamation marks.
 PATTERNS = (
-    r"\b(?:you|you're|youre|ur)\s+(?:are\s+|re\s+)?(?:a|an|such)\b", r"\b(?:shut up|go away|get lost|hate you|drop dead)\b", r"\b[A-Z]{4,}!!!",
-    r"\b[A-Za-z][*#@$]{2,}[A-Za-z]", r"![!1]{2}",
-)
-N_FIXED = len(LEXICONS) + len(PATTERNS)
+    (r"\b(?:you|you're|youre)\s+(?:are\s+|re\s+)?(?:a|an|such)\b", ("you",)),
+    (r"\b(?:shut up|go away|get lost|hate you|drop dead)\b", ("shut up", "go away", "get lost", "hate you", "drop dead")),
+    (r"\b[A-Z]{4,}!!!", ("!!!",)),
+    (r"\b[A-Za-z][*#@$]{2,}[A-Za-z]", ("*", "#", "@", "$")),
+    (r"![!1]{2}", ("!!", "!1")),
+)
 
 WORD_VOTERS = 4
 PREFIX_VOTERS = 4
@@ -71,11 +73,6 @@ def units(found: set[str]) -> set[str]:
     return found | {w[:n] + "*" for w in found for n in PREFIXES if len(w) > n}
 
 
-def copy_key(found: set[str]) -> bytes:
-    """Equal for texts of the same words, and 128 bits wide, so that different word sets do not meet."""
-    return xxhash.xxh3_128_digest(" ".join(sorted(found)))
-
-
 class Lookup:
     """The values in a table of the units of a set of words. Words seen before are not looked up again; those without a value, most of them, cost a set difference."""
 
@@ -111,7 +108,7 @@ class Voters:
             entry[e] = n + PREFIX_VOTERS + h % WORD_VOTERS if e[-1] != "*" else n + h % PREFIX_VOTERS
         self.entry = Lookup(entry)
         self.fixed = [frozenset(x) for x in LEXICONS]
-        self.patterns = [re.compile(p) for p in PATTERNS]
+        self.patterns = [(re.compile(p), some) for p, some in PATTERNS]
         self.first_pattern = n + PREFIX_VOTERS + WORD_VOTERS
         self.count = self.first_pattern + len(PATTERNS)
 
@@ -122,8 +119,8 @@ class Voters:
                 bits |= 1 << j
         for j in self.entry(found):
             bits |= 1 << j
-        for k, p in enumerate(self.patterns):
-            if text and p.search(text):
+        for k, (p, some) in enumerate(self.patterns):
+            if text and any(x in text for x in some) and p.search(text):
                 bits |= 1 << (self.first_pattern + k)
         return bits
 
@@ -268,30 +265,28 @@ def _train(voted: DataFrame, posterior: dict[int, float], train_rows: int) -> tu
 
 
 def _unit_counts(rows: DataFrame) -> DataFrame:
-    """(u, n, p): for every unit of rows(text, w) the different word sets that hold it and the sum of their w, each the average over its texts."""
+    """(u, n, p): for every unit of rows(text, w) the different texts that hold it and the sum of their w, each the average over its copies.
+
+    A row of a text with c copies counts for one c-th, so that no text needs to be moved; only texts with copies are looked up.
+    """
     ship(rows)
     batch_rows(rows)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = [copy_key(tokens(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.binary())], ["text", "w", "key"])
+    keyed = rows.select("text", F.col("w").cast("double").alias("w"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"))
+    copies = small(keyed.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter("c > 1"))
+    weighed = keyed.join(copies, ["k1", "k2"], "left").select("text", "w", F.coalesce("c", F.lit(1)).alias("c"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: dict[str, list[float]] = {}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, y, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for u in units(tokens(text)):
-                    c = count.setdefault(u, [0, 0.0])
-                    c[0] += 1
-                    c[1] += y
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([c[0] for c in count.values()], pa.int64()), pa.array([c[1] for c in count.values()], pa.float64())], ["u", "n", "p"])
-
-    keyed = rows.select("text", F.col("w").cast("double").alias("w")).mapInArrow(keys, "text string, w double, key binary")
-    # texts of one key have the same units, so any of them stands for all
-    once = keyed.groupBy("key").agg(F.first("text").alias("text"), F.round(F.avg("w"), 9).alias("w")).select("text", "w")
+                    got = count.setdefault(u, [0.0, 0.0])
+                    got[0] += 1 / c
+                    got[1] += y / c
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([c[0] for c in count.values()], pa.float64()), pa.array([c[1] for c in count.values()], pa.float64())], ["u", "n", "p"])
+
     # rounding keeps sums from depending on their order
-    return once.mapInArrow(emit, "u string, n long, p double").groupBy("u").agg(F.sum("n").alias("n"), F.round(F.sum("p"), 6).alias("p"))
+    return weighed.mapInArrow(emit, "u string, n double, p double").groupBy("u").agg(F.round(F.sum("n"), 6).alias("n"), F.round(F.sum("p"), 6).alias("p"))
 
 
 def _mine(mined: DataFrame) -> list[str]:

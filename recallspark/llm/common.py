@@ -52,9 +52,9 @@ def batch_rows(of: DataFrame, rows: int = 1000) -> None:
 SMALL_ROWS = 50_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it has at most SMALL_ROWS rows, counted now; larger ones are joined by key."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, counted now; larger ones are joined by key."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -57,6 +57,8 @@ LEAST_PRECISION = 0.95
 #: A unit is a feature if its rows' posteriors lie so many standard errors from the mean, in so many rows at least.
 LEAST_FAR, LEAST_ROWS = 3, 3
 KNOWN_WORDS = 100_000
+#: Labels, of 16 bytes or so each, up to which they go to the texts; more of them meet the texts by key.
+LABEL_ROWS = 1_000_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -217,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     ship(docs)
     batch_rows(docs)
     gold = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = materialize(docs.select("doc_id", "text").join(small(gold), "doc_id"), "labelled")
+    labelled = materialize(docs.select("doc_id", "text").join(small(gold, LABEL_ROWS), "doc_id"), "labelled")
     entries = _mine(labelled)
     voters = Voters(entries)
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -168,6 +168,8 @@ def contexts(text: str, span: Span) -> list[str]:
 _FILLER = re.compile(r"\s*(\S+)")
 _OUTER = ".,;:!?()[]{}<>\"'"
 SLOT_LENGTH = (5, 64)
+_ZEROS = str.maketrans("123456789", "000000000")
+_WORD_CHAR = re.compile(r"\w")
 
 
 class Slots:
@@ -179,20 +181,31 @@ class Slots:
             kind, words, _ = p.split("|")
             self.known.setdefault(words, []).append((KINDS.index(kind), p))
         self.last = {w.split(" ")[-1] for w in self.known}
+        self.zeros = any("0" in w for w in self.last)
         self.most = max((w.count(" ") + 1 for w in self.known), default=0)
 
-    def __call__(self, text: str, taken: list[Span]) -> list[tuple[int, int, int, list[str]]]:
-        """(start, end, kind, patterns), none of which overlaps a taken span or an earlier one of its kind."""
+    def _ends(self, text: str) -> list[int]:
+        """Where tokens end that are the last word of a pattern."""
+        low = text.lower().translate(_ZEROS) if self.zeros else text.lower()
+        if len(self.last) > 64 or len(low) != len(text):
+            return [m.end() for m in _TOKEN.finditer(text) if re.sub(r"[0-9]", "0", m[0].lower()) in self.last]
+        out = []
+        for w in self.last:
+            at = low.find(w)
+            while at >= 0:
+                end = at + len(w)
+                if not _WORD_CHAR.match(w) or not ((at and _WORD_CHAR.match(text[at - 1])) or (end < len(text) and _WORD_CHAR.match(text[end]))):
+                    out.append(end)
+                at = low.find(w, end)
+        return sorted(out)
+
+    def __call__(self, text: str, taken: Callable[[str], list[Span]]) -> list[tuple[int, int, int, list[str]]]:
+        """(start, end, kind, patterns), none of which overlaps a taken span or an earlier one of its kind. taken is asked only if there is something."""
         found: dict[tuple[int, int, int], list[str]] = {}
-        recent: list[str] = []
-        for m in _TOKEN.finditer(text):
-            recent.append(re.sub(r"[0-9]", "0", m[0].lower()))
-            if len(recent) > self.most:
-                del recent[0]
-            if recent[-1] not in self.last:
-                continue
+        for end in self._ends(text):
+            recent = [re.sub(r"[0-9]", "0", t.lower()) for t in _TOKEN.findall(text[max(0, end - 60) : end])][-self.most :]
             hits = [x for n in range(1, len(recent) + 1) for x in self.known.get(" ".join(recent[-n:]), ())]
-            filler = _FILLER.match(text, m.end()) if hits else None
+            filler = _FILLER.match(text, end) if hits else None
             if not filler:
                 continue
             word = filler[1].strip(_OUTER)
@@ -201,7 +214,7 @@ class Slots:
             start = filler.start(1) + filler[1].index(word)
             for kind, p in hits:
                 found.setdefault((start, start + len(word), kind), []).append(p)
-        out, busy, k, last = [], sorted((a, b) for a, b, _ in taken), 0, {}
+        out, busy, k, last = [], sorted((a, b) for a, b, _ in taken(text)) if found else [], 0, {}
         for (a, b, kind), ps in sorted(found.items()):
             while k < len(busy) and busy[k][1] <= a:
                 k += 1
@@ -240,6 +253,11 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _ROWS)
 
 
+def _taken(text: str) -> list[Span]:
+    spans = base_spans(text)
+    return spans + candidates(text, spans)
+
+
 def open_patterns(edges: DataFrame, *, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """(pattern): those of two words or more before the slot and none behind it whose instances are seeds, so many and in such a share."""
     left = F.substring_index(F.substring_index("pattern", "|", 2), "|", -1)
@@ -258,8 +276,7 @@ def slot_mentions(docs: DataFrame, patterns: list[str]) -> DataFrame:
             ids, keys, found = [], [], []
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = value.as_py() or ""
-                spans = base_spans(text)
-                more = slots(text, spans + candidates(text, spans))
+                more = slots(text, _taken)
                 if more:
                     ids.append(doc_id)
                     keys.append(_key(text))

@@ -165,15 +165,43 @@ def contexts(text: str, span: Span) -> list[str]:
 
 
 #: What may stand in a slot: a run without white space, less its outer punctuation, of such a length and with a digit or an at sign.
-_FILLER = re.compile(r"\s*(\S+)")
 _OUTER = ".,;:!?()[]{}<>\"'"
 SLOT_LENGTH = (5, 64)
 _ZEROS = str.maketrans("123456789", "000000000")
+#: A run from its first digit (of str.isdigit, which knows some that \d lacks) or at sign on. Beyond 16 bits any character will do here, so that the set stays a quick one.
+_MARK = re.compile("[@" + "".join(c for c in map(chr, range(0x10000)) if c.isdigit()) + "\U00010000-\U0010ffff]" + r"\S*")
 _WORD_CHAR = re.compile(r"\w")
 
 
+def fillers(text: str) -> Iterator[tuple[int, int, int]]:
+    """(end of the token before, start, end) of all that may stand in a slot, once for each token end from which only punctuation and white space lead to it.
+
+    Sought from the digits and at signs, which are few; time is linear in the text.
+    """
+    for m in _MARK.finditer(text):
+        end = m.start() + len(m[0].rstrip(_OUTER))
+        start, marked, at = end, False, end
+        while at > 0 and start >= end - SLOT_LENGTH[1]:
+            at -= 1
+            c = text[at]
+            if c.isspace():
+                # the word is led to from the run before too, whose end is the end of a token
+                while at > 0 and text[at - 1].isspace():
+                    at -= 1
+                if at and marked and SLOT_LENGTH[0] <= end - start <= SLOT_LENGTH[1]:
+                    yield at, start, end
+                break
+            if c not in _OUTER:
+                start = at
+                marked = marked or c == "@" or c.isdigit()
+            if at and marked and SLOT_LENGTH[0] <= end - start <= SLOT_LENGTH[1]:
+                before = text[at - 1]
+                if not before.isspace() and not (_WORD_CHAR.match(before) and _WORD_CHAR.match(c)):
+                    yield at, start, end
+
+
 class Slots:
-    """Finds what accepted left patterns "kind|words|" extract. Only texts with the last word of one are gone through."""
+    """Finds what accepted left patterns "kind|words|" extract. What could stand in a slot is sought first, then the words before it are looked up."""
 
     def __init__(self, patterns: list[str]) -> None:
         self.known: dict[str, list[tuple[int, str]]] = {}
@@ -181,39 +209,18 @@ class Slots:
             kind, words, _ = p.split("|")
             self.known.setdefault(words, []).append((KINDS.index(kind), p))
         self.last = {w.split(" ")[-1] for w in self.known}
-        self.zeros = any("0" in w for w in self.last)
         self.most = max((w.count(" ") + 1 for w in self.known), default=0)
 
-    def _ends(self, text: str) -> list[int]:
-        """Where tokens end that are the last word of a pattern."""
-        low = text.lower().translate(_ZEROS) if self.zeros else text.lower()
-        if len(self.last) > 64 or len(low) != len(text):
-            return [m.end() for m in _TOKEN.finditer(text) if re.sub(r"[0-9]", "0", m[0].lower()) in self.last]
-        out = []
-        for w in self.last:
-            at = low.find(w)
-            while at >= 0:
-                end = at + len(w)
-                if not _WORD_CHAR.match(w) or not ((at and _WORD_CHAR.match(text[at - 1])) or (end < len(text) and _WORD_CHAR.match(text[end]))):
-                    out.append(end)
-                at = low.find(w, end)
-        return sorted(out)
-
     def __call__(self, text: str, taken: Callable[[str], list[Span]]) -> list[tuple[int, int, int, list[str]]]:
         """(start, end, kind, patterns), none of which overlaps a taken span or an earlier one of its kind. taken is asked only if there is something."""
         found: dict[tuple[int, int, int], list[str]] = {}
-        for end in self._ends(text):
-            recent = [re.sub(r"[0-9]", "0", t.lower()) for t in _TOKEN.findall(text[max(0, end - 60) : end])][-self.most :]
-            hits = [x for n in range(1, len(recent) + 1) for x in self.known.get(" ".join(recent[-n:]), ())]
-            filler = _FILLER.match(text, end) if hits else None
-            if not filler:
-                continue
-            word = filler[1].strip(_OUTER)
-            if not SLOT_LENGTH[0] <= len(word) <= SLOT_LENGTH[1] or not ("@" in word or any(c.isdigit() for c in word)):
+        for at, start, end in fillers(text):
+            recent = [t.lower().translate(_ZEROS) for t in _TOKEN.findall(text[max(0, at - 60) : at])[-self.most :]]
+            if recent[-1] not in self.last:
                 continue
-            start = filler.start(1) + filler[1].index(word)
-            for kind, p in hits:
-                found.setdefault((start, start + len(word), kind), []).append(p)
+            for n in range(1, len(recent) + 1):
+                for kind, p in self.known.get(" ".join(recent[-n:]), ()):
+                    found.setdefault((start, end, kind), []).append(p)
         out, busy, k, last = [], sorted((a, b) for a, b, _ in taken(text)) if found else [], 0, {}
         for (a, b, kind), ps in sorted(found.items()):
             while k < len(busy) and busy[k][1] <= a:

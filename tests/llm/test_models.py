@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -118,6 +119,52 @@ def test_personal_data_shapes(spark):
         assert f"{'email' if i < 2 else 'phone'}:{at}:{at + len(s)}" in got[200 + i].split(",")
 
 
+def brute_slots(text, known):
+    """{(start, end, kind): patterns} of every token end that a known (words, kind) ends at."""
+    found = {}
+    for m in re.finditer(r"\w+|[^\w\s]", text):
+        recent = [re.sub("[0-9]", "0", t.lower()) for t in re.findall(r"\w+|[^\w\s]", text[max(0, m.end() - 60) : m.end()])]
+        run = re.match(r"\s*(\S+)", text[m.end() :])
+        word = run[1].strip(".,;:!?()[]{}<>\"'") if run else ""
+        if 5 <= len(word) <= 64 and any(c == "@" or c.isdigit() for c in word):
+            start = m.end() + run.start(1) + run[1].index(word)
+            for words, kind in known:
+                if recent[-len(words.split(" ")) :] == words.split(" "):
+                    found.setdefault((start, start + len(word), kind), set()).add(f"{pii.KINDS[kind]}|{words}|")
+    return found
+
+
+def test_slots_are_brute_force():
+    r = random.Random(11)
+    pieces = ["an", "mail", "Nr", "NO", "(", " ", "  ", "\n", ":", ".", '"', "-", "@", "jo17", "12", "3456", "²", "①", "٣٤", "😀", "𝟗𝟖", "Σ", "é", "ab12cd", "#17#", "x" * 30, "9" * 70]
+    parts = ["an", "mail", "nr", "no", "(", ":", ".", "@", "0", "0000", "jo00", "é", "-", "#", "😀"]
+    some = 0
+    for _ in range(4000):
+        known = {(" ".join(r.choice(parts) for _ in range(r.choice([2, 2, 3]))), r.randrange(4)) for _ in range(r.choice([5, 200]))}
+        text = "".join(r.choice(pieces) + r.choice(["", "", " "]) for _ in range(r.randrange(30)))
+        want, last = [], {}
+        for (a, b, k), ps in sorted(brute_slots(text, known).items()):
+            if a >= last.get(k, 0):
+                want.append((a, b, k, sorted(ps)))
+                last[k] = b
+        assert pii.Slots([f"{pii.KINDS[k]}|{w}|" for w, k in known])(text, lambda t: []) == want, (text, known)
+        some += bool(want)
+    assert some > 100
+
+
+def test_slots_cost_does_not_grow_with_patterns():
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghäß") for _ in range(5)) for _ in range(5000)]
+    text = " ".join(r.choice(words) for _ in range(200_000)) + " k77k77"
+    slots = pii.Slots([f"email|{a} {b}|" for a, b in zip(words, words[1:], strict=False)])
+    began = time.process_time()
+    assert slots(text, lambda t: []) == []
+    took = time.process_time() - began
+    # far less than to cut the text in tokens
+    assert len(re.findall(r"\w+|[^\w\s]", text)) == 200_001
+    assert took < time.process_time() - began - took
+
+
 def test_patterns_discover_other_shapes(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))

@@ -7,7 +7,7 @@
    accuracies are each voter's firing rates given the label, correlations a tree of pairwise dependencies given the label (the maximum
    spanning tree of conditional mutual information). Labelled rows take part with their label, up to its accuracy, others with their
    expectation.
-3. The posterior labels of a bounded sample of labelled rows train a logistic regression on words and word
+3. The posterior labels of a bounded sample of texts, labelled or not, train a logistic regression on words and word
    beginnings, which scores every document. Its targets are the posteriors alone, not the rows' own labels.
 
 Labels come only from rows whose crc32(doc_id) mod 5 is not 0; lang, source and ids are never inputs.
@@ -48,7 +48,7 @@ PATTERNS = (
 WORD_VOTERS = 4
 PREFIX_VOTERS = 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
-#: Bound of the one sample that leaves the cluster: labelled rows for the classifier.
+#: Bound of the one sample that leaves the cluster: different texts, with or without a label, for the classifier.
 TRAIN_ROWS = 12_000
 #: How often a label is taken to be right.
 LABEL_ACCURACY = 0.98
@@ -139,10 +139,17 @@ class LabelModel:
         seen = known.sum(axis=1)
         # expectations start from the labelled rows of each vector, smoothed by whether voters fire
         q = (known[:, 1] + (x.sum(axis=1) > 0) * 0.5) / (seen + 1.0)
+        doubt = (1 - LABEL_ACCURACY) / LABEL_ACCURACY
+        p, left0, left1 = q, 1.0, 1.0
         for _ in range(rounds):
-            toxic = known[:, 1] * LABEL_ACCURACY + known[:, 0] * (1 - LABEL_ACCURACY) + (counts - seen) * q
+            # what each label leaves of a row's expectation, and what being without one does
+            labelled = known[:, 1] * p / (p + (1 - p) * doubt) + known[:, 0] * p * doubt / (p * doubt + (1 - p))
+            toxic = labelled + (counts - seen) * p * left1 / (p * left1 + (1 - p) * left0)
             self._maximise(x, np.stack([counts - toxic, toxic], axis=1))
-            q = self.posterior(votes)
+            # rows of one label may have been given it more often than those of the other
+            left1 = ((toxic - labelled).sum() + 0.5) / (toxic.sum() + 1)
+            left0 = ((counts - seen - toxic + labelled).sum() + 0.5) / ((counts - toxic).sum() + 1)
+            p = self.posterior(votes)
         return self
 
     def _maximise(self, x: np.ndarray, w: np.ndarray) -> None:
@@ -211,10 +218,10 @@ def train_linear(rows: list[np.ndarray], y: np.ndarray, width: int, rounds: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> dict:
-    """The model: mined entries, label model, weights and bias. Without labelled rows nothing trains the classifier and every text gets one low score.
+    """The model: mined entries, label model, weights and bias. Without labelled rows only the fixed voters teach.
     Labels of held-out rows are never read further than their filter.
 
-    train_rows bounds the labelled rows that leave the cluster; they are taken by a hash of id and text.
+    train_rows bounds the texts that leave the cluster; they are taken by a hash of the text from all rows that are not held out.
     """
     ship(docs)
     batch_rows(docs)
@@ -231,26 +238,43 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     def cast_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes = [voters.vote(t, tokens(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.int64())], ["toxic", "text", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.int64())], ["toxic", "votes"])
 
     # voters fire together in few ways, so there are far fewer vectors than the 2 ** voters.count there could be
     counted = docs.select("text").mapInArrow(cast, "votes long").groupBy("votes").agg(F.count("*").alias("n"))
-    voted = materialize(labelled.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(cast_labelled, "toxic long, text string, votes long"), "voted")
+    voted = labelled.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(cast_labelled, "toxic long, votes long")
     known = voted.groupBy("votes").agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1"))
     table = counted.join(known, "votes", "left").na.fill(0).toPandas().sort_values("votes")
     vectors, counts = table["votes"].to_numpy(np.int64), table["n"].to_numpy(float)
     model = LabelModel(voters.count).fit(vectors, counts, table[["n0", "n1"]].to_numpy(float))
     posterior = {int(v): round(float(p), 9) for v, p in zip(vectors, model.posterior(vectors), strict=True)}
-    weights, bias = _train(voted, posterior, train_rows)
+    weights, bias = _train(_training_texts(docs, int(counts.sum()), train_rows), voters, posterior)
     return {"entries": entries, "label_model": model, "posterior": posterior, "weights": weights, "bias": bias}
 
 
-def _train(voted: DataFrame, posterior: dict[int, float], train_rows: int) -> tuple[dict[str, float], float]:
-    """Weights of units, and bias, from the posteriors of a sample of voted(text, votes)."""
-    spark = voted.sparkSession
-    target = spark.createDataFrame(list(posterior.items()), "votes long, w double") if posterior else spark.createDataFrame([], "votes long, w double")
-    order = F.xxhash64(F.lit("c"), "text")
-    sample = voted.withColumn("by", order).orderBy("by", "votes").limit(train_rows).join(small(target), "votes").select("by", "w", "text")
+def _training_texts(docs: DataFrame, rows: int, train_rows: int) -> DataFrame:
+    """(by, text): the different texts of least hash, train_rows of them, of the rows of docs(doc_id, text) that are not held out; rows is the count of docs.
+
+    A share of the hashes is cut out first, so that only that is sorted: twice what is needed, and more where copies leave too few.
+    """
+    texts = docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select(F.shiftrightunsigned(F.xxhash64(F.lit("c"), "text"), 1).alias("by"), "text")
+    share = 2 * train_rows / max(rows, 1)
+    while True:
+        some = materialize(texts.filter(F.shiftright("by", 32) <= int(min(share, 1.0) * 2**31)).distinct(), "texts")
+        if share >= 1 or some.count() >= train_rows:
+            return some.orderBy("by", "text").limit(train_rows)
+        share *= 4
+
+
+def _train(texts: DataFrame, voters: Voters, posterior: dict[int, float]) -> tuple[dict[str, float], float]:
+    """Weights of units, and bias, from the posteriors of texts(by, text)."""
+
+    def targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = [posterior[voters.vote(t, tokens(t))] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.float64()), batch.column(1)], ["by", "w", "text"])
+
+    sample = texts.mapInArrow(targets, "by long, w double, text string")
     sample = materialize(sample, "sample")
     names = _select_features(sample)
     index = {u: i for i, u in enumerate(names)}

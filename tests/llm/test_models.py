@@ -262,6 +262,22 @@ def test_label_model_finds_accuracies():
     assert np.abs(model.rate - p).max() < 0.12 and (model.parent[1] == 0 or model.parent[0] == 1)
 
 
+def test_label_model_with_labels_of_one_kind():
+    # clean rows, which never fire, have labels for the most part; the rows that fire have none
+    votes, counts, known = np.array([0, 1, 2, 3]), np.array([800.0, 50, 10, 40]), np.array([[480.0, 0], [0, 0], [0, 0], [0, 0]])
+    p = toxicity.LabelModel(2).fit(votes, counts, known).posterior(votes)
+    assert p[0] < 0.1 and p[1:].min() > 0.9
+
+
+def test_training_texts_need_no_label(spark):
+    rows = [(i, f"text {i % 300}") for i in range(600)] + [(None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text for r in toxicity._training_texts(d, len(rows), 1000).collect()]
+    free = {r.text for r in d.filter(F.coalesce(~toxicity.held_out(F.col("doc_id")), F.lit(True))).collect()}
+    assert len(got) == len(set(got)) and set(got) == free
+    assert [r.text for r in toxicity._training_texts(d, len(rows), 50).collect()] == got[:50]
+
+
 def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "source_mixing", "sentencepiece"]
     docs, labels = toxic_rows(450)

@@ -247,6 +247,54 @@ def test_unit_counts_merge_only_copies(spark):
     assert all(got[t.split()[-1]] == (1, w) for t, w in rows[:200])
 
 
+def test_tokens_are_the_matches():
+    brute = lambda t: set(re.findall(r"[^\W\d_]+", t.lower()))
+    for c in map(chr, range(0x110000)):
+        if not 0xD800 <= ord(c) < 0xE000:
+            assert toxicity.tokens(f"aB{c}c") == brute(f"aB{c}c"), c
+    r = random.Random(14)
+    pieces = ["Idiot", "é", "ß", "İ", "Σ", "大", "字", "।", "ñ", "\u0301", "²", "½", "٣", "7", "_", "-", " ", "\n", "\xa0", "\u2003", "“", "”", "…", "😀", "\x85", "\x1c", "𝐀"]
+    for _ in range(3000):
+        t = "".join(r.choice(pieces[: r.choice([10, 27])]) for _ in range(r.randrange(40)))
+        assert toxicity.tokens(t) == brute(t), t
+    many = "a".join(chr(0x2190 + i) for i in range(300))
+    assert toxicity.tokens(many) == {"a"} and toxicity.tokens(None) == toxicity.tokens("") == set()
+
+
+def test_lookup_is_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 50)
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randrange(1, 11)))
+    cut = [(word(), r.choice((0, *toxicity.PREFIXES))) for _ in range(300)]
+    table = {w[:n] + "*" if 0 < n < len(w) else w: i % 9 for i, (w, n) in enumerate(cut)}
+    look = toxicity.Lookup(table)
+    for _ in range(500):
+        found = {word() for _ in range(r.randrange(20))}
+        assert look(found) == {table[u] for w in found for u in (w, *(w[:n] + "*" for n in toxicity.PREFIXES if len(w) > n)) if u in table}
+
+
+def test_words_are_neither_matched_nor_looked_up_one_by_one(monkeypatch):
+    tried = []
+
+    class Table(dict):
+        def __contains__(self, u):
+            tried.append(u)
+            return super().__contains__(u)
+
+    class Pattern:
+        def findall(self, text):
+            raise AssertionError("cut by the pattern")
+
+    monkeypatch.setattr(toxicity, "_TOKEN", Pattern())
+    r = random.Random(16)
+    words = ["".join(r.choice("abcdefghäß") for _ in range(r.randrange(3, 10))) for _ in range(20_000)]
+    look = toxicity.Lookup(Table({"idiot": 0, "abcd*": 1}))
+    found = [look(toxicity.tokens(" ".join(words[i : i + 200]) + (" idiot." if i == 400 else ""))) for i in range(0, len(words), 200)]
+    assert [0 in f for f in found] == [i == 2 for i in range(100)] and any(1 in f for f in found)
+    # only beginnings of words that start as the one in the table does
+    assert len(tried) < len(words) // 20 and all(u.startswith("abc") for u in tried)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(6)
     y = rng.random(20_000) < 0.2

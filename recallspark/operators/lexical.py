@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import like_literal, tokenize
 from ..shipping import ship
 from ..storage import scratch, small
+from . import asked
 
 K1, B = 1.5, 0.75
 
@@ -41,6 +42,10 @@ def _rows(docs: DataFrame | Index) -> DataFrame:
     return docs.rows if isinstance(docs, Index) else _tokens(docs)
 
 
+def _plain(docs: DataFrame | Index) -> DataFrame:
+    return docs.rows if isinstance(docs, Index) else docs.select("scope", "id", "text")
+
+
 def corpus_stats(docs: DataFrame | Index) -> DataFrame:
     """(scope, n_docs, avgdl) of docs(scope, id, text): n counts all, the average only texts with tokens."""
     n = F.size("tokens")
@@ -76,16 +81,16 @@ def _by_document(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:
 
 
 def bm25_scores(docs: DataFrame | Index, queries: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
-    """(scope, qid, id, score) for documents that share a term with a query of their scope.
+    """(scope, qid, id, score) for documents that share a term with a query of their scope: every score, by joins.
 
     Only postings of terms some query asks for are kept and scored; statistics are of the whole corpus given. The asked terms, with
     their weights, meet the postings by broadcast where they are few, so a frequent term is no hot key.
     """
-    index, asked = prepare(docs), query_postings(queries)
-    terms = small(asked.select("scope", "term").distinct())
+    index, wanted = prepare(docs), query_postings(queries).distinct()
+    terms = small(wanted.select("scope", "term").distinct())
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = _asked_frequency(index, terms).join(F.broadcast(corpus_stats(index)), "scope").select("scope", "term", idf.alias("idf"), "avgdl")
-    weights = small(asked.join(weights, ["scope", "term"]))
+    weights = small(wanted.join(weights, ["scope", "term"]))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     return _by_document(index, terms).join(weights, ["scope", "term"]).groupBy("scope", "id", "qid").agg(F.round(F.sum(F.col("idf") * gain), 6).alias("score")).select("scope", "qid", "id", "score")
 
@@ -97,8 +102,14 @@ def top(scored: DataFrame, k: int, *order: object, by: tuple[str, ...] = ("scope
 
 
 def bm25_topk(docs: DataFrame | Index, queries: DataFrame, k: int, **options: float) -> DataFrame:
-    """(scope, qid, rank, id, score), ties to the smaller id."""
-    return top(bm25_scores(docs, queries, **options), k, F.col("score").desc(), "id").select("scope", "qid", "rank", "id", "score")
+    """(scope, qid, rank, id, score), ties to the smaller id.
+
+    Where not too much is asked, documents are scored where they are read and each task keeps its k best; else all scores are formed by joins.
+    """
+    scored = asked.bm25(_plain(docs), query_postings(queries), k, options.get("k1", K1), options.get("b", B))
+    if scored is None:
+        scored = bm25_scores(docs, queries, **options)
+    return top(scored, k, F.col("score").desc(), "id").select("scope", "qid", "rank", "id", "score")
 
 
 _ITEM = re.compile(r'(-?)"([^"]*)"|(\S+)')
@@ -149,6 +160,9 @@ def item_match(docs: DataFrame | Index, items: DataFrame) -> DataFrame:
     Rows of terms are found by the place their first term would have. An alternative of nothing but exclusions holds for every other
     document of the scope, with total 0. Cover density has no counterpart here; the order by total, then recency, stands in for it.
     """
+    found = asked.matches(_plain(docs), items)
+    if found is not None:
+        return found
     index = prepare(docs)
     key = ["scope", "qid", "alt"]
     single = items.filter(F.size("terms") == 1).select(*key, "item", "excluded", F.col("terms")[0].alias("term"))
@@ -189,9 +203,18 @@ def literal_match(docs: DataFrame | Index, queries: DataFrame) -> DataFrame:
     token: a part of one). These are looked up among the distinct terms, then in the postings, and only documents that have them all are
     read in full. Literals without any token are compared with every document of their scope.
     """
-    index = prepare(docs)
+    plain = docs.docs if isinstance(docs, Index) else docs
     t = queries.select("scope", "qid", F.col("text").alias("needle"), tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
     n = F.size("tokens")
+    found = asked.literal_candidates(plain, t.filter(n > 0).select("scope", "qid", "tokens"))
+    if found is not None:
+        needles = small(t.select("scope", "qid", "needle", n.alias("n")))
+        both = found.select("scope", "id", "text", F.explode("qids").alias("qid")).join(needles.filter("n > 0"), ["scope", "qid"])
+        bare = needles.filter("n = 0")
+        if bare.limit(1).count():
+            both = both.select("scope", "qid", "id", "needle", "text").unionByName(plain.join(bare, "scope").select("scope", "qid", "id", "needle", "text"))
+        return both.filter(like_literal(F.col("text"), F.col("needle"))).select("scope", "qid", "id")
+    index = prepare(docs)
 
     def slot(kind: str, term: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), term.alias("term"))
@@ -219,10 +242,9 @@ def literal_match(docs: DataFrame | Index, queries: DataFrame) -> DataFrame:
 
 def fts_topk(docs: DataFrame | Index, queries: DataFrame, k: int, *, web: bool = True) -> DataFrame:
     """(scope, qid, rank, id): full-text matches by total, then recency (larger id); queries without one fall back to literal matches by recency."""
-    index = prepare(docs)
     path = scratch(queries.sparkSession, "matches")
-    (web_match if web else and_match)(index, queries).write.parquet(path)
+    (web_match if web else and_match)(docs, queries).write.parquet(path)
     exact = queries.sparkSession.read.parquet(path)
     missed = queries.join(exact.select("scope", "qid").distinct(), ["scope", "qid"], "left_anti")
-    both = exact.unionByName(literal_match(index, missed).withColumn("total", F.lit(0).cast("long")))
+    both = exact.unionByName(literal_match(docs, missed).withColumn("total", F.lit(0).cast("long")))
     return top(both, k, F.col("total").desc(), F.col("id").desc()).select("scope", "qid", "rank", "id")

@@ -3,6 +3,7 @@
 import json
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from recallspark import config, migrations, progress, providers, smoke
 from recallspark.errors import ConflictError, EmbeddingError, ExtractionError, IndexError_, ProvenanceError, ProviderError, RecallError, ResumeError, ScopeError, StaleIndexError, SummaryError
 from recallspark.functions import identity, text
 from recallspark.memory import MemoryLayer
+from recallspark.operators import asked as asked_terms
 from recallspark.operators import context, evaluation, fusion, indexes, lexical, lifecycle, scopes, structured, vector
 from recallspark.plans import search
 from recallspark.sources import tables
@@ -352,3 +354,47 @@ def test_pushdown(spark, sf_dir):
 def test_limits(spark):
     with pytest.raises(ValueError):
         search.branches(None, None, None, None, limit=0, filters=structured.Filters())  # type: ignore[arg-type]
+
+
+def test_split(spark):
+    marks = [chr(c) for c in range(1, 0x2FFF) if not 0xD800 <= c < 0xE000] + ["ẞ", "ﬁ", "\U00010400"]
+    texts = ["", None, "ab", "cd", *[f"A{c}b {c}" for c in marks], "x", "", "Z9"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    want = [r.t for r in rows.select("i", text.tokenize(F.coalesce("text", F.lit(""))).alias("t")).orderBy("i").collect()]
+    assert asked_terms.split(pa.array(texts)).to_pylist() == want
+    assert asked_terms.split(pa.array(texts)[2:5]).to_pylist() == want[2:5] and asked_terms.split(pa.array([], pa.string())).to_pylist() == []
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Documents and queries of shared words, in two scopes, and what the joins find of them."""
+    words = [f"w{i}" for i in range(12)]
+    docs = [("ab"[i % 2], i, " ".join(words[(i * j + j) % 12] for j in range(i % 9))) for i in range(1, 90)] + [("c", 200, "w1 w2"), (None, 201, "w1"), ("a", 202, None)]
+    asks = [("ab"[i % 2], i, " ".join(words[(i + 5 * j) % 12] for j in range(i % 4 + 1)) + (" W0" if i % 3 else "")) for i in range(24)] + [("a", 50, ""), ("z", 51, "w1"), ("a", 52, "w")]
+    return spark.createDataFrame(docs, "scope string, id long, text string").repartition(3), spark.createDataFrame(asks, "scope string, qid long, text string")
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 40])
+def test_terms_go_to_the_documents(spark, crowd, monkeypatch, cells):
+    docs, asks = crowd
+    web = spark.createDataFrame([("a", 1, "w1 -w2"), ("a", 2, '"w1 w2" or w3'), ("b", 3, "-w5"), ("b", 4, 'w1 -"w2 w3"'), ("a", 5, "w1-w2"), ("b", 6, "w4 w4 or w4")], "scope string, qid long, text string")
+    index = lexical.prepare(docs)
+    parts = {
+        "bm25": lambda d: lexical.bm25_topk(d, asks, 4), "and": lambda d: lexical.and_match(d, asks), "web": lambda d: lexical.web_match(d, web),
+        "literal": lambda d: lexical.literal_match(d, asks), "fts": lambda d: lexical.fts_topk(d, asks, 3, web=False),
+    }
+    monkeypatch.setattr(asked_terms, "MOST_ASKED", -1)
+    want = {n: sorted(map(tuple, f(index).collect())) for n, f in parts.items()}
+    assert all(want.values())
+    monkeypatch.setattr(asked_terms, "MOST_ASKED", 300_000)
+    monkeypatch.setattr(asked_terms, "CELLS", cells)
+    for d in (docs, index):
+        for name, f in parts.items():
+            assert sorted(map(tuple, f(d).collect())) == want[name], name
+
+
+def test_nothing_of_postings_is_shuffled(spark, crowd):
+    docs, asks = crowd
+    for found in (lexical.and_match(docs, asks), lexical.literal_match(docs, asks.filter("text <> ''"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange hashpartitioning" not in plan and "Aggregate" not in plan

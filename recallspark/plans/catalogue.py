@@ -11,7 +11,7 @@ from .. import providers
 from ..functions import identity, text
 from ..operators import context, evaluation, fusion, indexes, lexical, lifecycle, scopes, structured, summaries, vector
 from ..sources import tables
-from ..storage import scratch, written
+from ..storage import scratch, small, written
 from ..streaming import ingest
 from . import search
 
@@ -464,7 +464,7 @@ def session_turn_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item's text are its evidence; null for items that none holds."""
     held = lexical.literal_match(_docs(spark, sf_dir), tables.search_queries(spark, sf_dir)).select("qid", F.col("id").alias("evidence"))
-    return tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")).join(held, "qid", "left").select("qid", "evidence")
+    return written(tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")).join(held, "qid", "left").select("qid", "evidence"), "gold")
 
 
 def _run(spark: SparkSession, sf_dir: str, backend: str) -> DataFrame:
@@ -472,17 +472,22 @@ def _run(spark: SparkSession, sf_dir: str, backend: str) -> DataFrame:
     docs = tables.memories(spark, sf_dir).filter("is_active").withColumn("scope", F.lit("all")).select("scope", "id", "text")
     asks = tables.table(spark, sf_dir, "benchmark").select(F.lit("all").alias("scope"), F.col("item_id").alias("qid"), "text")
     found = lexical.bm25_topk(docs, asks, 10) if backend == "bm25" else lexical.fts_topk(docs, asks, 10, web=False)
-    return found.select("qid", "rank", F.col("id").alias("evidence"))
+    return small(found.select("qid", "rank", F.col("id").alias("evidence")))
 
 
-def _metrics(spark: SparkSession, sf_dir: str, backend: str = "bm25") -> DataFrame:
-    return evaluation.question_metrics(_run(spark, sf_dir, backend), _gold(spark, sf_dir))
+def _metrics(spark: SparkSession, sf_dir: str, backend: str = "bm25", gold: DataFrame | None = None) -> DataFrame:
+    return evaluation.question_metrics(_run(spark, sf_dir, backend), _gold(spark, sf_dir) if gold is None else gold)
 
 
-def _stages(spark: SparkSession, sf_dir: str, backend: str) -> DataFrame:
+def _staged(spark: SparkSession, sf_dir: str, metrics: DataFrame, gold: DataFrame) -> DataFrame:
     covered = tables.memories(spark, sf_dir).filter("is_active").select(F.col("id").alias("evidence"))
-    gold = _gold(spark, sf_dir)
-    return evaluation.stage(evaluation.question_metrics(_run(spark, sf_dir, backend), gold), covered, gold)
+    return written(evaluation.stage(metrics, covered, gold), "stages")
+
+
+def _stages(spark: SparkSession, sf_dir: str, backend: str, gold: DataFrame | None = None) -> DataFrame:
+    """Gold and hits are written once; so are the stages, which several parts of a report read."""
+    gold = _gold(spark, sf_dir) if gold is None else gold
+    return _staged(spark, sf_dir, _metrics(spark, sf_dir, backend, gold), gold)
 
 
 _ONE = "one AS (SELECT 'all' AS scope, id, text FROM mem WHERE is_active), ask1 AS (SELECT 'all' AS scope, item_id AS qid, text FROM benchmark)"
@@ -527,14 +532,14 @@ def stage_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_STAGES} SELECT stage_before, stage_after, count(*) AS n FROM pairs GROUP BY ALL")
 def transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.transitions(evaluation.compare(_stages(spark, sf_dir, "fts"), _stages(spark, sf_dir, "bm25")))
+    return evaluation.transitions(_pairs(spark, sf_dir))
 
 
 @query(f"""WITH {_STAGES}, p AS (SELECT *, coalesce(rank_after IS NOT NULL AND (rank_before IS NULL OR rank_after < rank_before), false) AS better, coalesce(rank_before IS NOT NULL AND (rank_after IS NULL OR rank_after > rank_before), false) AS worse,
   stage_before IN ('RETRIEVAL_MISS', 'RANKING_MISS') AND stage_after = 'SUCCESS' AS fixed, stage_before = 'SUCCESS' AND stage_after <> 'SUCCESS' AS lost FROM pairs WHERE stage_before IS NOT NULL AND stage_after IS NOT NULL)
 SELECT count(*) FILTER (fixed) AS failures_fixed, count(*) FILTER (lost) AS successes_lost, count(*) FILTER (fixed) - count(*) FILTER (lost) AS net_success_gain, count(*) FILTER (better) AS rank_improved, count(*) FILTER (worse) AS rank_worsened, count(*) FILTER (NOT better AND NOT worse) AS rank_unchanged FROM p""")
 def net_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.net_impact(evaluation.compare(_stages(spark, sf_dir, "fts"), _stages(spark, sf_dir, "bm25")))
+    return evaluation.net_impact(_pairs(spark, sf_dir))
 
 
 def _first_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -561,14 +566,18 @@ def _vector_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = tables.memories(spark, sf_dir).filter("is_active").select("id")
     one = v.join(live, "id", "left_semi").withColumn("scope", F.lit("all"))
     asks = q.select(F.lit("all").alias("scope"), "qid", "v").dropDuplicates(["qid"])
-    return vector.topk(one, asks, 10).select("qid", "rank", "id")
+    return small(vector.topk(one, asks, 10).select("qid", "rank", "id"))
+
+
+def _cases(hits: DataFrame, near: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, bm25_rank, vector_rank) from the hits of _run() and _vector_run()."""
+    bm = evaluation.question_metrics(hits, gold).select("qid", F.col("first_rank").alias("bm25_rank"))
+    near = near.withColumnRenamed("id", "evidence")
+    return written(bm.join(evaluation.question_metrics(near, gold).select("qid", F.col("first_rank").alias("vector_rank")), "qid"), "cases")
 
 
 def _single_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = _gold(spark, sf_dir)
-    bm = evaluation.question_metrics(_run(spark, sf_dir, "bm25"), gold).select("qid", F.col("first_rank").alias("bm25_rank"))
-    near = _vector_run(spark, sf_dir).withColumnRenamed("id", "evidence")
-    return bm.join(evaluation.question_metrics(near, gold).select("qid", F.col("first_rank").alias("vector_rank")), "qid")
+    return _cases(_run(spark, sf_dir, "bm25"), _vector_run(spark, sf_dir), _gold(spark, sf_dir))
 
 
 @query(f"""WITH {_CASES}
@@ -673,7 +682,7 @@ def extract_candidates_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_grounded_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline reader over each query's hits of the hybrid search."""
     m = tables.memories(spark, sf_dir).select("id", "text", "is_active")
-    hits = hybrid_search(spark, sf_dir).join(m, "id")
+    hits = small(hybrid_search(spark, sf_dir)).join(m, "id")
     by = hits.groupBy("scope", "qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text", F.when(F.col("is_active"), "current").otherwise("historical").alias("status")))).alias("m"))
     refs = F.transform("m", lambda x, i: F.struct(F.concat(F.lit("M"), (i + 1).cast("string")).alias("ref"), x["text"].alias("text"), x["status"].alias("status")))
     asked = tables.search_queries(spark, sf_dir).select("scope", "qid", F.col("text").alias("query"))
@@ -709,7 +718,7 @@ fi AS ({_FINAL.format(by="f.scope, f.qid", fused="fu")}) SELECT fi.scope, qid, f
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(_branches(spark, sf_dir), "branches")
     m = tables.memories(spark, sf_dir)
-    ranked = fusion.rank_memories(fusion.fuse(found), m, 10)
+    ranked = small(fusion.rank_memories(fusion.fuse(found), m, 10).select("scope", "qid", "rank", "id", "score"))
     return search.hits(found, ranked, m).withColumn("text_md5", F.md5("text")).drop("text")
 
 
@@ -915,12 +924,14 @@ def invalid_source_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # comparisons ------------------------------------------------------------------------------------------------------
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.compare(_stages(spark, sf_dir, "fts"), _stages(spark, sf_dir, "bm25"))
+    gold = _gold(spark, sf_dir)
+    return evaluation.compare(_stages(spark, sf_dir, "fts", gold), _stages(spark, sf_dir, "bm25", gold))
 
 
 def _variant_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = [_stages(spark, sf_dir, b).select(F.lit(b).alias("variant"), "qid", "first_rank", "stage") for b in ("fts", "bm25")]
-    return written(both[0].unionByName(both[1]), "variants")
+    gold = _gold(spark, sf_dir)
+    both = [_stages(spark, sf_dir, b, gold).select(F.lit(b).alias("variant"), "qid", "first_rank", "stage") for b in ("fts", "bm25")]
+    return both[0].unionByName(both[1])
 
 
 _VS = f"{_STAGES}, vs AS (SELECT 'fts' AS variant, * FROM sf UNION ALL SELECT 'bm25', * FROM sb)"
@@ -961,16 +972,19 @@ x AS (SELECT su.variant, recall_5, hit_5, mrr, CASE WHEN su.variant = 'bm25' THE
 SELECT variant, recall_5, hit_5, mrr, net_gain, ranking_misses, row_number() OVER (ORDER BY recall_5 DESC, hit_5 DESC, mrr DESC, net_gain > 0 DESC, ranking_misses, variant) AS place FROM x""")
 def variant_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = _gold(spark, sf_dir)
-    means = [evaluation.summarize(evaluation.question_metrics(_run(spark, sf_dir, b), gold)).select(F.lit(b).alias("variant"), "recall_5", "hit_5", "mrr") for b in ("fts", "bm25")]
-    gain = evaluation.net_impact(_pairs(spark, sf_dir)).select(F.lit("bm25").alias("variant"), F.col("net_success_gain").alias("net_gain"))
-    misses = _variant_stages(spark, sf_dir).groupBy("variant").agg(F.count_if(F.coalesce(F.col("stage") == "RANKING_MISS", F.lit(False))).alias("ranking_misses"))
+    metrics = {b: written(_metrics(spark, sf_dir, b, gold), "metrics") for b in ("fts", "bm25")}
+    means = [evaluation.summarize(m).select(F.lit(b).alias("variant"), "recall_5", "hit_5", "mrr") for b, m in metrics.items()]
+    fts, bm25 = (_staged(spark, sf_dir, m, gold) for m in metrics.values())
+    gain = evaluation.net_impact(evaluation.compare(fts, bm25)).select(F.lit("bm25").alias("variant"), F.col("net_success_gain").alias("net_gain"))
+    misses = fts.withColumn("variant", F.lit("fts")).unionByName(bm25.withColumn("variant", F.lit("bm25"))).groupBy("variant").agg(F.count_if(F.coalesce(F.col("stage") == "RANKING_MISS", F.lit(False))).alias("ranking_misses"))
     rows = means[0].unionByName(means[1]).join(gain, "variant", "left").join(misses, "variant").withColumn("net_gain", F.coalesce("net_gain", F.lit(0)))
     return evaluation.variant_order(rows.select("variant", "recall_5", "hit_5", "mrr", "net_gain", "ranking_misses"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _candidates(spark: SparkSession, sf_dir: str, hits: DataFrame, near: DataFrame) -> DataFrame:
+    """The branches of the hits of _run() by BM25 and by full text, and of _vector_run()."""
     branch = lambda rows, name: rows.select("qid", F.lit(name).alias("branch"), "rank", F.col("evidence").alias("id"))
-    return branch(_run(spark, sf_dir, "bm25"), "bm25").unionByName(branch(_run(spark, sf_dir, "fts"), "fts")).unionByName(_vector_run(spark, sf_dir).select("qid", F.lit("vector").alias("branch"), "rank", "id"))
+    return branch(hits, "bm25").unionByName(branch(_run(spark, sf_dir, "fts"), "fts")).unionByName(near.select("qid", F.lit("vector").alias("branch"), "rank", "id"))
 
 
 _CB = f"{_CASES}, cb AS (SELECT qid, 'bm25' AS branch, rank, id FROM bm UNION ALL SELECT qid, 'fts', rank, id FROM ft UNION ALL SELECT qid, 'vector', rank, id FROM near1)"
@@ -978,14 +992,15 @@ _CB = f"{_CASES}, cb AS (SELECT qid, 'bm25' AS branch, rank, id FROM bm UNION AL
 
 @query(f"WITH {_CB} SELECT qid, branch, min(rank) AS rank FROM cb JOIN (SELECT DISTINCT qid, evidence FROM gold) g USING (qid) WHERE cb.id = g.evidence GROUP BY qid, branch")
 def branch_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.branch_ranks(_candidates(spark, sf_dir), _gold(spark, sf_dir).withColumnRenamed("evidence", "id"))
+    return evaluation.branch_ranks(_candidates(spark, sf_dir, _run(spark, sf_dir, "bm25"), _vector_run(spark, sf_dir)), _gold(spark, sf_dir).withColumnRenamed("evidence", "id"))
 
 
 @query(f"""WITH {_CB}, f AS (SELECT qid, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY qid) AS i FROM cases WHERE kind IS NOT NULL) WHERE i <= 5)
 SELECT qid, kind, branch, rank, cb.id, EXISTS (SELECT 1 FROM gold g WHERE g.qid = cb.qid AND g.evidence = cb.id) AS is_gold FROM cb JOIN f USING (qid)""")
 def worked_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = evaluation.single_branch_gold(_single_cases(spark, sf_dir)).select("qid", "kind")
-    return evaluation.worked_examples(_candidates(spark, sf_dir), _gold(spark, sf_dir).filter("evidence is not null").withColumnRenamed("evidence", "id"), cases)
+    hits, near, gold = _run(spark, sf_dir, "bm25"), _vector_run(spark, sf_dir), _gold(spark, sf_dir)
+    cases = evaluation.single_branch_gold(_cases(hits, near, gold)).select("qid", "kind")
+    return evaluation.worked_examples(_candidates(spark, sf_dir, hits, near), gold.filter("evidence is not null").withColumnRenamed("evidence", "id"), cases)
 
 
 def _summary_by(metrics: str, name: str, n: int) -> str:
@@ -996,7 +1011,8 @@ def _summary_by(metrics: str, name: str, n: int) -> str:
 SELECT a.category, round(b.hit_5 - a.hit_5, 6) AS hit_5_delta, round(b.recall_5 - a.recall_5, 6) AS recall_5_delta, round(b.mrr - a.mrr, 6) AS mrr_delta FROM sa a JOIN sb2 b ON a.category IS NOT DISTINCT FROM b.category""")
 def compare_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two reports, one of which has a category more."""
-    by = lambda b, n: evaluation.summarize(_metrics(spark, sf_dir, b).withColumn("category", F.concat(F.lit("c"), F.col("qid") % n)), "category")
+    gold = _gold(spark, sf_dir)
+    by = lambda b, n: evaluation.summarize(_metrics(spark, sf_dir, b, gold).withColumn("category", F.concat(F.lit("c"), F.col("qid") % n)), "category")
     return evaluation.compare_summaries(by("fts", 4), by("bm25", 3))
 
 
@@ -1033,6 +1049,7 @@ def _case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.memories(spark, sf_dir).select(F.col("id").alias("evidence"), "text", F.col("scope").alias("owner"), (F.col("id") % 4 != 0).alias("is_active"))
     items = tables.table(spark, sf_dir, "benchmark").withColumn("t", text.tokenize(F.col("text"))).filter(F.size("t") >= 3)
     hits = _run(spark, sf_dir, "bm25").join(m, "evidence").select(F.col("qid").alias("case_id"), "rank", "text", "owner", "is_active").join(items.select(F.col("item_id").alias("case_id")), "case_id", "left_semi")
+    hits = written(hits, "hits")
     cases = items.select(F.col("item_id").alias("case_id"), F.lit("en").alias("user_id"))
     t = lambda *at: F.array(*[F.upper(F.col("t")[i]) for i in at])
     expected = items.select(F.col("item_id").alias("case_id"), F.posexplode(F.array(t(0), t(1, 2))).alias("n", "terms"))

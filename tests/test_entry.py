@@ -50,3 +50,13 @@ def test_names():
             for f in files:
                 if f.endswith(".py"):
                     assert ".llm" not in open(f"{folder}/{f}").read()
+
+
+@pytest.mark.parametrize("name", ["interesting_questions", "variant_selection", "compare_reports", "worked_examples"])
+def test_gold_and_hits_are_found_once(spark, sf_dir, monkeypatch, name):
+    calls = []
+    for step in ("_gold", "_run"):
+        real = getattr(catalogue, step)
+        monkeypatch.setattr(catalogue, step, lambda *a, step=step, real=real: calls.append((step, *a[2:])) or real(*a))
+    catalogue.QUERIES[name](spark, sf_dir)
+    assert ("_gold",) in calls and len(calls) == len(set(calls))

@@ -46,6 +46,11 @@ def _plain(docs: DataFrame | Index) -> DataFrame:
     return docs.rows if isinstance(docs, Index) else docs.select("scope", "id", "text")
 
 
+def _once(docs: DataFrame | Index) -> bool:
+    """Whether no two rows share scope and id: a task then sees all of a document. Rows that share them are added up by joins."""
+    return not _plain(docs).groupBy("scope", "id").count().filter("count > 1").limit(1).count()
+
+
 def corpus_stats(docs: DataFrame | Index) -> DataFrame:
     """(scope, n_docs, avgdl) of docs(scope, id, text): n counts all, the average only texts with tokens."""
     n = F.size("tokens")
@@ -106,7 +111,7 @@ def bm25_topk(docs: DataFrame | Index, queries: DataFrame, k: int, **options: fl
 
     Where not too much is asked, documents are scored where they are read and each task keeps its k best; else all scores are formed by joins.
     """
-    scored = asked.bm25(_plain(docs), query_postings(queries), k, options.get("k1", K1), options.get("b", B))
+    scored = asked.bm25(_plain(docs), query_postings(queries), k, options.get("k1", K1), options.get("b", B)) if _once(docs) else None
     if scored is None:
         scored = bm25_scores(docs, queries, **options)
     return top(scored, k, F.col("score").desc(), "id").select("scope", "qid", "rank", "id", "score")
@@ -160,7 +165,7 @@ def item_match(docs: DataFrame | Index, items: DataFrame) -> DataFrame:
     Rows of terms are found by the place their first term would have. An alternative of nothing but exclusions holds for every other
     document of the scope, with total 0. Cover density has no counterpart here; the order by total, then recency, stands in for it.
     """
-    found = asked.matches(_plain(docs), items)
+    found = asked.matches(_plain(docs), items) if _once(docs) else None
     if found is not None:
         return found
     index = prepare(docs)
@@ -174,6 +179,8 @@ def item_match(docs: DataFrame | Index, items: DataFrame) -> DataFrame:
         at = _rows(index).select("scope", "id", F.posexplode("tokens").alias("pos", "term")).join(slots, ["scope", "term"])
         runs = at.withColumn("begin", F.col("pos") - F.col("slot")).groupBy(*key, "item", "excluded", "id", "begin", "n").agg(F.count("*").alias("got")).filter("got = n")
         hits = hits.unionByName(runs.groupBy(*key, "item", "excluded", "id").agg(F.count("*").alias("tf")))
+    # rows of one document count once for an item
+    hits = hits.groupBy(*key, "item", "excluded", "id").agg(F.sum("tf").alias("tf"))
     need = items.groupBy(*key).agg(F.count_if(~F.col("excluded")).alias("need"))
     need = small(need)
     by = hits.groupBy("scope", "id", "qid", "alt").agg(F.count_if(~F.col("excluded")).alias("got"), F.count_if("excluded").alias("bad"), F.coalesce(F.sum(F.when(~F.col("excluded"), F.col("tf"))), F.lit(0)).alias("total"))

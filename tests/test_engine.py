@@ -398,3 +398,9 @@ def test_nothing_of_postings_is_shuffled(spark, crowd):
     for found in (lexical.and_match(docs, asks), lexical.literal_match(docs, asks.filter("text <> ''"))):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Exchange hashpartitioning" not in plan and "Aggregate" not in plan
+
+
+def test_rows_of_one_document(spark):
+    docs = spark.createDataFrame([("u", 1, "red fox"), ("u", 1, "blue fox cub"), ("u", 2, "red hen")], "scope string, id long, text string")
+    assert [(r.qid, r.id, r.total) for r in lexical.and_match(docs, asked(spark, "red blue", "fox")).orderBy("qid").collect()] == [(0, 1, 2), (1, 1, 2)]
+    assert sorted(r.id for r in lexical.bm25_topk(docs, asked(spark, "red fox"), 5).collect()) == [1, 2]

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from recallspark.operators import lexical
 from recallspark.plans import catalogue
 
 TABLES = "documents embeddings benchmark labels conversations events".split()
@@ -60,3 +61,15 @@ def test_gold_and_hits_are_found_once(spark, sf_dir, monkeypatch, name):
         monkeypatch.setattr(catalogue, step, lambda *a, step=step, real=real: calls.append((step, *a[2:])) or real(*a))
     catalogue.QUERIES[name](spark, sf_dir)
     assert ("_gold",) in calls and len(calls) == len(set(calls))
+
+
+@pytest.mark.parametrize("name", ["missed_outcomes", "no_gold_guard", "retrieval_metrics", "stage_breakdown", "single_branch_gold", "literal_fallback", "hybrid_search", "qa_token_f1"])
+def test_no_postings_are_formed_and_no_step_is_repeated(spark, sf_dir, monkeypatch, name):
+    formed, calls = [], []
+    flat = lexical._flat
+    monkeypatch.setattr(lexical, "_flat", lambda docs: formed.append(docs) or flat(docs))
+    for step in ("_gold", "_run", "_vector_run"):
+        real = getattr(catalogue, step)
+        monkeypatch.setattr(catalogue, step, lambda *a, step=step, real=real: calls.append((step, *a[2:])) or real(*a))
+    catalogue.QUERIES[name](spark, sf_dir)
+    assert not formed and len(calls) == len(set(calls))
